@@ -22,12 +22,17 @@ def to_decimal(text: Column, type_name: str = TYPE) -> Column:
     return F.when(clean.rlike(NUMBER) & fits, value)
 
 
-def decimal_reason(text: Column, positive: bool = False, type_name: str = TYPE) -> Column:
-    """Null for an acceptable value, else the first failing rule."""
+def decimal_reason(
+    text: Column, positive: bool = False, type_name: str = TYPE, value: Column | None = None
+) -> Column:
+    """Null for an acceptable value, else the first failing rule.
+
+    Pass ``value`` when the decimal of ``text`` is already a column.
+    """
     clean = F.trim(text)
     negative = clean.startswith("-") & clean.rlike("^[^eE]*[1-9]")
     zero = ~clean.rlike("^[^eE]*[1-9]")
-    value = to_decimal(text, type_name)
+    value = to_decimal(text, type_name) if value is None else value
     reason = (
         F.when(text.isNull(), "not_decimal")
         .when(clean.rlike(NOT_FINITE), "not_finite")
@@ -41,13 +46,10 @@ def decimal_reason(text: Column, positive: bool = False, type_name: str = TYPE)
 
 def validate_decimal(df: DataFrame, column: str, positive: bool = False) -> DataFrame:
     """Add ``<column>_dec`` and ``<column>_reason``."""
-    reason = decimal_reason(F.col(column), positive)
-    return df.withColumns(
-        {
-            f"{column}_reason": reason,
-            f"{column}_dec": F.when(reason.isNull(), to_decimal(F.col(column))),
-        }
-    )
+    value, reason = F.col(f"{column}_dec"), F.col(f"{column}_reason")
+    df = df.withColumn(f"{column}_dec", to_decimal(F.col(column)))
+    df = df.withColumn(f"{column}_reason", decimal_reason(F.col(column), positive, value=value))
+    return df.withColumn(f"{column}_dec", F.when(reason.isNull(), value))
 
 
 def text_of(value: Column) -> Column:

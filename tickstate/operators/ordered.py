@@ -148,7 +148,7 @@ def following(
     by = [*keys, CHUNK]
     starts = df.groupBy(*by).agg(F.min_by(value, order).alias("_start"))
     carry = starts.select(
-        *by, F.lead("_start").over(Window.partitionBy(*keys).orderBy(CHUNK)).alias("_later")
+        *by, F.lead("_start").over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(CHUNK)).alias("_later")
     )
     local = df.withColumn("_next", F.lead(value).over(Window.partitionBy(*by).orderBy(order)))
     return (

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickstate.functions import variants as V
 from tickstate.functions.decimals import decimal_reason, to_decimal
+from tickstate.operators.ordered import materialize
 from tickstate.operators.ordering import ARRIVAL, content_id
 from tickstate.operators.parse_common import (
     event_columns,
@@ -15,7 +16,7 @@ from tickstate.operators.parse_common import (
     json_reason,
     when,
 )
-from tickstate.schemas import DEC, LEVELS, PAYLOADS
+from tickstate.schemas import LEVELS, PAYLOADS
 
 STREAM_OF = {
     "book": "clob_book",
@@ -205,14 +206,33 @@ def expand_resolutions(messages: DataFrame, registry: DataFrame) -> DataFrame:
     ).drop("_winner_text", "_winner_outcome", "_listed", "_ids_kind", "_has_list", "_bad_list")
 
 
-def _decimal_check(text: Column, field: str, positive: bool = False) -> Column:
-    reason = decimal_reason(text, positive)
-    return F.when(reason.isNotNull(), F.concat(F.lit(f"{field}_"), reason))
+# Decimal fields of the message types.
+DECIMALS = (
+    "price", "size", "best_bid", "best_ask", "spread", "fee_rate_bps", "old_tick_size",
+    "new_tick_size",
+)
+
+
+def _with_decimals(items: DataFrame, body: str) -> DataFrame:
+    """Each decimal field once as text (``t_``), as a number (``d_``) and by presence (``has_``)."""
+    b = F.col(body)
+    items = items.withColumns(
+        {f"t_{n}": V.scalar_at(b, f"$.{n}") for n in DECIMALS}
+        | {
+            f"has_{n}": F.coalesce(V.kind_of(b, f"$.{n}") != "VOID", F.lit(False))
+            for n in ("best_bid", "best_ask", "fee_rate_bps")
+        }
+    )
+    return items.withColumns({f"d_{n}": to_decimal(F.col(f"t_{n}")) for n in DECIMALS})
 
 
-def _optional_check(v: Column, name: str) -> Column:
-    present = F.coalesce(V.kind_of(v, f"$.{name}") != "VOID", F.lit(False))
-    return F.when(present, _decimal_check(V.scalar_at(v, f"$.{name}"), name))
+def _decimal_check(field: str, positive: bool = False) -> Column:
+    reason = decimal_reason(F.col(f"t_{field}"), positive, value=F.col(f"d_{field}"))
+    return F.concat(F.lit(f"{field}_"), reason)
+
+
+def _optional_check(field: str) -> Column:
+    return F.when(F.col(f"has_{field}"), _decimal_check(field))
 
 
 def _book_side(m: Column, side: str) -> tuple[Column, Column]:
@@ -305,11 +325,17 @@ def parse_book_messages(
     ).select("*", "_item.body", "_item.asset_id").drop("_item")
     items = _at_time(items, registry, "asset_id", "asset_id", "left")
 
+    items = _with_decimals(items, "body").withColumns(
+        {
+            "_side": V.text_at(F.col("body"), "$.side"),
+            "_any_side": V.get(F.col("body"), "$.side", "string"),
+            "_side_kind": V.kind_of(F.col("body"), "$.side"),
+            "_own_hash": V.text_at(F.col("body"), "$.hash"),
+            "_hash": F.coalesce(V.text_at(F.col("body"), "$.hash"), V.text_at(m, "$.hash")),
+        }
+    )
     kind, b = F.col("event_type"), F.col("body")
 
-    def text(name: str) -> Column:
-        return V.scalar_at(b, f"$.{name}")
-
     bids, bids_reason = _book_side(b, "bids")
     asks, asks_reason = _book_side(b, "asks")
     is_book = kind == "book"
@@ -330,11 +356,11 @@ def parse_book_messages(
         F.when(
             kind == "price_change",
             first_of(
-                when(~V.text_at(b, "$.side").isin("BUY", "SELL"), "unknown_side"),
-                _decimal_check(text("price"), "price", True),
-                _decimal_check(text("size"), "size"),
-                _optional_check(b, "best_bid"),
-                _optional_check(b, "best_ask"),
+                when(~F.col("_side").isin("BUY", "SELL"), "unknown_side"),
+                _decimal_check("price", True),
+                _decimal_check("size"),
+                _optional_check("best_bid"),
+                _optional_check("best_ask"),
             ),
         )
         .when(
@@ -346,22 +372,22 @@ def parse_book_messages(
         .when(
             kind == "best_bid_ask",
             first_of(
-                *[_decimal_check(text(c), c) for c in ("best_bid", "best_ask", "spread")]
+                *[_decimal_check(c) for c in ("best_bid", "best_ask", "spread")]
             ),
         )
         .when(
             kind == "last_trade_price",
             first_of(
-                _decimal_check(text("price"), "price", True),
-                _decimal_check(text("size"), "size", True),
-                when(V.kind_of(b, "$.side").isNull(), "side_missing"),
-                _optional_check(b, "fee_rate_bps"),
+                _decimal_check("price", True),
+                _decimal_check("size", True),
+                when(F.col("_side_kind").isNull(), "side_missing"),
+                _optional_check("fee_rate_bps"),
             ),
         )
         .when(
             kind == "tick_size_change",
             first_of(
-                *[_decimal_check(text(c), c, True) for c in ("old_tick_size", "new_tick_size")]
+                *[_decimal_check(c, True) for c in ("old_tick_size", "new_tick_size")]
             ),
         )
         .when(kind == "market_resolved", F.lit(None).cast("string"))
@@ -394,10 +420,12 @@ def parse_book_messages(
         ),
     )
 
+    # both results read the checked items, so they are computed once
+    items = materialize(items)
     body_text = F.when(
         kind == "price_change", F.concat_ws("|", F.to_json("message"), F.to_json(b))
     ).otherwise(F.to_json("message"))
-    supplied = F.coalesce(V.text_at(b, "$.hash"), V.text_at(m, "$.hash"))
+    supplied = F.col("_hash")
     event_id = content_id(
         prefix,
         F.col("event_type"),
@@ -411,7 +439,7 @@ def parse_book_messages(
         return name, F.when(kind == event_type, F.struct(*values).cast(PAYLOADS[name]))
 
     def dec(name: str) -> Column:
-        return to_decimal(text(name)).cast(DEC).alias(name)
+        return F.col(f"d_{name}").alias(name)
 
     stream = F.element_at(
         F.create_map(*[F.lit(x) for pair in STREAM_OF.items() for x in pair]), kind
@@ -423,25 +451,25 @@ def parse_book_messages(
                 "book",
                 F.col("_bids").cast(LEVELS).alias("bids"),
                 F.col("_asks").cast(LEVELS).alias("asks"),
-                V.text_at(b, "$.hash").alias("book_hash"),
+                F.col("_own_hash").alias("book_hash"),
             ),
             payload(
                 "p_change",
                 "price_change",
-                V.text_at(b, "$.side").alias("side"),
+                F.col("_side").alias("side"),
                 dec("price"),
-                to_decimal(text("size")).alias("quantity"),
+                F.col("d_size").alias("quantity"),
                 dec("best_bid"),
                 dec("best_ask"),
-                V.text_at(b, "$.hash").alias("change_hash"),
+                F.col("_own_hash").alias("change_hash"),
             ),
             payload("p_best", "best_bid_ask", dec("best_bid"), dec("best_ask"), dec("spread")),
             payload(
                 "p_last_trade",
                 "last_trade_price",
                 dec("price"),
-                to_decimal(text("size")).alias("quantity"),
-                V.get(b, "$.side", "string").alias("side"),
+                F.col("d_size").alias("quantity"),
+                F.col("_any_side").alias("side"),
                 dec("fee_rate_bps"),
             ),
             payload(
