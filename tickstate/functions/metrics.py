@@ -33,8 +33,8 @@ def microprice(bid: Column, bid_qty: Column, ask: Column, ask_qty: Column) -> Co
 
 def imbalance(left: Column, right: Column) -> Column:
     return F.try_divide(
-        (left - right).cast("decimal(30,8)"), (left + right).cast("decimal(30,8)")
-    ).cast("decimal(18,8)")
+        (left - right).cast("decimal(24,8)"), (left + right).cast("decimal(24,8)")
+    ).cast("decimal(18,12)")
 
 
 def notional(levels: Column) -> Column:

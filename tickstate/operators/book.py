@@ -42,14 +42,18 @@ def book_epochs(
         marks = boundaries.select(SEQ, F.lit(1).cast("bigint").alias("_cut"))
         rows = (
             running(
-                rows.unionByName(marks, allowMissingColumns=True),
+                # a boundary takes effect before a row with the same sequence
+                rows.unionByName(marks, allowMissingColumns=True).withColumn(
+                    "_late", F.col("_cut").isNull()
+                ),
                 [],
                 SEQ,
                 {"invalidations": Running("sum", F.coalesce(F.col("_cut"), F.lit(0)))},
                 chunk_rows=chunk_rows,
+                tie="_late",
             )
-            .where("_cut is null")
-            .drop("_cut")
+            .where("_late")
+            .drop("_cut", "_late")
         )
     elif "invalidations" not in rows.columns:
         rows = rows.withColumn("invalidations", F.lit(0).cast("bigint"))

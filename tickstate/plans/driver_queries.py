@@ -9,10 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickstate.functions import decimals, metrics
-from tickstate.operators import asof, audit, book, ordering, rolling
-from tickstate.operators import market_calendar as cal
+from tickstate.operators import asof, ordering, rolling
 from tickstate.operators.asof import SEQ
-from tickstate.operators.health import health_at
 from tickstate.operators.ordered import checkpoint_dir
 from tickstate.operators.ordering import ARRIVAL
 from tickstate.operators.parse_books import (
