@@ -56,12 +56,13 @@ def iso_utc(text: Column) -> Column:
     return F.when(clean.rlike(ISO), F.concat(local, zone).try_cast("timestamp"))
 
 
-def iso_reason(text: Column, field: str) -> Column:
+def iso_reason(text: Column, value: Column, field: str) -> Column:
+    """Why ``text`` has no ``iso_utc`` value; null when it has one."""
     clean = F.trim(text)
     return (
         F.when(text.isNull() | (clean == ""), f"{field}_missing")
         .when(clean.rlike(NAIVE), f"{field}_without_offset")
-        .when(iso_utc(text).isNull(), f"{field}_not_iso")
+        .when(value.isNull(), f"{field}_not_iso")
     )
 
 

@@ -326,7 +326,7 @@ def coverage_report(snapshots: DataFrame, expected: int) -> DataFrame:
             )
         ).alias("s")
     ).select("s.*").where("id is not null").distinct()
-    kinds = seen.groupBy().pivot("kind", ["5m", "15m", "session"]).agg(F.count("*"))
+    kinds = seen.groupBy().pivot("kind", ["5m", "15m", "session"]).agg(F.count(F.lit(1)))
     totals = snapshots.agg(
         F.count("*").alias("snapshots"), F.count_if("ready_for_strategy").alias("ready_snapshots")
     )

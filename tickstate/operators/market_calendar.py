@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickstate.functions import calendar as C
 from tickstate.functions import variants as V
+from tickstate.operators.ordered import materialize
 from tickstate.operators.parse_common import first_of, when
 from tickstate.params import RESOLUTION_SOURCE
 from tickstate.schemas import TRANSITION_LOG, WINDOW
@@ -100,8 +101,8 @@ def _checked_markets(payloads: DataFrame) -> DataFrame:
         _must_not(v, "closed", "closed"),
         _must_not(v, "archived", "archived"),
         _must(v, "enableOrderBook", True, "order_book_disabled"),
-        C.iso_reason(F.col("_start_text"), "eventStartTime"),
-        C.iso_reason(F.col("_end_text"), "endDate"),
+        C.iso_reason(F.col("_start_text"), F.col("_starts"), "eventStartTime"),
+        C.iso_reason(F.col("_end_text"), F.col("_ends"), "endDate"),
         when(F.col("_starts") != start, "start_mismatch"),
         when(F.col("_ends") != C.plus_windows(start, tf), "end_mismatch"),
         F.when(
@@ -129,9 +130,9 @@ def _checked_markets(payloads: DataFrame) -> DataFrame:
         F.col("_source").alias("resolution_source"),
     ).cast(WINDOW)
     df = df.withColumn("reject_reason", reason)
-    return df.withColumn("market", F.when(F.col("reject_reason").isNull(), market)).select(
-        *payloads.columns, "market", "reject_reason"
-    )
+    df = df.withColumn("market", F.when(F.col("reject_reason").isNull(), market))
+    # later filters on the reason would otherwise repeat all checks
+    return materialize(df.select(*payloads.columns, "market", "reject_reason"))
 
 
 def validate_markets(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -148,13 +148,13 @@ def following(
     by = [*keys, CHUNK]
     starts = df.groupBy(*by).agg(F.min_by(value, order).alias("_start"))
     carry = starts.select(
-        *by, F.lead("_start").over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(CHUNK)).alias("_later")
+        *by, F.lead("_start").over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(CHUNK)).alias("_f_later")
     )
-    local = df.withColumn("_next", F.lead(value).over(Window.partitionBy(*by).orderBy(order)))
+    local = df.withColumn("_f_next", F.lead(value).over(Window.partitionBy(*by).orderBy(order)))
     return (
         local.join(carry, by, "left")
-        .withColumn(name, F.coalesce("_next", "_later"))
-        .drop(CHUNK, "_next", "_later")
+        .withColumn(name, F.coalesce("_f_next", "_f_later"))
+        .drop(CHUNK, "_f_next", "_f_later")
     )
 
 

@@ -38,7 +38,7 @@ SQL: dict[str, str] = {}
 WINDOWS = (60, 600, 3600, 21600)
 
 EV = """ev as (
-  select event_id + 1 as seq, epoch_us(ts) * 1000 as ns, ts as at, user_id, event_type,
+  select event_id + 1 as seq, epoch_us(ts) * 1000 as ns, ts as event_at, user_id, event_type,
     cast(value as decimal(18,8)) as price,
     cast(regexp_extract(props, '[0-9]+') as bigint) as k
   from events)"""

@@ -11,6 +11,7 @@ from tickstate.operators import market_calendar as cal
 from tickstate.operators.asof import SEQ
 from tickstate.operators.normalise import normalise_events, unsupported_versions
 from tickstate.operators.ordering import ARRIVAL
+from tickstate.operators.parse_common import event_columns
 from tickstate.params import RESOLUTION_SOURCE
 from tickstate.plans import adapters as A
 from tickstate.plans.driver_queries import EV, num, query, shared_dir
@@ -174,18 +175,18 @@ def d8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 AT = """att as (
   select seq, case when user_id % 2 = 0 then '5m' else '15m' end as timeframe, case when user_id % 2 = 0 then 300 else 900 end as d,
-    epoch_us(at) // 1000000 as t, event_type, k from ev),
+    epoch_us(event_at) // 1000000 as t, event_type, k from ev),
 ab as (select *, t - t % d + d as start from att),
 aa as (select *, start * 1000000 - 5000000 + (k % 21) * 500000 as asked,
     start * 1000000 - 5000000 + (k % 21) * 500000 + 100000 + seq % 1000 * 100 as done,
     event_type in ('view', 'purchase', 'click') as found, case when event_type = 'error' then 'http ' || k end as error from ab),
 an as (select *, row_number() over (partition by timeframe, start order by asked, done) as no from aa),
 tr as (
-  select timeframe, start, any_value(d) as d, min(asked) as searched, min(no) filter (found) as fno, min(done) filter (found and no = ff) as found_at,
+  select timeframe, start, any_value(d) as d, min(asked) as searched, min(no) filter (where found) as fno, min(done) filter (where found and no = ff) as found_at,
     max(no) as tries, max(done) as finished, arg_max(coalesce(error, 'market_not_found'), no) as last,
-    count(*) filter (done < start * 1000000) as early_n,
-    arg_max(coalesce(error, 'market_not_found'), no) filter (done < start * 1000000) as early_error
-  from (select *, min(no) filter (found) over (partition by timeframe, start) as ff from an where no <= 21)
+    count(*) filter (where done < start * 1000000) as early_n,
+    arg_max(coalesce(error, 'market_not_found'), no) filter (where done < start * 1000000) as early_error
+  from (select *, min(no) filter (where found) over (partition by timeframe, start) as ff from an where no <= 21)
   group by timeframe, start)"""
 
 
@@ -222,13 +223,13 @@ def d9(spark: SparkSession, sf_dir: str) -> DataFrame:
       from tr t left join tr p on p.timeframe = t.timeframe and p.start = t.start - t.d
         left join tr nx on nx.timeframe = t.timeframe and nx.start = t.start + t.d),
     s as (
-      select timeframe, t0, 1 as step, 'searching_next' as state, searched as at, 0 as attempts, next_search from x
+      select timeframe, t0, 1 as step, 'searching_next' as state, searched as moment, 0 as attempts, next_search from x
       union all select timeframe, t0, 2, 'searching_next', t0, early_n, next_search from x where had and searched < t0 and not early
       union all select timeframe, t0, 3, 'next_ready', found_at, fno, next_search from x where early
       union all select timeframe, t0, 4, 'active', greatest(t0, found_at), fno, next_search from x where fno is not null
       union all select timeframe, t0, 5, 'transition_failed', finished, tries, next_search from x where fno is null)
-    select timeframe, t0 as start_us, step, state, at as from_us,
-      coalesce(lead(at) over (partition by timeframe, t0 order by step), next_search) as to_us, attempts as attempt_count from s""",
+    select timeframe, t0 as start_us, step, state, moment as from_us,
+      coalesce(lead(moment) over (partition by timeframe, t0 order by step), next_search) as to_us, attempts as attempt_count from s""",
 )
 def d10(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = cal.state_timeline(cal.transition_results(A.attempts(A.events(spark, sf_dir))))
@@ -247,7 +248,7 @@ def d10(spark: SparkSession, sf_dir: str) -> DataFrame:
     "d11_startup_results",
     f"""with {EV}, {AT}, x as (select *, row_number() over (partition by timeframe, event_type, t // 86400 order by asked, done + k * 20000000) as r,
         found and (start + d) * 1000000 > done + k * 20000000 as alive from aa),
-      g as (select timeframe, event_type, t // 86400 as day, min(r) filter (alive) as a, arg_max(case when found then 'market_expired_during_startup'
+      g as (select timeframe, event_type, t // 86400 as day, min(r) filter (where alive) as a, arg_max(case when found then 'market_expired_during_startup'
           else coalesce(error, 'market_not_found') end, r) as last from x where r <= 3 group by all)
     select timeframe, event_type, day, case when a is not null then 'active' else 'transition_failed' end as state,
       coalesce(a, 3) as attempt_count, case when a is null then last end as last_error from g""",
@@ -499,7 +500,7 @@ def a4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "a6_segment_stats",
-    f"""with {EV} select event_type || '/' || cast(at as date) as file_path, count(*) as event_count, min(seq) as first_ingest_sequence,
+    f"""with {EV} select event_type || '/' || cast(event_at as date) as file_path, count(*) as event_count, min(seq) as first_ingest_sequence,
       max(seq) as last_ingest_sequence, arg_min(ns, seq) as first_received_timestamp_ns, arg_max(ns, seq) as last_received_timestamp_ns
     from ev group by 1""",
 )
@@ -583,10 +584,13 @@ def a10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- S: files ---------------------------------------------------------------
 
-def _simple_events(ev: DataFrame) -> DataFrame:
-    """Trades and oracle prices as typed archive events."""
-    from tickstate.operators.parse_common import event_columns
+# 2023-11-15T00:00:00Z
+HOURS_FROM = 1_700_006_400_000_000_000
+
 
+def _simple_events(ev: DataFrame) -> DataFrame:
+    """Trades and oracle prices as typed archive events; a day of events is an hour here."""
+    ev = ev.withColumn("ns", F.lit(HOURS_FROM) + F.expr("(ns - 1704067200000000000) div 24"))
     trade = F.col("event_type").isin("purchase", "click")
     rows = event_columns(
         {
@@ -618,10 +622,11 @@ def _simple_events(ev: DataFrame) -> DataFrame:
 
 @query(
     "s1_s3_event_archive",
-    f"""with {EV} select cast(cast(at as date) as varchar) as date, lpad(hour(at)::varchar, 2, '0') as hour,
+    f"""with {EV}, e as (select *, make_timestamp((1700006400000000000 + (ns - 1704067200000000000) // 24) // 1000) as w from ev)
+    select cast(cast(w as date) as varchar) as date, lpad(hour(w)::varchar, 2, '0') as hour,
       case when event_type in ('purchase', 'click') then 'binance_agg_trade' else 'chainlink_price' end as stream,
-      count(*) as events, round(cast(sum(price) as double), 4) as total from ev
-    where hour(at) in (0, 7, 23) group by all""",
+      count(*) as events, round(cast(sum(price) as double), 4) as total from e
+    where hour(w) in (0, 7, 23) group by all""",
 )
 def s1_s3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the partitioned archive, read back some hours by partition."""
@@ -683,7 +688,7 @@ def _line_archive(spark: SparkSession, sf_dir: str) -> str:
     ).otherwise(F.to_json("p_trade"))
     archive.write_event_lines(rows.withColumn("payload_raw", body), path)
     raw = archive.read_events(spark, path, fmt="json").withColumn("file_path", F.col("_metadata.file_path"))
-    files = audit.read_files(spark, path, "*.txt.gz")
+    files = audit.read_files(spark, path, archive.LINE_FILES)
     return path, raw, files
 
 
@@ -740,9 +745,6 @@ def q10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.drop("first_snapshot_sequence", "last_snapshot_sequence")
 
 
-_PARTIAL = ("p_trade", "p_ticker", "p_depth", "p_last_trade", "p_tick_size", "p_resolved", "p_market")
-
-
 def _widen(df: DataFrame, name: str, ddl_type: str):
     """A struct with the missing fields of the full payload as nulls."""
     from tickstate.functions.typed_json import type_of
@@ -761,7 +763,7 @@ def _full_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select(
         *[
             _widen(events, c, t).alias(c)
-            if c in _PARTIAL and c in events.columns
+            if c.startswith("p_") and c in events.columns
             else (F.col(c) if c in events.columns else F.lit(None)).cast(t).alias(c)
             for c, t in EVENT_COLUMNS.items()
         ]

@@ -507,6 +507,9 @@ def b8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- B9, R: whole snapshots over an archive made from the line items --------
 
+ARCHIVE_START = 1_690_000_000_000_000_000
+
+
 def archive_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A complete archive: book lines, prices, one connect and one market state.
 
@@ -520,7 +523,8 @@ def archive_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = li.select(
         SEQ,
         number.alias("_n"),
-        A.line_ns().alias("_ns"),
+        # a day of the line items is a second of the archive
+        (F.lit(ARCHIVE_START) + F.expr("bigint(unix_date(cast(l_shipdate as date)))") * 1_000_000_000).alias("_ns"),
         A.level_price().alias("_p"),
         F.col("l_quantity").cast("decimal(18,8)").alias("_q"),
         F.col("l_linestatus").alias("_ls"),
@@ -587,16 +591,17 @@ def archive_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.when(is_book, F.col(c)).alias(c) for c in ("p_book", "p_change", "p_best", "p_last_trade", "p_tick_size")],
         F.lit(None).cast("struct<affected_asset_ids:array<string>>").alias("p_resolved"),
     )
-    return events.unionByName(_control(spark), allowMissingColumns=True)
+    # stands for an archive that is read from files
+    return materialize(events.unionByName(_control(spark), allowMissingColumns=True))
 
 
 def _control(spark: SparkSession) -> DataFrame:
-    start = 694_224_000_000_000_000  # 1992-01-01, before every line item
+    start = ARCHIVE_START
     def state(tf: str, up: int, down: int):
         window = F.struct(
             F.lit(tf).alias("timeframe"), F.lit("m").alias("market_id"), F.lit("c").alias("condition_id"),
             F.lit("s").alias("slug"), F.lit(start).alias("start_timestamp_ns"),
-            F.lit(start * 2).alias("end_timestamp_ns"), F.lit(str(up)).alias("up_token_id"),
+            F.lit(start + 900_000_000_000).alias("end_timestamp_ns"), F.lit(str(up)).alias("up_token_id"),
             F.lit(str(down)).alias("down_token_id"), F.lit("u").alias("resolution_source"))
         return F.struct(
             F.lit("active").alias("state"), F.lit(tf).alias("timeframe"), window.alias("current_market"),
@@ -620,7 +625,8 @@ def _control(spark: SparkSession) -> DataFrame:
 
 # the archive in SQL: ticks, price events, and the books of assets 1 to 4
 AR = """ar as (
-  select seq, l_linenumber as n, l_suppkey % 3 as third, l_suppkey as asset, epoch_us(l_shipdate) * 1000 as ns,
+  select seq, l_linenumber as n, l_suppkey % 3 as third, l_suppkey as asset,
+    1690000000000000000 + epoch_us(l_shipdate) // 86400000000 * 1000000000 as ns,
     l_linestatus = 'O' as o, cast(round(l_discount * 100) + 1 as bigint) as price, l_quantity as q, l_tax as tax, lp,
     lp + 0.06 as ask
   from li),
@@ -664,7 +670,7 @@ book as (
 snap as (
   select t.seq, t.ns, t.o, oracle.price as oracle_price, trade.price as last_price, ticker.price as best_bid,
     ticker.q as bq, oracle.ns as oracle_ns, trade.ns as trade_ns, depth.ns as depth_ns, depth.price as depth_price, depth.q as depth_q,
-    (select sum(x.q) from ar x where x.n = 3 and x.third = 0 and x.o and x.ns = t.ns and x.seq < t.seq) as buys
+    (select sum(x.q) from ar x where x.n = 3 and x.third = 0 and x.o and x.ns >= t.ns - 1000000000 and x.seq < t.seq) as buys
   from tk t
     asof left join (select * from ar where n = 2 and third = 0) oracle on t.seq >= oracle.seq
     asof left join (select * from ar where n = 3 and third = 0) trade on t.seq >= trade.seq
