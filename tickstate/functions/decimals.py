@@ -13,13 +13,16 @@ TYPE = "decimal(18,8)"
 def to_decimal(text: Column, type_name: str = TYPE) -> Column:
     """Exact value of decimal text, null when it is not a number or does not fit unrounded."""
     clean = F.trim(text)
-    scale = type_name.rstrip(")").split(",")[1]
-    exact = clean.try_cast("decimal(38,18)")
+    scale = F.lit(int(type_name.rstrip(")").split(",")[1]))
     value = clean.try_cast(type_name)
+    point = F.instr(clean, ".")
+    plain = ~(clean.contains("e") | clean.contains("E"))
+    short = (point == 0) | (F.length(clean) - point <= scale)
+    # only long fractions and exponents need a closer look
     fraction = F.regexp_replace(F.regexp_extract(clean, r"^[^eE.]*\.([0-9]*)", 1), "0+$", "")
-    plain = ~clean.rlike("[eE]")
-    fits = (value == exact) & (~plain | (F.length(fraction) <= F.lit(int(scale))))
-    return F.when(clean.rlike(NUMBER) & fits, value)
+    exact = value == clean.try_cast("decimal(38,18)")
+    fits = (plain & short) | (exact & (~plain | (F.length(fraction) <= scale)))
+    return F.when(fits, value)
 
 
 def decimal_reason(
@@ -33,8 +36,10 @@ def decimal_reason(
     negative = clean.startswith("-") & clean.rlike("^[^eE]*[1-9]")
     zero = ~clean.rlike("^[^eE]*[1-9]")
     value = to_decimal(text, type_name) if value is None else value
+    good = value > 0 if positive else value >= 0
     reason = (
-        F.when(text.isNull(), "not_decimal")
+        F.when(good, F.lit(None).cast("string"))
+        .when(text.isNull(), "not_decimal")
         .when(clean.rlike(NOT_FINITE), "not_finite")
         .when(~clean.rlike(NUMBER), "not_decimal")
         .when(negative, "negative")

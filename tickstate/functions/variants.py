@@ -41,5 +41,9 @@ def list_at(value: Column, path: str) -> Column:
     return F.when(kind_of(value, path).startswith("ARRAY"), get(value, path, "array<variant>"))
 
 
-def is_object(value: Column, path: str = "$") -> Column:
-    return F.coalesce(kind_of(value, path).startswith("OBJECT"), F.lit(False))
+def is_object(value: Column, path: str = "$", field: str | None = None) -> Column:
+    """Whether there is an object; one with ``field`` is known without describing it whole."""
+    described = F.coalesce(kind_of(value, path).startswith("OBJECT"), F.lit(False))
+    if field is None:
+        return described
+    return F.when(get(value, f"{path}.{field}", "variant").isNotNull(), True).otherwise(described)

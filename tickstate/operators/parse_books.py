@@ -45,7 +45,7 @@ def explode_frames(frames: DataFrame) -> DataFrame:
             "event_type": V.text_at(m, "$.event_type"),
             "source_timestamp_ns": V.get(m, "$.timestamp", "string").try_cast("bigint") * 1_000_000,
             "_shape": first_of(
-                json_reason(F.col("raw"), m), when(~V.is_object(m), "not_object")
+                json_reason(F.col("raw"), m), when(~V.is_object(m, "$", "event_type"), "not_object")
             ),
         }
     )
@@ -206,23 +206,38 @@ def expand_resolutions(messages: DataFrame, registry: DataFrame) -> DataFrame:
     ).drop("_winner_text", "_winner_outcome", "_listed", "_ids_kind", "_has_list", "_bad_list")
 
 
-# Decimal fields of the message types.
-DECIMALS = (
-    "price", "size", "best_bid", "best_ask", "spread", "fee_rate_bps", "old_tick_size",
-    "new_tick_size",
-)
+# Decimal fields and the message types that carry them.
+DECIMALS = {
+    "price": ("price_change", "last_trade_price"),
+    "size": ("price_change", "last_trade_price"),
+    "best_bid": ("price_change", "best_bid_ask"),
+    "best_ask": ("price_change", "best_bid_ask"),
+    "spread": ("best_bid_ask",),
+    "fee_rate_bps": ("last_trade_price",),
+    "old_tick_size": ("tick_size_change",),
+    "new_tick_size": ("tick_size_change",),
+}
+OPTIONAL = {
+    "best_bid": "price_change",
+    "best_ask": "price_change",
+    "fee_rate_bps": "last_trade_price",
+}
 
 
 def _with_decimals(items: DataFrame, body: str) -> DataFrame:
     """Each decimal field once as text (``t_``), as a number (``d_``) and by presence (``has_``)."""
-    b = F.col(body)
-    items = items.withColumns(
-        {f"t_{n}": V.scalar_at(b, f"$.{n}") for n in DECIMALS}
-        | {
-            f"has_{n}": F.coalesce(V.kind_of(b, f"$.{n}") != "VOID", F.lit(False))
-            for n in ("best_bid", "best_ask", "fee_rate_bps")
-        }
-    )
+    b, kind = F.col(body), F.col("event_type")
+    texts = {
+        f"t_{n}": F.when(kind.isin(*types), V.scalar_at(b, f"$.{n}"))
+        for n, types in DECIMALS.items()
+    }
+    present = {
+        f"has_{n}": F.when(
+            kind == owner, F.coalesce(V.kind_of(b, f"$.{n}") != "VOID", F.lit(False))
+        )
+        for n, owner in OPTIONAL.items()
+    }
+    items = items.withColumns(texts | present)
     return items.withColumns({f"d_{n}": to_decimal(F.col(f"t_{n}")) for n in DECIMALS})
 
 
@@ -242,7 +257,7 @@ def _book_side(m: Column, side: str) -> tuple[Column, Column]:
     bad_row = F.exists(
         rows,
         lambda r: F.coalesce(
-            decimal_reason(r["price"], True).isNotNull() | decimal_reason(r["size"]).isNotNull(),
+            ~(to_decimal(r["price"]) > 0) | ~(to_decimal(r["size"]) >= 0),
             F.lit(True),
         ),
     )
@@ -285,6 +300,7 @@ def parse_book_messages(
     """
     key = [ARRIVAL, "position"]
     m = F.col("message")
+    messages = materialize(messages)
     resolved = expand_resolutions(messages, registry).select(
         *key,
         "affected",
@@ -295,14 +311,18 @@ def parse_book_messages(
         "condition",
     )
     changes = V.list_at(m, "$.price_changes")
-    rows = messages.join(resolved, key, "left").withColumns(
-        {
-            "_changes": F.when(F.col("event_type") == "price_change", changes),
-            "_assets": F.coalesce(
-                F.when(F.col("event_type") == "market_resolved", F.col("affected")),
-                F.array(V.scalar_at(m, "$.asset_id")),
-            ),
-        }
+    settled = F.coalesce(F.col("event_type") == "market_resolved", F.lit(False))
+    rows = (
+        messages.where(~settled)
+        .unionByName(messages.where(settled).join(resolved, key, "left"), allowMissingColumns=True)
+        .withColumns(
+            {
+                "_changes": F.when(F.col("event_type") == "price_change", changes),
+                "_assets": F.coalesce(
+                    F.when(settled, F.col("affected")), F.array(V.scalar_at(m, "$.asset_id"))
+                ),
+            }
+        )
     )
     rows = rows.withColumn(
         "_items",
@@ -401,17 +421,15 @@ def parse_book_messages(
         when(~known, "unknown_asset"),
         per_type,
     )
-    # a frame is a few megabytes at most, so windows over one frame are small
+    # a frame is a few megabytes at most, so windows over one frame are small;
+    # the frame's window comes first, as its partitioning also serves the message's
     of_message = Window.partitionBy(*key)
     of_frame = Window.partitionBy(ARRIVAL)
+    bad = F.col("_reason").isNotNull()
     items = items.withColumn("_reason", item_reason)
+    items = items.withColumn("_first_bad", F.min(F.when(bad, F.col("position"))).over(of_frame))
     items = items.withColumn(
-        "_message_reason",
-        F.min_by("_reason", F.when(F.col("_reason").isNotNull(), F.col("item"))).over(of_message),
-    )
-    items = items.withColumn(
-        "_first_bad",
-        F.min(F.when(F.col("_message_reason").isNotNull(), F.col("position"))).over(of_frame),
+        "_message_reason", F.min_by("_reason", F.when(bad, F.col("item"))).over(of_message)
     )
     items = items.withColumn(
         "reject_reason",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickstate.operators.ordered import Running, running
+from tickstate.operators.ordered import Running, materialize, running
 from tickstate.operators.ordering import ARRIVAL
 from tickstate.params import CHUNK_ROWS
 from tickstate.schemas import EVENT_COLUMNS
@@ -54,9 +54,17 @@ def ordered_reasons(
     *,
     strict: bool,
     chunk_rows: int = CHUNK_ROWS,
+    keep: Column | None = None,
 ) -> DataFrame:
-    """Add ``reject_reason``: checks ``before``, then the order check, then checks ``after``."""
-    df = df.withColumns({"_before": before, "_after": after})
+    """Add ``reject_reason``: checks ``before``, then the order check, then checks ``after``.
+
+    ``keep`` selects the rows this parser owns; it is applied after parsing, as a
+    filter on a parsed field would parse the frame once more.
+    """
+    # parsed and checked once; the order check and both results read that
+    df = materialize(df.withColumns({"_before": before, "_after": after}).drop("v"))
+    if keep is not None:
+        df = df.where(keep)
     valid = F.col("_before").isNull() & F.col("_after").isNull()
     df = running(
         df,

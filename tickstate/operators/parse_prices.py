@@ -20,9 +20,17 @@ from tickstate.operators.parse_common import (
 )
 
 
-def _checked(text: Column, field: str, positive: bool, kind: str = "decimal(18,8)") -> Column:
-    reason = decimal_reason(text, positive, kind)
-    return F.when(reason.isNotNull(), F.concat(F.lit(f"{field}_"), reason))
+WIDE = "decimal(38,18)"
+
+
+def _with_values(df: DataFrame, *fields: str, kind: str = "decimal(18,8)") -> DataFrame:
+    """``<field>_value`` for each ``<field>_text``, converted once."""
+    return df.withColumns({f"{f}_value": to_decimal(F.col(f"{f}_text"), kind) for f in fields})
+
+
+def _checked(field: str, positive: bool, kind: str = "decimal(18,8)") -> Column:
+    reason = decimal_reason(F.col(f"{field}_text"), positive, kind, F.col(f"{field}_value"))
+    return F.concat(F.lit(f"{field}_"), reason)
 
 
 def parse_oracle_price(
@@ -40,10 +48,11 @@ def parse_oracle_price(
             "server_ms": V.positive_int_at(v, "$.timestamp"),
             "price_text": V.scalar_at(v, "$.payload.value"),
             "_json": json_reason(F.col("raw"), v),
-            "_object": V.is_object(v),
-            "_payload": V.is_object(v, "$.payload"),
+            "_object": V.is_object(v, "$", "topic"),
+            "_payload": V.is_object(v, "$.payload", "symbol"),
         }
     ).withColumn("source_ns", F.col("source_ms") * 1_000_000)
+    df = _with_values(df, "price", kind=WIDE)
     before = first_of(
         F.col("_json"),
         when(~F.col("_object"), "not_object"),
@@ -55,10 +64,9 @@ def parse_oracle_price(
         when(F.col("server_ms").isNull(), "invalid_timestamp"),
         future_reason(F.col("source_ns"), F.col("received_wall_ns"), future_limit_s),
     )
-    wide = "decimal(38,18)"
     after = first_of(
         F.when(F.col("price_text").isNull(), "price_missing"),
-        _checked(F.col("price_text"), "price", True, wide),
+        _checked("price", True, WIDE),
     )
     df = ordered_reasons(
         df, before, after, "source_ns", [], strict=False, chunk_rows=chunk_rows
@@ -75,33 +83,37 @@ def parse_oracle_price(
             "source_sequence": F.col("source_ms"),
             "payload_raw": F.col("raw"),
             "p_oracle": F.struct(
-                F.col("symbol").alias("symbol"), to_decimal(F.col("price_text"), wide).alias("price")
+                F.col("symbol").alias("symbol"), F.col("price_value").alias("price")
             ),
         }
     )
     return split(df, columns)
 
 
-def _spot(frames: DataFrame, stream: str) -> tuple[DataFrame, Column]:
+def _spot(frames: DataFrame, stream: str, field: str) -> tuple[DataFrame, Column]:
     """Parsed frames with the checks every spot frame shares.
 
     Frames of the other spot streams belong to the other parsers and are left out;
     frames of no known stream are rejected by the trade parser.
     """
+    raw = F.col("raw")
+    others = [name for name in P.SPOT_STREAMS.values() if name != stream]
+    if stream == P.SPOT_STREAMS["trade"]:
+        # text of another stream is a hint; only then is the field itself looked at
+        hinted = raw.contains(others[0]) | raw.contains(others[1])
+        named = F.get_json_object(raw, "$.stream").isin(others)
+        frames = frames.where(~hinted | ~F.coalesce(named, F.lit(False)))
+    else:
+        frames = frames.where(raw.contains(stream))
     df = frames.withColumn("v", F.try_parse_json("raw"))
     v = F.col("v")
     df = df.withColumns(
         {
             "stream": V.text_at(v, "$.stream"),
-            "_json": json_reason(F.col("raw"), v),
-            "_data": V.is_object(v, "$.data"),
+            "_json": json_reason(raw, v),
+            "_data": V.is_object(v, "$.data", field),
         }
     )
-    others = [name for name in P.SPOT_STREAMS.values() if name != stream]
-    if stream == P.SPOT_STREAMS["trade"]:
-        df = df.where(F.col("stream").isNull() | ~F.col("stream").isin(others))
-    else:
-        df = df.where(F.col("stream") == stream)
     shared = first_of(
         F.col("_json"),
         when(~F.col("_data"), "data_not_object"),
@@ -130,7 +142,7 @@ def parse_agg_trades(
 ) -> tuple[DataFrame, DataFrame]:
     """Aggregate trades; the taker sells when the buyer is the maker."""
     factor = {"us": 1_000, "ms": 1_000_000}[unit]
-    df, shared = _spot(frames, P.SPOT_STREAMS["trade"])
+    df, shared = _spot(frames, P.SPOT_STREAMS["trade"], "a")
     v = F.col("v")
     df = df.withColumns(
         {
@@ -146,6 +158,7 @@ def parse_agg_trades(
             "quantity_text": V.scalar_at(v, "$.data.q"),
         }
     ).withColumn("source_ns", F.col("trade_at") * factor)
+    df = _with_values(df, "price", "quantity")
     before = first_of(
         shared,
         when(
@@ -161,8 +174,8 @@ def parse_agg_trades(
         when(F.col("trade_at").isNull(), "invalid_trade_time"),
         future_reason(F.col("source_ns"), F.col("received_wall_ns"), future_limit_s),
         when(F.col("maker").isNull(), "invalid_maker"),
-        _checked(F.col("price_text"), "price", True),
-        _checked(F.col("quantity_text"), "quantity", True),
+        _checked("price", True),
+        _checked("quantity", True),
     )
     df = ordered_reasons(
         df, before, after, "trade_no", ["session_id"], strict=True, chunk_rows=chunk_rows
@@ -170,8 +183,8 @@ def parse_agg_trades(
     payload = F.struct(
         F.lit(P.SPOT_SYMBOL).alias("symbol"),
         F.col("trade_no").alias("aggregate_trade_id"),
-        to_decimal(F.col("price_text")).alias("price"),
-        to_decimal(F.col("quantity_text")).alias("quantity"),
+        F.col("price_value").alias("price"),
+        F.col("quantity_value").alias("quantity"),
         F.col("first_no").alias("first_trade_id"),
         F.col("last_no").alias("last_trade_id"),
         F.col("source_ns").alias("trade_timestamp_ns"),
@@ -192,7 +205,8 @@ def parse_book_ticker(
     frames: DataFrame, chunk_rows: int = P.CHUNK_ROWS
 ) -> tuple[DataFrame, DataFrame]:
     """P5: best bid and ask of the spot market; crossed quotes are rejected."""
-    df, shared = _spot(frames, P.SPOT_STREAMS["ticker"])
+    stream = P.SPOT_STREAMS["ticker"]
+    df, shared = _spot(frames, stream, "u")
     v = F.col("v")
     df = df.withColumns(
         {
@@ -200,33 +214,41 @@ def parse_book_ticker(
             "update_no": V.positive_int_at(v, "$.data.u"),
             "bid_text": V.scalar_at(v, "$.data.b"),
             "ask_text": V.scalar_at(v, "$.data.a"),
-            "bid_qty_text": V.scalar_at(v, "$.data.B"),
-            "ask_qty_text": V.scalar_at(v, "$.data.A"),
+            "bid_quantity_text": V.scalar_at(v, "$.data.B"),
+            "ask_quantity_text": V.scalar_at(v, "$.data.A"),
         }
     )
-    bid, ask = to_decimal(F.col("bid_text")), to_decimal(F.col("ask_text"))
+    df = _with_values(df, "bid", "ask", "bid_quantity", "ask_quantity")
+    bid, ask = F.col("bid_value"), F.col("ask_value")
     before = first_of(
         shared,
         when(F.col("symbol") != P.SPOT_SYMBOL, "unexpected_symbol"),
         when(F.col("update_no").isNull(), "invalid_update_id"),
     )
     after = first_of(
-        _checked(F.col("bid_text"), "bid", True),
-        _checked(F.col("ask_text"), "ask", True),
-        _checked(F.col("bid_qty_text"), "bid_quantity", False),
-        _checked(F.col("ask_qty_text"), "ask_quantity", False),
+        _checked("bid", True),
+        _checked("ask", True),
+        _checked("bid_quantity", False),
+        _checked("ask_quantity", False),
         when(bid >= ask, "crossed"),
     )
     df = ordered_reasons(
-        df, before, after, "update_no", ["session_id"], strict=True, chunk_rows=chunk_rows
+        df,
+        before,
+        after,
+        "update_no",
+        ["session_id"],
+        strict=True,
+        chunk_rows=chunk_rows,
+        keep=F.col("stream") == stream,
     )
     payload = F.struct(
         F.lit(P.SPOT_SYMBOL).alias("symbol"),
         F.col("update_no").alias("update_id"),
         bid.alias("best_bid_price"),
-        to_decimal(F.col("bid_qty_text")).alias("best_bid_quantity"),
+        F.col("bid_quantity_value").alias("best_bid_quantity"),
         ask.alias("best_ask_price"),
-        to_decimal(F.col("ask_qty_text")).alias("best_ask_quantity"),
+        F.col("ask_quantity_value").alias("best_ask_quantity"),
     )
     columns = event_columns(
         _spot_event("binance_book_ticker", "bookTicker", "update_no", True) | {"p_ticker": payload}
@@ -243,8 +265,8 @@ def _depth_side(v: Column, side: str, max_levels: int) -> tuple[Column, Column]:
         rows,
         lambda row: F.coalesce(
             (F.size(row) != 2)
-            | decimal_reason(F.get(row, 0), True).isNotNull()
-            | decimal_reason(F.get(row, 1), True).isNotNull(),
+            | ~(to_decimal(F.get(row, 0)) > 0)
+            | ~(to_decimal(F.get(row, 1)) > 0),
             F.lit(True),
         ),
     )
@@ -268,7 +290,8 @@ def parse_depth(
     frames: DataFrame, max_levels: int = 20, chunk_rows: int = P.CHUNK_ROWS
 ) -> tuple[DataFrame, DataFrame]:
     """Partial depth, one to ``max_levels`` sorted levels a side, not crossed."""
-    df, shared = _spot(frames, P.SPOT_STREAMS["depth"])
+    stream = P.SPOT_STREAMS["depth"]
+    df, shared = _spot(frames, stream, "lastUpdateId")
     v = F.col("v")
     bids, bid_reason = _depth_side(v, "bids", max_levels)
     asks, ask_reason = _depth_side(v, "asks", max_levels)
@@ -292,7 +315,14 @@ def parse_depth(
         when(F.get("bids", 0)["price"] >= F.get("asks", 0)["price"], "crossed"),
     )
     df = ordered_reasons(
-        df, before, after, "update_no", ["session_id"], strict=True, chunk_rows=chunk_rows
+        df,
+        before,
+        after,
+        "update_no",
+        ["session_id"],
+        strict=True,
+        chunk_rows=chunk_rows,
+        keep=F.col("stream") == stream,
     )
     payload = F.struct(
         F.lit(P.SPOT_SYMBOL).alias("symbol"),

@@ -50,6 +50,8 @@ def value_text() -> Column:
 
 
 def frames(ev: DataFrame, source: str, raw: Column) -> DataFrame:
+    # landed frames are many files; the events are one, so they are spread first
+    ev = ev.repartition(ev.sparkSession.sparkContext.defaultParallelism, "seq")
     return ev.select(
         F.lit(source).alias("source"),
         F.concat(F.lit("s"), F.expr("seq div 500").cast("string")).alias("session_id"),
