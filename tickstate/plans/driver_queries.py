@@ -87,6 +87,11 @@ def num(column: Column | str, digits: int = 8) -> Column:
     return F.round(column.cast("double"), digits)
 
 
+def cut(column: Column) -> Column:
+    """An exact quotient cut to six digits; SQL does the same in whole numbers."""
+    return F.floor(column * 1_000_000).cast("double") / 1_000_000
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -120,7 +125,7 @@ def outcome(accepted: DataFrame, rejected: DataFrame, *values: Column) -> DataFr
       round(cast(ask * bq + bid * aq as double) / (bq + aq), 8) as microprice,
       round(cast(bq - aq as double) / (bq + aq), 8) as top1_imbalance,
       cast((ns - quote_ns) // 1000000 as bigint) as quote_age_ms,
-      {", ".join(f"cast(buy_{s} as double) as buy_{s}s, cast(sell_{s} as double) as sell_{s}s, round(cast(notional_{s} as double) / (buy_{s} + sell_{s}), 8) as vwap_{s}s" for s in WINDOWS)}
+      {", ".join(f"cast(buy_{s} as double) as buy_{s}s, cast(sell_{s} as double) as sell_{s}s, cast(cast(notional_{s} * 100 as hugeint) * 10000 // nullif(cast(buy_{s} + sell_{s} as hugeint), 0) as double) / 1000000 as vwap_{s}s" for s in WINDOWS)}
     from q""",
 )
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +151,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col(SEQ).alias("tick_sequence"),
         *[num(c).alias(c) for c in plain],
         F.col("age_ms").alias("quote_age_ms"),
-        *[num(f"{p}_{s}s").alias(f"{p}_{s}s") for s in WINDOWS for p in ("buy", "sell", "vwap")],
+        *[num(f"{p}_{s}s").alias(f"{p}_{s}s") for s in WINDOWS for p in ("buy", "sell")],
+        *[cut(F.col(f"vwap_{s}s")).alias(f"vwap_{s}s") for s in WINDOWS],
     )
 
 

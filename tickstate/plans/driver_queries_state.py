@@ -11,7 +11,7 @@ from tickstate.operators.asof import SEQ
 from tickstate.operators.health import health_at
 from tickstate.operators.ordered import materialize
 from tickstate.plans import adapters as A
-from tickstate.plans.driver_queries import BK, EV, LEVELS_AT, LI, WINDOWS, num, query
+from tickstate.plans.driver_queries import BK, EV, LEVELS_AT, LI, WINDOWS, cut, num, query
 from tickstate.functions.typed_json import type_of
 from tickstate.plans.snapshot import (
     MARKET,
@@ -199,8 +199,8 @@ def rolling_sql(where: str, keyed: bool) -> str:
     one = """select seq as row_sequence, {s} as window_seconds,
       cast(coalesce(sum(case when event_type = 'purchase' then k + 1 end) over w, 0) as double) as buy_volume,
       cast(coalesce(sum(case when event_type = 'click' then k + 1 end) over w, 0) as double) as sell_volume,
-      round(cast(sum(case when event_type in ('purchase', 'click') then price * (k + 1) end) over w as double)
-        / sum(case when event_type in ('purchase', 'click') then k + 1 end) over w, 8) as vwap, event_type
+      cast(cast(sum(case when event_type in ('purchase', 'click') then price * (k + 1) end) over w * 100 as hugeint) * 10000
+        // cast(sum(case when event_type in ('purchase', 'click') then k + 1 end) over w as hugeint) as double) / 1000000 as vwap, event_type
       from ev window w as ({by}order by ns range between {s}000000000 preceding and current row)"""
     parts = " union all ".join(one.format(s=s, by=by) for s in WINDOWS)
     return f"with {EV}, r as ({parts}) select row_sequence, window_seconds, buy_volume, sell_volume, vwap from r where {where}"
@@ -210,7 +210,8 @@ def _rolled(df: DataFrame) -> DataFrame:
     return df.select(
         F.col(SEQ).alias("row_sequence"),
         "window_seconds",
-        *[num(c).alias(c) for c in ("buy_volume", "sell_volume", "vwap")],
+        *[num(c).alias(c) for c in ("buy_volume", "sell_volume")],
+        cut(F.col("vwap")).alias("vwap"),
     )
 
 
