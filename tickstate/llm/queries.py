@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickstate.llm import language_id
+from tickstate.llm import language_id, near_dedup, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,6 +29,59 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    """Place of a public vocabulary file; TICKSTATE_TOKENIZERS names another folder."""
+    folder = os.environ.get("TICKSTATE_TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+# ---- 1 token counts ---------------------------------------------------------
+
+@query("op1_token_counts")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy word-piece counts of every document over a public vocabulary."""
+    opening, continuing = token_counts.sentencepiece_pieces(tokenizer_file("piece_bpe_32k.model"))
+    return token_counts.word_piece_counts(table(spark, sf_dir, "documents"), opening, continuing)
+
+
+# ---- 9 near duplicates ------------------------------------------------------
+
+COMPONENTS = """
+reach as (
+  select id, id as r from nodes
+  union select reach.id, links.y from reach join links on links.x = reach.r)"""
+
+
+@query(
+    "op9_minhash_near_dedup",
+    f"""with recursive w as (
+      select doc_id as id, list_filter(string_split_regex(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+      from documents),
+    nodes as (select id from w),
+    sh as (
+      select distinct id, unnest(case
+        when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+        when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s
+      from w),
+    size as (select id, count(*) as n from sh group by id),
+    pairs as (
+      select a.id as x, b.id as y, count(*) as c from sh a join sh b on a.s = b.s and a.id <> b.id group by 1, 2),
+    links as (
+      select x, y from pairs join size p on p.id = x join size q on q.id = y where 100 * c >= 85 * (p.n + q.n - c)),
+    {COMPONENTS}
+    select id as doc_id, coalesce(any_value(n), 0) as n_shingles, min(r) as component_id, min(r) = id as kept
+    from reach left join size using (id) group by id""",
+)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents: three-word shingles, Jaccard of 0.85."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 # ---- 10 language ID ---------------------------------------------------------
 
 @query("op10_language_id")
