@@ -67,35 +67,66 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def grouped_rows(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Groups of rows with equal keys from batches that are sorted by ``keys``.
+def whole_groups(
+    batches: Iterator[pa.RecordBatch], keys: list[str]
+) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups, with the group bounds, from batches sorted by ``keys``.
 
-    Only the current group is held, so callers bound the size of a group.
+    Only a batch and the group it begins with are held, so callers bound groups.
     """
     held: list[pa.Table] = []
+    marks: list[np.ndarray] = []
     last = None
+
+    def out() -> tuple[pa.Table, np.ndarray]:
+        table = pa.concat_tables(held).combine_chunks()
+        return table, np.append(np.flatnonzero(np.concatenate(marks)), table.num_rows)
+
     for batch in batches:
         if not batch.num_rows:
             continue
         table = pa.Table.from_batches([batch])
-        columns = [table.column(k).combine_chunks().to_numpy(zero_copy_only=False) for k in keys]
-        change = np.zeros(batch.num_rows, dtype=bool)
+        columns = [table.column(k).to_numpy() for k in keys]
+        opens = np.zeros(batch.num_rows, dtype=bool)
         for c in columns:
-            change[1:] |= c[1:] != c[:-1]
-        starts = np.flatnonzero(change)
-        first = tuple(c[0] for c in columns)
-        if held and first != last:
-            yield pa.concat_tables(held)
-            held = []
-        bounds = [0, *starts.tolist(), batch.num_rows]
-        for lo, hi in zip(bounds, bounds[1:]):
-            held.append(table.slice(lo, hi - lo))
-            if hi < batch.num_rows:
-                yield pa.concat_tables(held)
-                held = []
+            opens[1:] |= c[1:] != c[:-1]
+        opens[0] = tuple(c[0] for c in columns) != last
         last = tuple(c[-1] for c in columns)
+        starts = np.flatnonzero(opens)
+        if not len(starts):
+            held.append(table)
+            marks.append(opens)
+            continue
+        cut = int(starts[-1])
+        if cut:
+            held.append(table.slice(0, cut))
+            marks.append(opens[:cut])
+        if held:
+            yield out()
+        held, marks = [table.slice(cut)], [opens[cut:]]
     if held:
-        yield pa.concat_tables(held)
+        yield out()
+
+
+def in_block_pairs(df: DataFrame, item: str, blocks: str, *, own_pairs: bool = False) -> DataFrame:
+    """Send each row to every pair (x, y) of its group's blocks that holds its own block.
+
+    A group of one block is the pair (0, 0). Pairs (x, x) of several blocks are
+    made with ``own_pairs`` only, as (x, y) also brings the rows of x together.
+    Column ``own`` is the row's block.
+    """
+    zero = F.lit(0).cast("long")
+    every = F.sequence(zero, F.col(blocks) - 1)
+    others = every if own_pairs else F.when(F.col(blocks) == 1, F.array(zero)).otherwise(
+        F.array_remove(every, F.col("own"))
+    )
+    return (
+        df.withColumn("own", F.pmod(F.xxhash64(item), F.col(blocks)))
+        .withColumn("_other", F.explode(others))
+        .withColumn("x", F.least("own", "_other"))
+        .withColumn("y", F.greatest("own", "_other"))
+        .drop("_other", blocks)
+    )
 
 
 class Forest:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickstate.llm.common import components, grouped_rows, link_block, mix64, slices, staged, texts
+from tickstate.llm.common import components, in_block_pairs, link_block, mix64, slices, staged, texts, whole_groups
 
 REGISTERS, BAND, MANTISSA = 128, 4, 10
 BUCKET_DOCS = 4096          # most documents of a bucket in one block
@@ -143,34 +143,45 @@ def _chance(n: np.ndarray) -> np.ndarray:
     return np.diff(upto, axis=1) / -np.expm1(-load)
 
 
+def _edges(rep: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    joined = labels != np.arange(len(labels))
+    return rep[joined], rep[labels[joined]]
+
+
+def _edge_batch(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
 def _near_edges(percent: int):
     """Spanning edges of a bucket's block over pairs whose estimate may reach the threshold."""
     t = percent / 100
 
+    def block(rep, sizes, regs, filled) -> tuple[np.ndarray, np.ndarray]:
+        chance = _chance(sizes)
+
+        def linked(i: int) -> np.ndarray:
+            same = ((regs == regs[i]) & filled & filled[i]).sum(axis=1)
+            union = (filled | filled[i]).sum(axis=1)
+            by_chance = chance @ chance[i] / (1 << MANTISSA)
+            estimate = (same / union - by_chance) / (1 - by_chance)
+            fits = 100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])
+            return np.flatnonzero(fits & (estimate >= t - 4.5 * np.sqrt(t * (1 - t) / union)))
+
+        return _edges(rep, link_block(len(rep), linked))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in grouped_rows(batches, ["band", "x", "y"]):
+        for group, bounds in whole_groups(batches, ["band", "x", "y"]):
             n = group.num_rows
-            rep = group.column("rep").to_numpy()
+            rep, sizes = group.column("rep").to_numpy(), group.column("n_shingles").to_numpy()
             regs = np.frombuffer(b"".join(group.column("registers").to_pylist()), np.uint16).reshape(n, -1)
             filled = np.unpackbits(
                 np.frombuffer(b"".join(group.column("filled").to_pylist()), np.uint8).reshape(n, -1), axis=1
             ).astype(bool)
-            sizes = group.column("n_shingles").to_numpy()
-            chance = _chance(sizes)
-
-            def linked(i: int) -> np.ndarray:
-                same = ((regs == regs[i]) & filled & filled[i]).sum(axis=1)
-                union = (filled | filled[i]).sum(axis=1)
-                by_chance = chance @ chance[i] / (1 << MANTISSA)
-                estimate = (same / union - by_chance) / (1 - by_chance)
-                fits = 100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])
-                return np.flatnonzero(fits & (estimate >= t - 4.5 * np.sqrt(t * (1 - t) / union)))
-
-            labels = link_block(n, linked)
-            joined = labels != np.arange(n)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rep[joined]), pa.array(rep[labels[joined]])], names=["a", "b"]
-            )
+            yield _edge_batch([
+                block(rep[lo:hi], sizes[lo:hi], regs[lo:hi], filled[lo:hi])
+                for lo, hi in zip(bounds[:-1], bounds[1:])
+            ])
 
     return run
 
@@ -178,48 +189,32 @@ def _near_edges(percent: int):
 def _verified_edges(percent: int):
     """Spanning edges of a cluster's block over pairs confirmed on their full sets."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in grouped_rows(batches, ["cluster", "x", "y"]):
-            n = group.num_rows
-            rep = group.column("doc_id").to_numpy()
-            sets = [np.frombuffer(s, np.uint64) for s in group.column("hashes").to_pylist()]
-            sizes = np.array([len(s) for s in sets])
-            _, place = np.unique(np.concatenate(sets), return_inverse=True)
-            owner = np.repeat(np.arange(n), sizes)
-            order = np.argsort(place, kind="stable")
-            holders = owner[order]                      # documents by shingle
-            bounds = np.concatenate(([0], np.cumsum(np.bincount(place))))
-            starts = np.concatenate(([0], np.cumsum(sizes)))
-
-            def linked(i: int) -> np.ndarray:
-                mine = place[starts[i] : starts[i + 1]]
-                lengths = bounds[mine + 1] - bounds[mine]
-                offsets = np.repeat(bounds[mine] - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths)
-                shared = np.bincount(holders[offsets + np.arange(lengths.sum())], minlength=n)
-                return np.flatnonzero(100 * shared >= percent * (sizes + sizes[i] - shared))
-
-            labels = link_block(n, linked)
-            joined = labels != np.arange(n)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rep[joined]), pa.array(rep[labels[joined]])], names=["a", "b"]
-            )
+    def block(rep: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        n = len(rep)
+        sizes = np.array([len(s) for s in sets])
+        _, place = np.unique(np.concatenate(sets), return_inverse=True)
+        holders = np.repeat(np.arange(n), sizes)[np.argsort(place, kind="stable")]  # documents by shingle
+        bounds = np.concatenate(([0], np.cumsum(np.bincount(place))))
+        starts = np.concatenate(([0], np.cumsum(sizes)))
 
-    return run
+        def linked(i: int) -> np.ndarray:
+            mine = place[starts[i] : starts[i + 1]]
+            lengths = bounds[mine + 1] - bounds[mine]
+            offsets = np.repeat(bounds[mine] - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths)
+            shared = np.bincount(holders[offsets + np.arange(lengths.sum())], minlength=n)
+            return np.flatnonzero(100 * shared >= percent * (sizes + sizes[i] - shared))
 
+        return _edges(rep, link_block(n, linked))
 
-def _in_block_pairs(df: DataFrame, item: str, blocks: str) -> DataFrame:
-    """Send each row to every pair (x, y) of its group's blocks that holds its own block."""
-    own = F.pmod(F.xxhash64(item), F.col(blocks))
-    others = F.when(F.col(blocks) == 1, F.array(F.lit(0).cast("long"))).otherwise(
-        F.array_remove(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1), F.col("_own"))
-    )
-    return (
-        df.withColumn("_own", own)
-        .withColumn("_other", F.explode(others))
-        .withColumn("x", F.least("_own", "_other"))
-        .withColumn("y", F.greatest("_own", "_other"))
-        .drop("_own", "_other", blocks)
-    )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, bounds in whole_groups(batches, ["cluster", "x", "y"]):
+            rep, column = group.column("doc_id").to_numpy(), group.column("hashes")
+            yield _edge_batch([
+                block(rep[lo:hi], [np.frombuffer(s, np.uint64) for s in column.slice(lo, hi - lo).to_pylist()])
+                for lo, hi in zip(bounds[:-1], bounds[1:])
+            ])
+
+    return run
 
 
 def _candidate_filter(nodes: DataFrame) -> np.ndarray:
@@ -283,7 +278,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
         .groupBy("n", "lo", "h").agg(F.min("band").alias("band"))  # one bucket per set of members
         .select("band", F.ceil(F.col("n") / BUCKET_DOCS).alias("blocks"))
     )
-    members = _in_block_pairs(bands.join(buckets, "band"), "rep", "blocks")
+    members = in_block_pairs(bands.join(buckets, "band"), "rep", "blocks")
     near = (
         members.join(classes.select("rep", "n_shingles", "registers", "filled"), "rep")
         .repartition("band", "x", "y").sortWithinPartitions("band", "x", "y", "rep")
@@ -299,7 +294,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
         .join(clusters.join(blocks, "cluster").withColumnRenamed("node", "doc_id"), "doc_id")
     )
     verified = (
-        _in_block_pairs(wide, "doc_id", "blocks")
+        in_block_pairs(wide, "doc_id", "blocks")
         .repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y", "doc_id")
         .mapInArrow(_verified_edges(percent), "a long, b long")
     )

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickstate.llm import language_id, near_dedup, token_counts
+from tickstate.llm import embedding_dedup, language_id, near_dedup, sharding, token_counts, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,14 +48,85 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.word_piece_counts(table(spark, sf_dir, "documents"), opening, continuing)
 
 
-# ---- 9 near duplicates ------------------------------------------------------
-
 COMPONENTS = """
 reach as (
   select id, id as r from nodes
   union select reach.id, links.y from reach join links on links.x = reach.r)"""
 
 
+# ---- 5 embeddings -----------------------------------------------------------
+
+@query(
+    "op5_embedding_near_dedup",
+    f"""with recursive v as (
+      select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings
+      where label is not null and embedding is not null
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    nodes as (select vec_id as id from embeddings),
+    links as (
+      select a.vec_id as x, b.vec_id as y from v a join v b
+        on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+      where list_cosine_similarity(a.e, b.e) >= 0.93),
+    {COMPONENTS},
+    n as (select x, count(*) as n from links group by x)
+    select id as vec_id, coalesce(any_value(n), 0) as n_links, min(r) as component_id, min(r) = id as kept
+    from reach left join n on n.x = id group by id""",
+)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors of equal label with cosine of 0.93 or more."""
+    return embedding_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+# ---- 6 sharding -------------------------------------------------------------
+
+@query("op6_sampled_splitter_shards")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of near equal bytes."""
+    return sharding.shards(table(spark, sf_dir, "documents"), 8).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+# ---- 7 url filter -----------------------------------------------------------
+
+URL_RULES = (
+    ("block", "net/"),
+    ("allow", "example.net/en/"),
+    ("block", "example.com/de/"),
+    ("allow", "org/fr/"),
+)
+
+
+@query(
+    "op7_url_filter",
+    """with rest as (
+      select page_id, case when position('://' in url) > 0 then substr(url, position('://' in url) + 3) else '' end as rest
+      from pages),
+    parts as (
+      select page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'),
+          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+        regexp_extract(regexp_replace(coalesce(rest, ''), '^[^/?#]*', ''), '^[^?#]*') as path
+      from rest),
+    rules(verdict, host, path) as (values """
+    + ", ".join(
+        "('{}', '{}', '/{}')".format(v, *r.split("/", 1)) for v, r in URL_RULES
+    )
+    + """),
+    fits as (
+      select page_id, r.verdict, substr(r.host || r.path, 1) as rule
+      from parts p join rules r on (p.host = r.host or ends_with(p.host, '.' || r.host)) and starts_with(p.path, r.path)),
+    best as (select page_id, arg_max(verdict, len(rule)) as verdict, arg_max(rule, len(rule)) as rule from fits group by 1)
+    select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from parts left join best using (page_id)""",
+)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url."""
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+# ---- 9 near duplicates ------------------------------------------------------
+
 @query(
     "op9_minhash_near_dedup",
     f"""with recursive w as (
