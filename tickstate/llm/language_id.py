@@ -7,7 +7,8 @@ gets the language of lowest cross-entropy per character.
 
 Texts are read as lower-case letters; every run of other characters is one
 space. Defined results: null text or no letter gives ``und`` with score 0 and
-is rejected; an empty training table makes every answer ``und``; repeated rows
+is rejected; an empty training table makes every answer ``und`` and rejects only
+texts without letters; repeated rows
 are judged each on its own; texts of any length are scored whole.
 """
 
@@ -136,7 +137,7 @@ class LanguageModel:
         """Language, score, lowest cross-entropy and rejection of each row."""
         rows = len(column)
         if not self.languages:
-            return [UNKNOWN] * rows, np.zeros(rows), np.zeros(rows), np.ones(rows, dtype=bool)
+            return [UNKNOWN] * rows, np.zeros(rows), np.zeros(rows), _letters(column, 1)[2] == 0
         bits, n, letters = self.cross_entropy(column)
         best = bits.argmin(axis=1)
         low = bits[np.arange(rows), best]
@@ -312,17 +313,18 @@ def train(
 def identify(docs: DataFrame, model: LanguageModel, *, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns of ``docs`` plus lang_pred, score, cross_entropy and rejected."""
     held = docs.sparkSession.sparkContext.broadcast(model)
+    own = () if "text" in keep else ("text",)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
-            lang, score, low, rejected = held.value.judge(batch.column("_text"))
+        for batch in slices(batches):
+            lang, score, low, rejected = held.value.judge(batch.column("text"))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64()),
+                [*batch.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score, pa.float64()),
                  pa.array(low, pa.float64()), pa.array(rejected, pa.bool_())],
                 names=[*keep, "lang_pred", "score", "cross_entropy", "rejected"],
             )
 
     kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(
+    return docs.select(*keep, *own).mapInArrow(
         run, f"{kept}, lang_pred string, score double, cross_entropy double, rejected boolean"
     )

@@ -20,13 +20,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickstate.llm.common import components, in_block_pairs, link_block, mix64, slices, staged, texts, whole_groups
 
 REGISTERS, BAND, MANTISSA = 128, 4, 10
-BUCKET_DOCS = 4096          # most documents of a bucket in one block
+BUCKET_DOCS = 1024          # most documents of a bucket in one block
 BLOCK_BYTES = 6_000_000     # most bytes of sets of a cluster in one block, about
 FILTER_BITS = 26            # size of the candidate filter: 8 MB, whatever the input
 _EMPTY = np.uint16(0xFFFF)
@@ -95,8 +95,12 @@ def registers(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, filled
 
 
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, n_shingles``, two fingerprints of the set, registers and their filled mask."""
+    """``doc_id, text_hash, n_shingles``, two fingerprints of the set, registers and their filled mask."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
@@ -108,15 +112,15 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                 ).reshape(len(sets), 2).view(np.int64)
             made = [registers(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array(prints[:, 0]), pa.array(prints[:, 1]),
                  pa.array([m and m[0].tobytes() for m in made], pa.binary()),
                  pa.array([m and np.packbits(m[1]).tobytes() for m in made], pa.binary())],
-                names=["doc_id", "n_shingles", "print_a", "print_b", "registers", "filled"],
+                names=["doc_id", "text_hash", "n_shingles", "print_a", "print_b", "registers", "filled"],
             )
 
-    return texts(docs).mapInArrow(
-        run, "doc_id long, n_shingles long, print_a long, print_b long, registers binary, filled binary"
+    return docs.select("doc_id", text_hash().alias("text_hash"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
+        run, "doc_id long, text_hash long, n_shingles long, print_a long, print_b long, registers binary, filled binary"
     )
 
 
@@ -255,7 +259,7 @@ def _full_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row of ``docs``.
+    """``doc_id, text_hash, n_shingles, component_id, kept`` of every row of ``docs``.
 
     Documents are linked when 100 * intersection >= ``percent`` * union of their
     shingle sets; a component is named by its smallest doc_id, which is kept.
@@ -304,7 +308,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
     ).select(*same, F.coalesce("component", "rep").alias("component"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return (
-        sketched.select("doc_id", *same).join(reps, same, "left")
-        .select("doc_id", "n_shingles", component.alias("component_id"))
+        sketched.select("doc_id", "text_hash", *same).join(reps, same, "left")
+        .select("doc_id", "text_hash", "n_shingles", component.alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )

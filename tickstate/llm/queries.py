@@ -8,7 +8,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickstate.llm import embedding_dedup, language_id, near_dedup, sharding, token_counts, url_filter
+from tickstate.llm import (
+    decontaminate,
+    embedding_dedup,
+    language_id,
+    near_dedup,
+    packing,
+    pii,
+    sharding,
+    token_counts,
+    token_store,
+    url_filter,
+)
+from tickstate.llm.common import work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -54,6 +66,82 @@ reach as (
   union select reach.id, links.y from reach join links on links.x = reach.r)"""
 
 
+# ---- 2 decontamination ------------------------------------------------------
+
+@query("op2_benchmark_leaks")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in all documents: one row per document, item and place."""
+    leaks = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
+# ---- 3 pii ------------------------------------------------------------------
+
+_OCTET = "0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+_D = "regexp_replace(v, '[^0-9]', '', 'g')"
+_SQL_KINDS = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true", 90, "mail|contact|correo|courriel"),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+     f"regexp_full_match(v, '{_OCTET}([.]{_OCTET}){{3}}')", 60, "ip|host|server|address|addr"),
+    ("card", r"[0-9]([\x20-]?[0-9])+",
+     f"""length({_D}) between 16 and 19 and list_sum(list_transform(string_split(reverse({_D}), ''), lambda c, i:
+       case when i % 2 = 1 then cast(c as int) when c >= '5' then cast(c as int) * 2 - 9 else cast(c as int) * 2 end)) % 10 = 0""",
+     80, "card|visa|mastercard|karte|carte|tarjeta|payment"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_D}) between 8 and 15", 60, "phone|tel|call|mobile|fax|movil"),
+    ("iban", r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b",
+     """list_reduce(list_prepend(0, list_transform(string_split(substr(v, 5) || substr(v, 1, 4), ''), lambda c:
+       case when c >= 'A' then 100 + ascii(c) - 55 else ascii(c) - 48 end)), lambda a, c:
+       case when c >= 100 then (a * 100 + c - 100) % 97 else (a * 10 + c) % 97 end) = 1""",
+     70, "iban|account|bank|konto|compte|cuenta"),
+    ("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
+     "v[1] <> '9' and v[1:3] not in ('000', '666') and v[5:6] <> '00' and v[8:11] <> '0000'",
+     30, "ssn|social|security|insurance"),
+)
+
+
+@query(
+    "op3_pii",
+    "with d as (select doc_id, coalesce(text, '') as text from documents), found as ("
+    + " union all ".join(f"""
+      select doc_id, '{k}' as kind, {i} as nth, stop - length(v) as start, stop, {score}
+        + case when regexp_matches(right(gap, 40), '(?i)(^|[^a-z])({words})')
+            or regexp_matches(left(after, 40), '(?i)(^|[^a-z])({words})') then 20 else 0 end as score
+      from (
+        select *, sum(length(gap) + length(v)) over (partition by doc_id order by n) as stop from (
+          select doc_id, unnest(m) as v, unnest(g[1:len(m)]) as gap, unnest(g[2:]) as after, unnest(range(1, len(m) + 1)) as n
+          from (select doc_id, regexp_extract_all(text, '{p}') as m, string_split_regex(text, '{p}') as g from d)))
+      where {valid}"""
+      for i, (k, p, valid, score, words) in enumerate(_SQL_KINDS))
+    + """),
+    kept as (select *, kind || ':' || start || ':' || stop as s from found where kind not in ('iban', 'ssn') or score >= 50)
+    select doc_id, """
+    + ", ".join(f"count(*) filter (kind = '{k[0]}') as n_{k[0]}" for k in _SQL_KINDS)
+    + """, sha256(coalesce(string_agg(s, ',' order by nth, start) filter (kind not in ('iban', 'ssn')), '')) as base_sha256,
+      coalesce(string_agg(s, ',' order by nth, start), '') as spans,
+      coalesce(string_agg(cast(score as varchar), ',' order by nth, start), '') as scores
+    from d left join kept using (doc_id) group by doc_id""",
+)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data spans of every document."""
+    return pii.span_digest(pii.find_spans(table(spark, sf_dir, "documents")))
+
+
+# ---- 4 packing --------------------------------------------------------------
+
+@query("op4_best_fit_packing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token sequences of all documents packed into bins of four lengths."""
+    return packing.pack(lengths(table(spark, sf_dir, "documents")))
+
+
+def lengths(docs: DataFrame) -> DataFrame:
+    """Word-piece counts with one end token."""
+    counts = token_counts.word_piece_counts(
+        docs, *token_counts.sentencepiece_pieces(tokenizer_file("piece_bpe_32k.model"))
+    )
+    return counts.select("doc_id", (F.col("n_tokens") + 1).alias("n_tokens"))
+
+
 # ---- 5 embeddings -----------------------------------------------------------
 
 @query(
@@ -125,6 +213,19 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+# ---- 8 token files ----------------------------------------------------------
+
+@query("op8_token_files")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, written to coded files and read back."""
+    path = work_path(spark, "token-files")
+    token_store.write_tokens(
+        table(spark, sf_dir, "documents"), path, tokenizer=tokenizer_file("byte_bpe_50k.json"), end_id=2
+    )
+    read = token_store.read_tokens(spark, path, digest=True)
+    return token_store.with_start(spark, path, read).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 # ---- 9 near duplicates ------------------------------------------------------
 
 @query(
@@ -150,7 +251,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents: three-word shingles, Jaccard of 0.85."""
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+    found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 # ---- 10 language ID ---------------------------------------------------------
