@@ -5,9 +5,15 @@ independent, and many blocks are coded side by side in numpy arrays.
 
 For each id, order 2 (the two ids before) and order 1 (the id before) each offer
 the id last seen in that context. Which of them is right, or neither, is coded
-with frequencies mixed from counts by both confidences and counts of the whole
-block. An id that neither offers is coded by order 0: adaptive counts of its bit
-length, then its lower bits. Blocks are sequences of 16-bit words.
+with a mix of adaptive counts: those of the situation (is there an order-2 offer,
+do the offers agree, what was right last time) and those of the whole block. An
+id that neither offers is coded by order 0: adaptive counts of its class (bit
+length, the longest split by leading bits), then its lower bits. Counts grow with
+every id; distributions take them over every ``_FRESH`` ids.
+
+The coder keeps a range of 2**32 to 2**48 and emits 16-bit words; carries into
+words already emitted are resolved at the end. Quotients are taken in double
+precision, which is exact for numbers below 2**53.
 """
 
 from __future__ import annotations
@@ -17,139 +23,170 @@ import zlib
 import numpy as np
 
 BLOCK = 2048
-CLASSES = 17
-_SLOTS1, _SLOTS2 = 512, 2048
-_FRESH = 32  # steps between refreshes of the order-0 distribution
-_LOW16 = np.int64(0xFFFF)
-_FULL = np.int64(0xFFFFFFFF)
+_SLOTS1, _SLOTS2 = 256, 1024
+_FRESH = 32
+_FLAG_BITS, _CLASS_BITS, _SPARE_BITS = 10, 10, 12  # together the 32 bits that the range has at least
+_MOST = 2000                      # counts are halved beyond this sum
+_LEAST, _FULL = np.int64(1 << 32), np.int64(1 << 48)
+_LOW32 = np.int64((1 << 32) - 1)
+_A, _B = np.int64(40503), np.int64(30011)
+
+
+def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class of each id, first id and spare bits of each class; at most ``_SPARE_BITS`` spare bits."""
+    firsts, spares = [0, 1], [0, 0]
+    for length in range(2, 17):
+        spare = min(length - 1, _SPARE_BITS)
+        for first in range(1 << (length - 1), 1 << length, 1 << spare):
+            firsts.append(first)
+            spares.append(spare)
+    first = np.array(firsts)
+    return np.searchsorted(first, np.arange(1 << 16), side="right") - 1, first, np.array(spares)
+
+
+_CLASS, _FIRST, _SPARE = _classes()
+_UNUSED = _SPARE_BITS - _SPARE
+CLASSES = len(_FIRST)
+_WIDE = CLASSES + 1
 
 
 class _Model:
     """Adaptive state of ``k`` blocks; encoder and decoder make the same calls."""
 
     def __init__(self, k: int):
-        self.k = k
-        self.base1 = np.arange(k, dtype=np.int64) * _SLOTS1
-        self.base2 = np.arange(k, dtype=np.int64) * _SLOTS2
-        self.table1 = np.zeros(k * _SLOTS1, dtype=np.int32)  # (id + 1) * 4 + confidence
+        lanes = np.arange(k, dtype=np.int64)
+        self.base1, self.base2 = lanes * _SLOTS1, lanes * _SLOTS2
+        self.table1 = np.zeros(k * _SLOTS1, dtype=np.int32)  # id + 1
         self.table2 = np.zeros(k * _SLOTS2, dtype=np.int32)
-        self.lane16 = np.arange(k, dtype=np.int64) * 16
-        # per block and pair of confidences: counts of "order 2", "order 1", "neither"
-        self.flags = [np.full(k * 16, c, dtype=np.int32) for c in (1, 1, 2)]
-        self.whole = [np.full(k, c, dtype=np.int32) for c in (1, 1, 2)]
-        self.classes = np.ones((k, CLASSES), dtype=np.int32)
-        self.upto = np.zeros((k, CLASSES + 1), dtype=np.int64)
-        self.last1 = np.zeros(k, dtype=np.int64)
-        self.last2 = np.zeros(k, dtype=np.int64)
+        # counts of "order 2", "order 1", "neither" in each of 16 situations
+        self.lane16 = lanes * 16
+        self.flags = np.tile(np.array([1, 1, 2, 0], dtype=np.int64), k * 16)
+        self.before = np.zeros(k, dtype=np.int64)
+        self.classes = np.ones((k, CLASSES), dtype=np.int64)
+        self.flat_classes = self.classes.reshape(-1)
+        self.upto = np.zeros((k, _WIDE), dtype=np.int64)
+        self.flat_upto = self.upto.reshape(-1)
+        self.spread = np.arange(_WIDE)
+        self.laneC, self.laneU = lanes * CLASSES, lanes * _WIDE
+        self.last = np.zeros(k, dtype=np.int64)
+        self.older = np.zeros(k, dtype=np.int64)
         self.refresh()
 
     def refresh(self) -> None:
-        big = self.classes.sum(axis=1) > 8192
-        if big.any():
-            self.classes[big] = (self.classes[big] + 1) >> 1
-        np.cumsum(self.classes, axis=1, out=self.upto[:, 1:])
+        """Halve counts that are large and take the counts over into the distributions."""
+        flags = self.flags.reshape(-1, 4)
+        for counts in (flags, self.classes):
+            big = np.flatnonzero(counts.sum(axis=1) > _MOST)
+            if len(big):
+                counts[big] = (counts[big] + 1) >> 1
+        whole = flags.reshape(-1, 16, 4).sum(axis=1)
+        mixed = (flags.reshape(-1, 16, 4) * 16 + whole[:, None, :]).reshape(-1, 4)
+        two, one, none = (mixed[:, j] for j in range(3))
+        room = (1 << _FLAG_BITS) - 3  # each outcome keeps a share of one at least
+        total = two + one + none
+        self.edge2 = two * room // total + 1
+        self.edge1 = (two + one) * room // total + 2
+        upto = np.cumsum(self.classes, axis=1)
+        self.upto[:, 1:] = upto * ((1 << _CLASS_BITS) - CLASSES) // upto[:, -1:]
+        self.upto += self.spread
 
     def look(self, k: int) -> None:
-        """Predictions and mixed frequencies of the first ``k`` blocks."""
-        self.at1 = self.base1[:k] + (self.last1[:k] & (_SLOTS1 - 1))
-        self.at2 = self.base2[:k] + ((self.last1[:k] * 40503 + self.last2[:k] * 30011 >> 4) & (_SLOTS2 - 1))
-        self.seen1, self.seen2 = self.table1[self.at1], self.table2[self.at2]
-        self.guess1, self.guess2 = (self.seen1 >> 2) - 1, (self.seen2 >> 2) - 1
-        self.cell = self.lane16[:k] + ((self.seen2 & 3) << 2) + (self.seen1 & 3)
-        self.f0 = 4 * self.flags[0][self.cell] + self.whole[0][:k]
-        self.f1 = 4 * self.flags[1][self.cell] + self.whole[1][:k]
-        self.total = self.f0 + self.f1 + 4 * self.flags[2][self.cell] + self.whole[2][:k]
-
-    def learn(self, k: int, ids: np.ndarray, flag: np.ndarray) -> None:
-        for j in range(3):
-            hit = flag == j
-            self.flags[j][self.cell] += hit
-            self.whole[j][:k] += hit
-        over = np.flatnonzero(self.total > 4000)
-        if len(over):
-            cell = self.cell[over]
-            for j in range(3):
-                self.flags[j][cell] = (self.flags[j][cell] + 1) >> 1
-                self.whole[j][over] = (self.whole[j][over] + 1) >> 1
-        for table, at, seen, guess in (
-            (self.table1, self.at1, self.seen1, self.guess1), (self.table2, self.at2, self.seen2, self.guess2)
-        ):
-            # right: more confidence; wrong: less, and at none the new id takes the slot
-            confidence = seen & 3
-            table[at] = np.where(
-                guess == ids, seen + (confidence < 3), np.where(confidence > 0, seen - 1, (ids + 1) << 2)
-            )
-        self.last2[:k], self.last1[:k] = self.last1[:k], ids
-
-    def count(self, lanes: np.ndarray, kinds: np.ndarray) -> None:
-        self.classes[lanes, kinds] += 1
-
-
-def _bit_length(ids: np.ndarray) -> np.ndarray:
-    return np.frexp(ids.astype(np.float64))[1].astype(np.int64)
+        """Offers (id + 1) of the first ``k`` blocks and the edges of their outcomes."""
+        last = self.last[:k]
+        self.at1 = (last & (_SLOTS1 - 1)) + self.base1[:k]
+        self.at2 = (((last * _A + self.older[:k]) >> 4) & (_SLOTS2 - 1)) + self.base2[:k]
+        self.offer1, self.offer2 = self.table1[self.at1], self.table2[self.at2]
+        self.cell = self.before[:k] + self.lane16[:k] + (self.offer2 > 0) + 2 * (self.offer1 == self.offer2)
+        self.low, self.high = self.edge2[self.cell], self.edge1[self.cell]
+
+    def learn(self, k: int, next_id: np.ndarray, flag: np.ndarray) -> None:
+        """Take in ``next_id`` (id + 1)."""
+        self.flags[(self.cell << 2) + flag] += 1
+        self.table1[self.at1] = next_id
+        self.table2[self.at2] = next_id
+        self.before[:k] = flag << 2
+        self.older[:k] = self.last[:k] * _B
+        self.last[:k] = next_id
 
 
 def _divide(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whole quotient of numbers below 2**33; exact in double precision."""
-    return (a / b).astype(np.int64)
+    return np.divide(a, b).astype(np.int64)
 
 
 class _Writer:
     def __init__(self, k: int, steps: int):
-        self.words = np.zeros((k, 2 * steps + 4), dtype=np.int32)
-        self.size = np.zeros(k, dtype=np.int64)
+        self.width = 2 * steps + 16
+        self.words = np.zeros(k * self.width, dtype=np.int32)
+        self.first = np.arange(k, dtype=np.int64) * self.width
+        self.next = self.first.copy()
         self.low = np.zeros(k, dtype=np.int64)
         self.range = np.full(k, _FULL)
 
-    def put(self, lanes, start, width, total) -> None:
-        """Narrow the range of ``lanes`` (a slice or positions) to [start, start + width) of total."""
-        part = _divide(self.range[lanes], total)
+    def put(self, k: int, start, width, bits: int) -> None:
+        part = self.range[:k] >> bits
+        self.low[:k] += start * part
+        np.multiply(width, part, out=self.range[:k])
+
+    def put_some(self, lanes, start, width, bits: int) -> None:
+        part = self.range[lanes] >> bits
         self.low[lanes] += start * part
         self.range[lanes] = width * part
-        self._shift(np.flatnonzero(self.range <= _LOW16))
-
-    def _shift(self, lanes: np.ndarray) -> None:
-        if len(lanes):
-            low = self.low[lanes]
-            self.words[lanes, self.size[lanes]] = low >> 16  # may hold a carry, resolved at the end
-            self.size[lanes] += 1
-            self.low[lanes] = (low & _LOW16) << 16
+
+    def shift(self) -> None:
+        while True:
+            lanes = np.flatnonzero(self.range <= _LEAST)
+            if not len(lanes):
+                return
+            self._emit(lanes)
             self.range[lanes] <<= 16
 
+    def _emit(self, lanes: np.ndarray) -> None:
+        low, at = self.low[lanes], self.next[lanes]
+        self.words[at] = low >> 32  # may hold a carry
+        self.next[lanes] = at + 1
+        self.low[lanes] = (low & _LOW32) << 16
+
     def finish(self) -> list[bytes]:
-        for _ in range(2):
-            self._shift(np.arange(len(self.low)))
-        carry = np.zeros(len(self.low), dtype=np.int32)
-        for j in range(int(self.size.max(initial=0)) - 1, -1, -1):
-            word = self.words[:, j] + carry
-            self.words[:, j] = word & 0xFFFF
+        for _ in range(3):
+            self._emit(np.arange(len(self.low)))
+        sizes = self.next - self.first
+        words = self.words.reshape(-1, self.width)
+        carry = np.zeros(len(sizes), dtype=np.int32)
+        for j in range(int(sizes.max(initial=0)) - 1, -1, -1):
+            word = words[:, j] + carry
+            words[:, j] = word & 0xFFFF
             carry = word >> 16
-        words = self.words.astype("<u2")
-        return [words[i, :n].tobytes() for i, n in enumerate(self.size)]
+        return [words[i, :n].astype("<u2").tobytes() for i, n in enumerate(sizes)]
 
 
 class _Reader:
     def __init__(self, blocks: list[bytes]):
-        k, most = len(blocks), max(map(len, blocks)) // 2 + 4
-        self.words = np.zeros((k, most), dtype=np.uint16)
+        k, width = len(blocks), max(map(len, blocks)) // 2 + 4
+        words = np.zeros((k, width), dtype=np.int64)
         for i, b in enumerate(blocks):
-            self.words[i, : len(b) // 2] = np.frombuffer(b, dtype="<u2")
-        self.value = (self.words[:, 0].astype(np.int64) << 16) | self.words[:, 1]
-        self.next = np.full(k, 2, dtype=np.int64)
+            words[i, : len(b) // 2] = np.frombuffer(b, dtype="<u2")
+        self.value = (words[:, 0] << 32) | (words[:, 1] << 16) | words[:, 2]
+        self.words = words.astype(np.uint16).reshape(-1)
+        self.next = np.arange(k, dtype=np.int64) * width + 3
         self.range = np.full(k, _FULL)
 
-    def peek(self, lanes, total) -> np.ndarray:
-        self.part = _divide(self.range[lanes], total)
-        return np.minimum(_divide(self.value[lanes], self.part), total - 1)
+    def peek(self, lanes, bits: int) -> np.ndarray:
+        self.part = self.range[lanes] >> bits
+        return np.minimum(_divide(self.value[lanes], self.part), (1 << bits) - 1)
 
     def take(self, lanes, start, width) -> None:
         self.value[lanes] -= start * self.part
         self.range[lanes] = width * self.part
-        short = np.flatnonzero(self.range <= _LOW16)
-        if len(short):
-            self.value[short] = (self.value[short] << 16) | self.words[short, self.next[short]]
-            self.next[short] += 1
-            self.range[short] <<= 16
+
+    def shift(self) -> None:
+        while True:
+            lanes = np.flatnonzero(self.range <= _LEAST)
+            if not len(lanes):
+                return
+            at = self.next[lanes]
+            self.value[lanes] = (self.value[lanes] << 16) | self.words[at]
+            self.next[lanes] = at + 1
+            self.range[lanes] <<= 16
 
 
 def encode(ids: np.ndarray) -> list[bytes]:
@@ -158,70 +195,76 @@ def encode(ids: np.ndarray) -> list[bytes]:
     if not n:
         return []
     k = -(-n // BLOCK)
+    steps, tail = min(BLOCK, n), n - (k - 1) * BLOCK
     grid = np.zeros(k * BLOCK, dtype=np.int64)
     grid[:n] = ids
+    grid += 1
     grid = np.ascontiguousarray(grid.reshape(k, BLOCK).T)
-    lengths = _bit_length(grid)
-    tail = n - (k - 1) * BLOCK
-    model, out = _Model(k), _Writer(k, min(BLOCK, n))
-    for t in range(min(BLOCK, n)):
+    model, out = _Model(k), _Writer(k, steps)
+    for t in range(steps):
         if t % _FRESH == 0 and t:
             model.refresh()
         m = k if t < tail else k - 1
-        now = grid[t, :m]
+        next_id = grid[t, :m]
         model.look(m)
-        flag = np.where(model.guess2 == now, 0, np.where(model.guess1 == now, 1, 2))
-        f0, f01 = model.f0, model.f0 + model.f1
-        start = np.where(flag == 0, 0, np.where(flag == 1, f0, f01))
-        width = np.where(flag == 0, f0, np.where(flag == 1, model.f1, model.total - f01))
-        out.put(slice(0, m), start, width, model.total)
+        right2, right1 = model.offer2 == next_id, model.offer1 == next_id
+        start = np.where(right2, 0, np.where(right1, model.low, model.high))
+        end = np.where(right2, model.low, np.where(right1, model.high, 1 << _FLAG_BITS))
+        flag = np.where(right2, 0, 2 - right1)
+        out.put(m, start, end - start, _FLAG_BITS)
         rest = np.flatnonzero(flag == 2)
         if len(rest):
-            kind = lengths[t, rest]
-            start = model.upto[rest, kind]
-            out.put(rest, start, model.upto[rest, kind + 1] - start, model.upto[rest, CLASSES])
-            spare = np.maximum(kind - 1, 0)
-            out.put(rest, now[rest] & ((1 << spare) - 1), 1, 1 << spare)
-            model.count(rest, kind)
-        model.learn(m, now, flag)
+            values = next_id[rest] - 1
+            kind = _CLASS[values]
+            at = model.laneU[rest] + kind
+            start = model.flat_upto[at]
+            width = (model.flat_upto[at + 1] - start) << _UNUSED[kind]
+            out.put_some(
+                rest, (start << _SPARE_BITS) + (values - _FIRST[kind]) * width, width, _CLASS_BITS + _SPARE_BITS
+            )
+            model.flat_classes[model.laneC[rest] + kind] += 1
+        out.shift()
+        model.learn(m, next_id, flag)
     return out.finish()
 
 
 def decode(blocks: list[bytes], n: int) -> np.ndarray:
     """The ``n`` ids of ``encode``."""
     if not n:
-        return np.zeros(0, dtype=np.int64)
+        return np.zeros(0, dtype=np.uint16)
     k = len(blocks)
-    tail = n - (k - 1) * BLOCK
-    grid = np.zeros((min(BLOCK, n), k), dtype=np.int64)
+    steps, tail = min(BLOCK, n), n - (k - 1) * BLOCK
+    grid = np.zeros((steps, k), dtype=np.uint16)
     model, source = _Model(k), _Reader(blocks)
-    for t in range(min(BLOCK, n)):
+    for t in range(steps):
         if t % _FRESH == 0 and t:
             model.refresh()
         m = k if t < tail else k - 1
         model.look(m)
-        f0, f01 = model.f0, model.f0 + model.f1
-        value = source.peek(slice(0, m), model.total)
-        flag = (value >= f0).astype(np.int64) + (value >= f01)
-        start = np.where(flag == 0, 0, np.where(flag == 1, f0, f01))
-        width = np.where(flag == 0, f0, np.where(flag == 1, model.f1, model.total - f01))
-        source.take(slice(0, m), start, width)
-        now = np.where(flag == 0, model.guess2, model.guess1).astype(np.int64)
-        rest = np.flatnonzero(flag == 2)
+        lanes = slice(0, m)
+        value = source.peek(lanes, _FLAG_BITS)
+        not2, neither = value >= model.low, value >= model.high
+        start = np.where(neither, model.high, np.where(not2, model.low, 0))
+        end = np.where(neither, 1 << _FLAG_BITS, np.where(not2, model.high, model.low))
+        flag = not2.astype(np.int64) + neither
+        source.take(lanes, start, end - start)
+        next_id = np.where(not2, model.offer1, model.offer2).astype(np.int64)
+        rest = np.flatnonzero(neither)
         if len(rest):
-            upto = model.upto[rest]
-            value = source.peek(rest, upto[:, CLASSES])
-            kind = (upto[:, 1:] <= value[:, None]).sum(axis=1)
-            at = np.arange(len(rest))
-            source.take(rest, upto[at, kind], upto[at, kind + 1] - upto[at, kind])
-            spare = np.maximum(kind - 1, 0)
-            bits = source.peek(rest, 1 << spare)
-            source.take(rest, bits, 1)
-            now[rest] = np.where(kind > 0, (1 << spare) | bits, 0)
-            model.count(rest, kind)
-        grid[t, :m] = now
-        model.learn(m, now, flag)
-    return grid.T.reshape(-1)[:n] if n >= BLOCK else grid[:, 0]
+            value = source.peek(rest, _CLASS_BITS + _SPARE_BITS)
+            kind = (model.upto[rest, 1:] <= (value >> _SPARE_BITS)[:, None]).sum(axis=1)
+            at = model.laneU[rest] + kind
+            start = model.flat_upto[at]
+            width = (model.flat_upto[at + 1] - start) << _UNUSED[kind]
+            start <<= _SPARE_BITS
+            bits = _divide(value - start, width)
+            source.take(rest, start + bits * width, width)
+            next_id[rest] = _FIRST[kind] + bits + 1
+            model.flat_classes[model.laneC[rest] + kind] += 1
+        source.shift()
+        grid[t, :m] = next_id - 1
+        model.learn(m, next_id, flag)
+    return np.ascontiguousarray(grid.T).reshape(-1)[:n]
 
 
 def checksums(blocks: list[bytes]) -> np.ndarray:

@@ -32,7 +32,7 @@ from tickstate.llm import token_coder
 from tickstate.llm.common import slices, texts
 
 MAGIC = b"TKF1"
-FRAME_IDS = 2_000_000
+FRAME_IDS = 4_000_000
 PART_BYTES = 24_000_000
 _CACHED_WORDS, _CACHED_LENGTH = 400_000, 48
 
