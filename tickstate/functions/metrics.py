@@ -8,9 +8,16 @@ from pyspark.sql import functions as F
 RATIO = "decimal(38,12)"
 
 
+def quotient(top: Column, bottom: Column, top_type: str, bottom_type: str) -> Column:
+    """Quotient in the given types, which leave many digits; in full width where a value
+    does not fit them. Null on a zero or null divisor or a result beyond 26 digits."""
+    narrow = F.try_divide(top.try_cast(top_type), bottom.try_cast(bottom_type))
+    return F.coalesce(narrow.try_cast(RATIO), F.try_divide(top, bottom).try_cast(RATIO))
+
+
 def divide(top: Column, bottom: Column) -> Column:
-    """Decimal quotient with at least eight digits, null on a zero or null divisor."""
-    return F.try_divide(top.cast("decimal(28,12)"), bottom.cast("decimal(20,8)")).cast(RATIO)
+    """Decimal quotient with at least eight digits (six beyond 16 integer digits)."""
+    return quotient(top, bottom, "decimal(28,12)", "decimal(20,8)")
 
 
 def spread(bid: Column, ask: Column) -> Column:
@@ -26,15 +33,13 @@ def spread_bps(bid: Column, ask: Column) -> Column:
 
 
 def microprice(bid: Column, bid_qty: Column, ask: Column, ask_qty: Column) -> Column:
-    return F.try_divide(
-        (ask * bid_qty + bid * ask_qty).cast("decimal(34,14)"), (bid_qty + ask_qty)
-    ).cast(RATIO)
+    return quotient(
+        ask * bid_qty + bid * ask_qty, bid_qty + ask_qty, "decimal(34,14)", "decimal(19,8)"
+    )
 
 
 def imbalance(left: Column, right: Column) -> Column:
-    return F.try_divide(
-        (left - right).cast("decimal(24,8)"), (left + right).cast("decimal(24,8)")
-    ).cast("decimal(18,12)")
+    return quotient(left - right, left + right, "decimal(24,8)", "decimal(24,8)").cast("decimal(18,12)")
 
 
 def notional(levels: Column) -> Column:

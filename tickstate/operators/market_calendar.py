@@ -193,8 +193,10 @@ def transition_results(
 ) -> DataFrame:
     """One row per boundary from the attempts made around it.
 
-    The first ``slots`` attempts requested within ``before_s`` before and
-    ``after_s`` after the boundary count; the first one found wins.
+    The time from ``before_s`` before to ``after_s`` after the boundary has
+    ``slots`` slots; the first attempt requested in each slot counts, and the first
+    of these that is found wins. Further attempts of a slot, as merged logs hold
+    them, are left out, so they neither use up slots nor hide a later find.
     """
     second = 1_000_000
     start = _micros("expected_start")
@@ -202,8 +204,17 @@ def transition_results(
     inside = attempts.where(
         requested.between(start - before_s * second, start + after_s * second)
     )
+    width = (before_s + after_s) * second // (slots - 1)
+    slot = F.call_function("div", requested - (start - before_s * second), F.lit(width))
+    kept = [c for c in inside.columns if c not in BOUNDARY]
+    first = (
+        inside.groupBy(*BOUNDARY, slot.alias("_slot"))
+        .agg(F.min_by(F.struct(*kept), F.struct("requested_at", "resolved_at")).alias("_a"))
+        .select(*BOUNDARY, "_a.*")
+    )
+    # at most ``slots`` rows a boundary
     by_time = Window.partitionBy(*BOUNDARY).orderBy("requested_at", "resolved_at")
-    ranked = inside.withColumn("_no", F.row_number().over(by_time)).where(F.col("_no") <= slots)
+    ranked = first.withColumn("_no", F.row_number().over(by_time))
     found = F.col("outcome") == "found"
     first_found = F.min(F.when(found, F.col("_no")))
     text = F.coalesce("error", F.lit("market_not_found"))
@@ -301,7 +312,12 @@ def state_timeline(results: DataFrame) -> DataFrame:
 def startup_results(
     attempts: DataFrame, max_attempts: int = 3, keys: tuple[str, ...] = ("timeframe",)
 ) -> DataFrame:
-    """The first of ``max_attempts`` attempts whose market has not ended yet."""
+    """The first of ``max_attempts`` attempts whose market has not ended yet.
+
+    A start makes at most that many attempts, so the window needs only the first
+    ones of each key and Spark keeps no more per task before it shuffles.
+    ``attempt_count`` is the number of attempts seen.
+    """
     by_time = Window.partitionBy(*keys).orderBy("requested_at", "resolved_at")
     ranked = attempts.withColumn("_no", F.row_number().over(by_time)).where(
         F.col("_no") <= max_attempts
@@ -317,6 +333,7 @@ def startup_results(
         F.min_by("resolved_at", F.when(alive, F.col("_no"))).alias("_alive_at"),
         F.max("resolved_at").alias("_last_at"),
         F.max_by(text, "_no").alias("_error"),
+        F.max("_no").alias("_seen"),
     )
     ok = F.col("_alive_no").isNotNull()
     tf = F.col("timeframe")
@@ -328,7 +345,7 @@ def startup_results(
         "current_market",
         F.when(ok, ends).otherwise(later).alias("expected_transition"),
         F.coalesce("_alive_at", "_last_at").alias("updated_at"),
-        F.when(ok, F.col("_alive_no")).otherwise(max_attempts).cast("bigint").alias("attempt_count"),
+        F.coalesce("_alive_no", "_seen").cast("bigint").alias("attempt_count"),
         F.when(~ok, F.col("_error")).alias("last_error"),
     )
 

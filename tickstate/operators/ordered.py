@@ -221,8 +221,8 @@ def with_time_chunk(
     Buckets are minutes; a minute with too many rows is split into seconds, a
     second with too many into milliseconds. The list of split buckets has at
     most ``rows / chunk_rows`` entries. Rows must be unique per (keys, ns), so a
-    millisecond holds at most a million rows by construction. Whether any minute
-    is too full is checked first (one aggregation), so ``df`` should be materialized.
+    millisecond holds at most a million rows by construction. ``df`` is read twice,
+    so it should be materialized.
     """
     starts = [F.expr(f"`{ns}` - pmod(`{ns}`, {w})") for w in _WIDTHS]
     marked = df.select("*", *[s.alias(f"_w{i}") for i, s in enumerate(starts)])
@@ -230,8 +230,6 @@ def with_time_chunk(
     minutes = (
         counts.groupBy(*keys, "_w0").agg(F.sum("_n").alias("_n0")).where(F.col("_n0") > chunk_rows)
     )
-    if minutes.isEmpty():
-        return df.withColumn(CHUNK, starts[0])
     seconds = counts.where(F.col("_n") > chunk_rows).select(*keys, "_w0", "_w1", "_n")
     split = minutes.join(
         seconds.groupBy(*keys, "_w0").agg(F.collect_set("_w1").alias("_hot")),

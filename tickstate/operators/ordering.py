@@ -56,6 +56,11 @@ def keep_non_decreasing(
     return _against_maximum(df, time_col, keys, order, chunk_rows, False)
 
 
+def in_ns(value: Column, factor: int | Column) -> Column:
+    """``value`` in nanoseconds; null where that does not fit."""
+    return F.try_multiply(value, F.lit(factor) if isinstance(factor, int) else factor)
+
+
 def future_reason(time_ns: Column, now_ns: Column, limit_s: int = 5) -> Column:
     return F.when(time_ns > now_ns + F.lit(limit_s * 1_000_000_000), "future_time")
 
@@ -128,14 +133,14 @@ def assign_sequence(df: DataFrame, order_cols: list[str], name: str = "ingest_se
 
 
 def to_ns(df: DataFrame, cols: list[str], unit_col: str) -> DataFrame:
-    """Add ``<col>_ns`` from a column in ``us``, ``ms`` or ``s``."""
+    """Add ``<col>_ns`` from a column in ``us``, ``ms`` or ``s``; null where it does not fit."""
     factor = (
         F.when(F.col(unit_col) == "us", 1_000)
         .when(F.col(unit_col) == "ms", 1_000_000)
         .when(F.col(unit_col) == "s", 1_000_000_000)
         .cast("bigint")
     )
-    return df.withColumns({f"{c}_ns": F.col(c).cast("bigint") * factor for c in cols})
+    return df.withColumns({f"{c}_ns": in_ns(F.col(c).cast("bigint"), factor) for c in cols})
 
 
 def reject_summary(rejects: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tickstate.functions import variants as V
 from tickstate.functions.decimals import decimal_reason, to_decimal
 from tickstate.operators.ordered import materialize
-from tickstate.operators.ordering import ARRIVAL, content_id
+from tickstate.operators.ordering import ARRIVAL, content_id, in_ns
 from tickstate.operators.parse_common import (
     event_columns,
     first_of,
@@ -40,12 +40,15 @@ def explode_frames(frames: DataFrame) -> DataFrame:
     ).otherwise(F.array(v))
     rows = frames.select("*", F.posexplode(messages).alias("position", "message"))
     m = F.col("message")
+    sent = V.get(m, "$.timestamp", "string").try_cast("bigint")
     return rows.withColumns(
         {
             "event_type": V.text_at(m, "$.event_type"),
-            "source_timestamp_ns": V.get(m, "$.timestamp", "string").try_cast("bigint") * 1_000_000,
+            "source_timestamp_ns": in_ns(sent, 1_000_000),
             "_shape": first_of(
-                json_reason(F.col("raw"), m), when(~V.is_object(m, "$", "event_type"), "not_object")
+                json_reason(F.col("raw"), m),
+                when(~V.is_object(m, "$", "event_type"), "not_object"),
+                F.when((sent > 0) & in_ns(sent, 1_000_000).isNull(), "timestamp_out_of_range"),
             ),
         }
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tickstate import params as P
 from tickstate.functions import variants as V
 from tickstate.functions.decimals import decimal_reason, to_decimal
-from tickstate.operators.ordering import future_reason, keyed_id
+from tickstate.operators.ordering import future_reason, in_ns, keyed_id
 from tickstate.operators.parse_common import (
     event_columns,
     first_of,
@@ -33,6 +33,11 @@ def _checked(field: str, positive: bool, kind: str = "decimal(18,8)") -> Column:
     return F.concat(F.lit(f"{field}_"), reason)
 
 
+def _beyond(field: str) -> Column:
+    """A valid source time whose nanoseconds do not fit lies in the future."""
+    return F.when(F.col(field).isNotNull() & F.col("source_ns").isNull(), "future_time")
+
+
 def parse_oracle_price(
     frames: DataFrame, future_limit_s: int = 5, chunk_rows: int = P.CHUNK_ROWS
 ) -> tuple[DataFrame, DataFrame]:
@@ -51,7 +56,7 @@ def parse_oracle_price(
             "_object": V.is_object(v, "$", "topic"),
             "_payload": V.is_object(v, "$.payload", "symbol"),
         }
-    ).withColumn("source_ns", F.col("source_ms") * 1_000_000)
+    ).withColumn("source_ns", in_ns(F.col("source_ms"), 1_000_000))
     df = _with_values(df, "price", kind=WIDE)
     before = first_of(
         F.col("_json"),
@@ -62,6 +67,7 @@ def parse_oracle_price(
         when(F.col("symbol") != P.ORACLE_SYMBOL, "unexpected_symbol"),
         when(F.col("source_ms").isNull(), "invalid_payload_timestamp"),
         when(F.col("server_ms").isNull(), "invalid_timestamp"),
+        _beyond("source_ms"),
         future_reason(F.col("source_ns"), F.col("received_wall_ns"), future_limit_s),
     )
     after = first_of(
@@ -79,7 +85,7 @@ def parse_oracle_price(
             "stream": F.lit("chainlink_price"),
             "instrument": F.lit(P.ORACLE_INSTRUMENT),
             "source_timestamp_ns": F.col("source_ns"),
-            "server_timestamp_ns": F.col("server_ms") * 1_000_000,
+            "server_timestamp_ns": in_ns(F.col("server_ms"), 1_000_000),
             "source_sequence": F.col("source_ms"),
             "payload_raw": F.col("raw"),
             "p_oracle": F.struct(
@@ -98,13 +104,15 @@ def _spot(frames: DataFrame, stream: str, field: str) -> tuple[DataFrame, Column
     """
     raw = F.col("raw")
     others = [name for name in P.SPOT_STREAMS.values() if name != stream]
+    # the name may be written with \\u escapes; without any it stands there as it is
+    escaped = raw.contains("\\u")
     if stream == P.SPOT_STREAMS["trade"]:
         # text of another stream is a hint; only then is the field itself looked at
-        hinted = raw.contains(others[0]) | raw.contains(others[1])
+        hinted = raw.contains(others[0]) | raw.contains(others[1]) | escaped
         named = F.get_json_object(raw, "$.stream").isin(others)
         frames = frames.where(~hinted | ~F.coalesce(named, F.lit(False)))
     else:
-        frames = frames.where(raw.contains(stream))
+        frames = frames.where(raw.contains(stream) | escaped)
     df = frames.withColumn("v", F.try_parse_json("raw"))
     v = F.col("v")
     df = df.withColumns(
@@ -157,7 +165,7 @@ def parse_agg_trades(
             "price_text": V.scalar_at(v, "$.data.p"),
             "quantity_text": V.scalar_at(v, "$.data.q"),
         }
-    ).withColumn("source_ns", F.col("trade_at") * factor)
+    ).withColumn("source_ns", in_ns(F.col("trade_at"), factor))
     df = _with_values(df, "price", "quantity")
     before = first_of(
         shared,
@@ -172,6 +180,7 @@ def parse_agg_trades(
         when(F.col("first_no") > F.col("last_no"), "first_after_last"),
         when(F.col("event_at").isNull(), "invalid_event_time"),
         when(F.col("trade_at").isNull(), "invalid_trade_time"),
+        _beyond("trade_at"),
         future_reason(F.col("source_ns"), F.col("received_wall_ns"), future_limit_s),
         when(F.col("maker").isNull(), "invalid_maker"),
         _checked("price", True),
@@ -194,7 +203,7 @@ def parse_agg_trades(
         _spot_event("binance_agg_trade", "aggTrade", "trade_no", False)
         | {
             "source_timestamp_ns": F.col("source_ns"),
-            "server_timestamp_ns": F.col("event_at") * factor,
+            "server_timestamp_ns": in_ns(F.col("event_at"), factor),
             "p_trade": payload,
         }
     )

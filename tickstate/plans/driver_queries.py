@@ -196,7 +196,7 @@ def _json_frame(template: str, *parts: Column) -> Column:
 
 P3_CHECK = """case when k = 0 then 'unexpected_topic' when k = 1 then 'unexpected_type'
   when k = 2 then 'unexpected_symbol' when k = 3 then 'invalid_payload_timestamp'
-  when k = 4 then 'future_time' when k = 8 then 'control' when k = 9 then 'not_json' end"""
+  when k in (4, 10) then 'future_time' when k = 8 then 'control' when k = 9 then 'not_json' end"""
 P3_AFTER = """case when k = 5 then 'price_missing' when k = 6 then 'price_not_finite'
   when k = 7 or price = 0 then 'price_not_positive' end"""
 
@@ -225,7 +225,9 @@ def p3(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k == 1, "subscribe").otherwise("update"),
         ms,
         F.when(k == 2, "eth/usd").otherwise("btc/usd"),
-        F.when(k == 3, F.concat(F.lit('"'), ms.cast("string"), F.lit('"'))).otherwise(ms.cast("string")),
+        F.when(k == 3, F.concat(F.lit('"'), ms.cast("string"), F.lit('"')))
+        .when(k == 10, (ms * 1000).cast("string"))  # microseconds: nanoseconds do not fit
+        .otherwise(ms.cast("string")),
         F.when(k == 5, "")
         .when(k == 6, ',"value":"NaN"')
         .when(k == 7, ',"value":"0"')
@@ -256,12 +258,12 @@ def monotone_sql(before: str, after: str, number: str, values: str, source: str
     f"""with {EV}, """
     + monotone_sql(
         "case when k = 0 then 'unexpected_stream' when k in (1, 2) then 'invalid_identity' when k = 3 then 'invalid_trade_id' end",
-        """case when k = 4 then 'first_after_last' when k = 5 then 'future_time' when k = 6 then 'invalid_maker'
-          when k = 7 then 'price_negative' when k = 8 then 'quantity_not_positive' when price = 0 then 'price_not_positive' end""",
+        """case when k = 4 then 'first_after_last' when k in (5, 9) then 'future_time' when k = 6 then 'invalid_maker'
+          when k = 7 then 'price_negative' when k = 8 then 'quantity_not_positive' when price = 0 and k <> 10 then 'price_not_positive' end""",
         "seq + 10 - case when k >= 95 then 10 else 0 end",
         """case when reason = 'ok' then case when k % 2 = 0 then 'sell' else 'buy' end end as taker_side,
-          case when reason = 'ok' then cast(price as double) end as price,
-          case when reason = 'ok' then cast(k + 1 as double) end as quantity""",
+          case when reason = 'ok' then case when k = 10 then 9999999999.0::double else cast(price as double) end end as price,
+          case when reason = 'ok' then case when k = 10 then 9999999999.0::double else cast(k + 1 as double) end end as quantity""",
     ),
 )
 def p4(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -275,11 +277,11 @@ def p4(spark: SparkSession, sf_dir: str) -> DataFrame:
         us,
         F.when(k == 2, "ETHUSDT").otherwise("BTCUSDT"),
         F.when(k == 3, '"7"').otherwise(number.cast("string")),
-        F.when(k == 7, "-1").otherwise(v),
-        F.when(k == 8, "0.0").otherwise((k + 1).cast("string")),
+        F.when(k == 7, "-1").when(k == 10, "9999999999").otherwise(v),
+        F.when(k == 8, "0.0").when(k == 10, "9999999999").otherwise((k + 1).cast("string")),
         F.when(k == 4, F.col("seq") + 9).otherwise(F.col("seq")),
         F.col("seq") + 1,
-        us + F.when(k == 5, 5_000_001).otherwise(0),
+        F.when(k == 9, us * 1000).otherwise(us + F.when(k == 5, 5_000_001).otherwise(0)),
         F.when(k == 6, "1").when(k % 2 == 0, "true").otherwise("false"),
     )
     accepted, rejected = parse_agg_trades(A.frames(ev, "binance_spot", raw))
@@ -318,7 +320,8 @@ def p5(spark: SparkSession, sf_dir: str) -> DataFrame:
         100 - k,
     )
     raw = F.concat(
-        F.lit('{"stream":"btcusdt@bookTicker","data":'), F.when(k == 0, "[]").otherwise(data), F.lit("}")
+        F.lit('{"stream":"btcusdt'), F.when(k == 6, "\\u0040").otherwise("@"),
+        F.lit('bookTicker","data":'), F.when(k == 0, "[]").otherwise(data), F.lit("}")
     )
     accepted, rejected = parse_book_ticker(A.frames(ev, "binance_spot", raw))
     return outcome(

@@ -180,13 +180,14 @@ ab as (select *, t - t % d + d as start from att),
 aa as (select *, start * 1000000 - 5000000 + (k % 21) * 500000 as asked,
     start * 1000000 - 5000000 + (k % 21) * 500000 + 100000 + seq % 1000 * 100 as done,
     event_type in ('view', 'purchase', 'click') as found, case when event_type = 'error' then 'http ' || k end as error from ab),
-an as (select *, row_number() over (partition by timeframe, start order by asked, done) as no from aa),
+an as (select *, row_number() over (partition by timeframe, start order by asked, done) as no from (
+  select * from aa qualify row_number() over (partition by timeframe, start, asked order by done) = 1)),
 tr as (
   select timeframe, start, any_value(d) as d, min(asked) as searched, min(no) filter (where found) as fno, min(done) filter (where found and no = ff) as found_at,
     max(no) as tries, max(done) as finished, arg_max(coalesce(error, 'market_not_found'), no) as last,
     count(*) filter (where done < start * 1000000) as early_n,
     arg_max(coalesce(error, 'market_not_found'), no) filter (where done < start * 1000000) as early_error
-  from (select *, min(no) filter (where found) over (partition by timeframe, start) as ff from an where no <= 21)
+  from (select *, min(no) filter (where found) over (partition by timeframe, start) as ff from an)
   group by timeframe, start)"""
 
 
@@ -248,10 +249,10 @@ def d10(spark: SparkSession, sf_dir: str) -> DataFrame:
     "d11_startup_results",
     f"""with {EV}, {AT}, x as (select *, row_number() over (partition by timeframe, event_type, t // 86400 order by asked, done + k * 20000000) as r,
         found and (start + d) * 1000000 > done + k * 20000000 as alive from aa),
-      g as (select timeframe, event_type, t // 86400 as day, min(r) filter (where alive) as a, arg_max(case when found then 'market_expired_during_startup'
+      g as (select timeframe, event_type, t // 86400 as day, min(r) filter (where alive) as a, max(r) as seen, arg_max(case when found then 'market_expired_during_startup'
           else coalesce(error, 'market_not_found') end, r) as last from x where r <= 3 group by all)
     select timeframe, event_type, day, case when a is not null then 'active' else 'transition_failed' end as state,
-      coalesce(a, 3) as attempt_count, case when a is null then last end as last_error from g""",
+      coalesce(a, seen) as attempt_count, case when a is null then last end as last_error from g""",
 )
 def d11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One startup per timeframe, event type and day; slow answers come too late."""
