@@ -69,7 +69,8 @@ COMPARED = ("event_count", "first_ingest_sequence", "last_ingest_sequence")
 
 def manifest_mismatches(stats: DataFrame, segments: DataFrame) -> DataFrame:
     """Q3: files whose count or sequence bounds differ from the manifest, or lack a side."""
-    joined = join_manifests(stats, segments)
+    path = _same_path("file_path")
+    joined = join_manifests(stats.withColumn("file_path", path), segments.withColumn("file_path", path))
     reason = (
         F.when(F.col("manifest_event_count").isNull(), "manifest_missing")
         .when(F.col("file_event_count").isNull(), "file_missing")

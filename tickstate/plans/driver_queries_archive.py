@@ -680,43 +680,38 @@ def q7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return issues.groupBy("issue").agg(F.count("*").alias("files"))
 
 
-def _line_archive(spark: SparkSession, sf_dir: str) -> str:
-    """Prices as JSON lines with one manifest per file, as a collector leaves them."""
-    path = shared_dir(spark, "archive")
-    rows = _simple_events(A.events(spark, sf_dir))
-    body = F.when(
-        F.col("p_oracle").isNotNull(), F.to_json("p_oracle")
-    ).otherwise(F.to_json("p_trade"))
-    archive.write_event_lines(rows.withColumn("payload_raw", body), path)
-    raw = archive.read_events(spark, path, fmt="json").withColumn("file_path", F.col("_metadata.file_path"))
-    files = audit.read_files(spark, path, archive.LINE_FILES)
-    return path, raw, files
-
-
 @query(
     "q4_q6_s6_segments",
-    f"""with {EV} select case when event_type in ('purchase', 'click') then 'binance_agg_trade' else 'chainlink_price' end as stream,
-      count(*) as events, min(seq) as first_sequence, max(seq) as last_sequence, 0::bigint as hash_mismatches from ev group by 1""",
+    f"""with {EV}, e as (select *, make_timestamp((1700006400000000000 + (ns - 1704067200000000000) // 24) // 1000) as w from ev)
+    select cast(cast(w as date) as varchar) as date, hour(w)::bigint as hour,
+      case when event_type in ('purchase', 'click') then 'binance_agg_trade' else 'chainlink_price' end as stream,
+      count(*) as events, min(seq) as first_sequence, max(seq) as last_sequence,
+      case hour(w) when 3 then 'hash_mismatch' when 5 then 'file_missing' end as mismatch
+    from e group by all""",
 )
 def q4_q6_s6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files without manifests get one (Q6), which is read back (S6) and verified (Q4)."""
-    path, raw, files = _line_archive(spark, sf_dir)
-    none = audit.segment_stats(raw).limit(0)
-    rebuilt = audit.rebuild_segments(raw, files, none)
-    manifests = shared_dir(spark, "manifests")
-    rebuilt.write.parquet(manifests)
-    segments = spark.read.parquet(manifests)
-    bad = audit.hash_mismatches(files, segments).agg(F.count("*").alias("hash_mismatches"))
-    return (
-        segments.groupBy("stream")
-        .agg(
-            F.sum("event_count").alias("events"),
-            F.min("first_ingest_sequence").alias("first_sequence"),
-            F.max("last_ingest_sequence").alias("last_sequence"),
-        )
-        .withColumn("_k", F.lit(0))
-        .join(bad.withColumn("_k", F.lit(0)), "_k")
-        .drop("_k")
+    """A line archive gets a manifest for each file (Q6), which is read back (S6) and verified
+    (Q4); the manifests of one hour then have a wrong hash, those of another no file."""
+    path = shared_dir(spark, "archive")
+    archive.write_event_lines(_simple_events(A.events(spark, sf_dir)), path)
+    archive.write_manifests(spark, path)
+    hour = F.regexp_extract("directory", "hour=([^/]+)", 1).cast("bigint")
+    segments = archive.read_segments(spark, path).withColumns(
+        {
+            "hour": hour,
+            "date": F.regexp_extract("directory", "date=([^/]+)", 1),
+            "sha256": F.when(hour == 3, F.reverse("sha256")).otherwise(F.col("sha256")),
+            "file_path": F.when(hour == 5, F.concat("file_path", F.lit("x"))).otherwise(F.col("file_path")),
+        }
+    )
+    bad = audit.hash_mismatches(audit.read_files(spark, path, archive.LINE_FILES), segments)
+    return segments.join(
+        bad.select("sha256", "mismatch").distinct(), "sha256", "left"
+    ).groupBy("date", "hour", "stream").agg(
+        F.sum("event_count").alias("events"),
+        F.min("first_ingest_sequence").alias("first_sequence"),
+        F.max("last_ingest_sequence").alias("last_sequence"),
+        F.max("mismatch").alias("mismatch"),
     )
 
 
@@ -742,6 +737,7 @@ def q10(spark: SparkSession, sf_dir: str) -> DataFrame:
     full = _full_events(spark, sf_dir)
     path, out = shared_dir(spark, "events"), shared_dir(spark, "replayed")
     archive.write_events(full, path)
+    archive.write_manifests(spark, path, fmt="parquet")
     summary = replay(spark, path, out)
     return summary.drop("first_snapshot_sequence", "last_snapshot_sequence")
 
