@@ -14,7 +14,7 @@ from tickstate.operators.ordering import ARRIVAL
 from tickstate.operators.parse_common import event_columns
 from tickstate.params import RESOLUTION_SOURCE
 from tickstate.plans import adapters as A
-from tickstate.plans.driver_queries import EV, num, query, shared_dir
+from tickstate.plans.driver_queries import EV, cut, num, query, shared_dir
 from tickstate.plans.driver_queries_state import archive_events
 from tickstate.plans.replay import replay
 from tickstate.plans.snapshot import build_snapshots, flatten_snapshots
@@ -769,11 +769,24 @@ def _full_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- ST: streams ------------------------------------------------------------
 
-def _source_stream(spark: SparkSession, df: DataFrame, files: int = 4) -> DataFrame:
-    """A file stream over ``df``, in several micro-batches ordered by arrival."""
+def _source_stream(
+    spark: SparkSession, df: DataFrame, order: str, files: int = 4, closing: DataFrame | None = None, without: tuple = ()
+) -> DataFrame:
+    """A file stream over ``df``: ``files`` micro-batches by ``order``, then ``closing``."""
     path = shared_dir(spark, "stream")
-    df.write.parquet(path)
-    return spark.readStream.schema(df.schema).parquet(path)
+    low, high = df.agg(F.min(order), F.max(order)).first()
+    step = ((high or 0) - (low or 0)) // files + 1
+    plain = df.drop(*without)
+    pieces = [df.where(F.expr(f"(`{order}` - {low or 0}) div {step} = {i}")).drop(*without) for i in range(files)]
+    for piece in [*pieces, *([closing.select(*plain.columns)] if closing is not None else [])]:
+        piece.coalesce(1).write.mode("append").parquet(path)  # one after another: batches go by file time
+    return spark.readStream.schema(plain.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _closing(df: DataFrame, ns: str, after_s: int) -> DataFrame:
+    """The newest row once more, so much later that all windows before it end."""
+    last = df.orderBy(F.desc(ns)).limit(1)
+    return last.withColumn(ns, F.col(ns) + after_s * 1_000_000_000)
 
 
 def _run(query_df: DataFrame, spark: SparkSession, mode: str = "append") -> DataFrame:
@@ -792,37 +805,44 @@ def _run(query_df: DataFrame, spark: SparkSession, mode: str = "append") -> Data
 
 @query(
     "st1_stream_normalise",
-    f"""with {EV} select case when k = 0 then 'price_not_positive' when price = 0 then 'price_not_positive' else 'ok' end as reason,
-      count(*) as frames from ev group by 1""",
+    f"""with {EV}, f as (
+      select *, ns // 1000000 - case when k >= 90 then 1200000 else 0 end as ms,
+        case when k = 0 or price = 0 then 'price_not_positive' end as bad from ev),
+    m as (select *, max(case when bad is null then ms end) over (order by seq rows between unbounded preceding and 1 preceding) as highest from f),
+    r as (select *, coalesce(case when ms < highest then 'out_of_order' end, bad) as r0 from m),
+    d as (select *, case when r0 is null and row_number() over (partition by r0, ms order by seq) > 1 then 'duplicate' else r0 end as r1 from r)
+    select seq as arrival_no, coalesce(r1, 'ok') as reason,
+      case when r1 is null then row_number() over (partition by r1 is null order by seq) end as ingest_sequence from d""",
 )
 def st1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four batches; order, duplicates and sequence run on from one to the next."""
     ev = A.events(spark, sf_dir)
-    ms = F.expr("ns div 1000000")
+    ms = F.expr("ns div 1000000") - F.when(F.col("k") >= 90, 1_200_000).otherwise(0)
     raw = F.format_string(
         '{"topic":"crypto_prices_chainlink","type":"update","timestamp":%d,"payload":{"symbol":"btc/usd","timestamp":%d,"value":"%s"}}',
         ms, ms, F.when(F.col("k") == 0, "0").otherwise(A.value_text()),
     )
-    frames = _source_stream(spark, A.frames(ev, "chainlink_rtds", raw).drop(ARRIVAL))
+    frames = _source_stream(spark, A.frames(ev, "chainlink_rtds", raw), ARRIVAL, without=(ARRIVAL,))
     events_dir, rejects_dir = shared_dir(spark, "events"), shared_dir(spark, "rejects")
     streams.stream_normalise(
         frames, events_dir, rejects_dir, shared_dir(spark, "checkpoint")
     ).awaitTermination()
-    good = spark.read.parquet(events_dir).select(F.lit("ok").alias("reason"))
-    bad = spark.read.parquet(rejects_dir).select(F.col("reject_reason").alias("reason"))
-    return good.unionByName(bad).groupBy("reason").agg(F.count("*").alias("frames"))
+    good = spark.read.parquet(events_dir).select(ARRIVAL, F.lit("ok").alias("reason"), SEQ)
+    bad = spark.read.parquet(rejects_dir).select(ARRIVAL, F.col("reject_reason").alias("reason"))
+    return good.unionByName(bad, allowMissingColumns=True)
 
 
 @query(
     "st2_stream_dedup",
-    f"""with {EV} select count(distinct user_id || ':' || event_type) as events from ev""",
+    f"""with {EV} select distinct user_id || ':' || event_type as event_id from ev""",
 )
 def st2(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = A.events(spark, sf_dir).select(
         F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("event_id"),
         F.col("ns").alias("received_wall_timestamp_ns"),
     )
-    stream = streams.stream_dedup(_source_stream(spark, ev), "40 days")
-    return _run(stream.select("event_id"), spark).agg(F.count("*").alias("events"))
+    stream = streams.stream_dedup(_source_stream(spark, ev, "received_wall_timestamp_ns"), "40 days")
+    return _run(stream.select("event_id"), spark)
 
 
 @query(
@@ -836,7 +856,7 @@ def st3(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("seq").alias(ARRIVAL), F.col("event_type").alias("stream"),
         F.lit("s").alias("session_id"), (F.col("seq") - 4 * F.col("k")).alias("id"),
     )
-    out = stateful.stream_keep_increasing(_source_stream(spark, ev), "id")
+    out = stateful.stream_keep_increasing(_source_stream(spark, ev, ARRIVAL), "id")
     return _run(out.select(ARRIVAL, "accepted"), spark)
 
 
@@ -845,18 +865,21 @@ def st3(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""with {EV}, t as (select ns // 1000000000 as s, * from ev where event_type in ('purchase', 'click')),
       w as (select unnest(range(s // 600 * 600 + 600, s // 600 * 600 + 3601, 600)) as window_end, * from t)
     select window_end, cast(coalesce(sum(case when event_type = 'purchase' then k + 1 end), 0) as double) as buy_volume,
-      cast(coalesce(sum(case when event_type = 'click' then k + 1 end), 0) as double) as sell_volume from w
-    where window_end <= (select max(ns // 1000000000) - 10 from t) group by 1""",
+      cast(coalesce(sum(case when event_type = 'click' then k + 1 end), 0) as double) as sell_volume,
+      cast(cast(sum(price * (k + 1)) * 100 as hugeint) * 10000 // cast(sum(k + 1) as hugeint) as double) / 1000000 as vwap
+    from w group by 1""",
 )
 def st4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One-hour windows every ten minutes; windows end once the watermark passes them."""
+    """One-hour windows every ten minutes; a late closing trade ends the last of them."""
     trades = A.trades(A.events(spark, sf_dir))
-    stream = streams.stream_rolling(_source_stream(spark, trades), 3600, 600)
+    closing = _closing(trades, "received_wall_timestamp_ns", 2 * 3600)
+    stream = streams.stream_rolling(_source_stream(spark, trades, SEQ, closing=closing), 3600, 600)
     done = _run(stream, spark)
     return done.select(
         F.unix_seconds("window_end").alias("window_end"),
         num("buy_volume").alias("buy_volume"),
         num("sell_volume").alias("sell_volume"),
+        cut(F.col("vwap")).alias("vwap"),
     )
 
 
@@ -864,7 +887,7 @@ def st4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def st5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The book of every supplier after each of its lines, from keyed state."""
     rows = A.book_rows(A.lines(spark, sf_dir)).withColumn("invalidations", F.lit(0).cast("bigint"))
-    out = stateful.stream_books(_source_stream(spark, rows))
+    out = stateful.stream_books(_source_stream(spark, rows, SEQ))
     return _run(out, spark)
 
 
@@ -876,7 +899,7 @@ def st6(spark: SparkSession, sf_dir: str) -> DataFrame:
     full = _full_events(spark, sf_dir)
     out = shared_dir(spark, "snapshots")
     streams.stream_snapshots(
-        _source_stream(spark, full), out, shared_dir(spark, "state"), shared_dir(spark, "checkpoint")
+        _source_stream(spark, full, SEQ, 1), out, shared_dir(spark, "state"), shared_dir(spark, "checkpoint")
     ).awaitTermination()
     return spark.read.parquet(out).agg(F.count("*").alias("snapshots"))
 
@@ -896,15 +919,18 @@ def st7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "st8_stream_health_counts",
     f"""with {EV} select ns // 3600000000000 * 3600 as window_start, 'x' as source, event_type as stream, count(*) as events
-    from ev where ns // 3600000000000 * 3600 + 3600 <= (select max(ns // 1000000000) - 10 from ev) group by all""",
+    from ev group by all""",
 )
 def st8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly counts; appended once the watermark closes the hour."""
+    """Hourly counts, appended once the watermark closes the hour; a late event closes the last."""
     ev = A.events(spark, sf_dir).select(
         F.lit("x").alias("source"), F.col("event_type").alias("stream"),
         F.col("ns").alias("received_wall_timestamp_ns"),
     )
-    out = streams.stream_health_counts(_source_stream(spark, ev), "1 hour")
+    closing = _closing(ev, "received_wall_timestamp_ns", 2 * 3600)
+    out = streams.stream_health_counts(
+        _source_stream(spark, ev, "received_wall_timestamp_ns", closing=closing), "1 hour"
+    )
     return _run(out, spark).select(
         F.unix_seconds("window_start").alias("window_start"), "source", "stream", "events"
     )
