@@ -9,8 +9,9 @@ from tickstate.operators.ordered import checkpoint_dir, materialize
 from tickstate.params import Params
 from tickstate.plans.replay import ArchiveIntegrityError, replay
 from tickstate.plans.snapshot import build_snapshots, flatten_snapshots
-from tickstate.sources.archive import read_snapshots, write_events
+from tickstate.sources.archive import read_snapshots, write_events, write_manifests
 from tickstate.streaming import stateful, streams
+from test_parsers import NOW, NOW_MS, oracle
 
 
 def folder(spark, name):
@@ -66,6 +67,7 @@ def test_replay_round_trip_and_gate(spark):
     events = kit.frame(spark, rows)
     path, out = folder(spark, "events"), folder(spark, "out")
     write_events(events, path)
+    write_manifests(spark, path, "parquet")
     summary = replay(spark, path, out, Params(chunk_rows=50)).first()
     ticks = sum(r["stream"] == "snapshot_tick" for r in rows)
     assert (summary["events_processed"], summary["snapshots_produced"]) == (300, ticks)
@@ -80,3 +82,23 @@ def test_replay_round_trip_and_gate(spark):
         assert "sequence gap" in str(error)
     else:
         raise AssertionError("a gap must stop the replay")
+
+
+def test_order_and_duplicates_across_batches(spark):
+    """+10 ms, 0, +10 ms again, +20 ms: one file each."""
+    import json
+
+    source = folder(spark, "frames")
+    for i, ms in enumerate((10, 0, 10, 20)):
+        row = ("chainlink_rtds", "s1", NOW + i * 1_000_000, NOW + i, json.dumps(oracle(NOW_MS + ms)))
+        df = spark.createDataFrame(
+            [row], "source string, session_id string, received_wall_ns long, received_monotonic_ns long, raw string"
+        )
+        df.coalesce(1).write.mode("append").parquet(source)
+    frames = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    good, bad = folder(spark, "good"), folder(spark, "bad")
+    streams.stream_normalise(frames, good, bad, folder(spark, "cp")).awaitTermination()
+    events = spark.read.parquet(good).orderBy("arrival_no").collect()
+    assert [(r.arrival_no, r.ingest_sequence) for r in events] == [(1, 1), (4, 2)]
+    rejects = spark.read.parquet(bad).orderBy("arrival_no").collect()
+    assert [(r.arrival_no, r.reject_reason) for r in rejects] == [(2, "out_of_order"), (3, "duplicate")]
