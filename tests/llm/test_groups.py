@@ -28,11 +28,11 @@ def test_components_of_chains_stars_and_rings(spark):
     edges = [(i, i + 1) for i in range(0, 70)] + [(1000, 1000 + i) for i in range(1, 200)]
     edges += [(500, 501), (501, 502), (502, 500), (7, 7), (None, 3)]
     random.Random(1).shuffle(edges)
-    got = common.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    got = common.components(spark.createDataFrame(edges, "a long, b long"), 300).collect()
     real = [e for e in edges if None not in e and e[0] != e[1]]
     want = smallest_reachable({n for e in real for n in e}, real)
     assert {r.node: r.component for r in got} == want and len(got) == len(want)
-    assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert common.components(spark.createDataFrame([], "a long, b long"), 0).count() == 0
 
 
 # ---- texts

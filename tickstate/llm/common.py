@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 
 from tickstate.operators.ordered import checkpoint_dir, materialize
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
+ROWS_PER_FILE = 20_000
 
 
 def work_path(spark: SparkSession, name: str) -> str:
@@ -21,6 +23,18 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 2,000 rows and 8 MB, unless the session asks for fewer.
+
+    Whole texts are long, and a batch is held by the JVM and by Python at once.
+    """
+    for name, most in (("maxRecordsPerBatch", 2000), ("maxBytesPerBatch", 8 << 20)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = re.match(r"-?\d+", spark.conf.get(name))
+        if not 0 < int(now[0] if now else 0) < most:
+            spark.conf.set(name, str(most))
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage."""
     path = work_path(df.sparkSession, name)
@@ -161,17 +175,25 @@ def link_block(n: int, linked) -> np.ndarray:
     return forest.labels
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def few_files(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in partitions of ``ROWS_PER_FILE`` rows, about, of the ``rows`` it may have; one
+    per core at least, and never more than it has. For narrow tables that are written after a
+    shuffle with many partitions."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_PER_FILE)))
+
+
+def components(edges: DataFrame, rows: int, most_rounds: int = 60) -> DataFrame:
     """``node, component`` (the smallest node reachable) of every node of ``edges`` (a, b).
 
     Alternates large-star and small-star steps, each a map-side combined minimum
     and an equi-join that AQE may split at a hot node. Every round is
-    checkpointed; it ends when a round changes nothing.
+    checkpointed; it ends when a round changes nothing. ``rows`` is about how many
+    edges there may be.
     """
     edges = edges.where("a is not null and b is not null and a <> b").select("a", "b")
-    oriented = materialize(
-        edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    )
+    oriented = materialize(few_files(
+        edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), rows
+    ))
     seen = None
     for _ in range(most_rounds):
         mark = oriented.agg(
@@ -190,9 +212,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         small = large.join(lows, "u").select(
             F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e")
         )
-        oriented = materialize(
-            small.select("e.u", F.col("e.m").alias("v")).where("u <> v").distinct()
-        )
+        oriented = materialize(few_files(
+            small.select("e.u", F.col("e.m").alias("v")).where("u <> v").distinct(), mark[0]
+        ))
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return oriented.groupBy("u").agg(F.min("v").alias("m")).select(

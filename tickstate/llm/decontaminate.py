@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickstate.llm.common import code_points, slices, staged
+from tickstate.llm.common import code_points, slices, small_batches, staged
 
 Q = 10
 PROBE, STRIDE = 400, 200
@@ -229,6 +229,7 @@ def find_leaks(
 ) -> DataFrame:
     """``keep`` columns and ``leaks``, an array of item_id, item_start, start, end, edits, per row."""
     spark = docs.sparkSession
+    small_batches(spark)
     pieces = staged(probes(benchmark), "probes")
     blocks = max(1, -(-pieces.count() // BLOCK_PROBES))
     own = () if "text" in keep else ("text",)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickstate.llm.common import components, in_block_pairs, staged, whole_groups
+from tickstate.llm.common import components, few_files, in_block_pairs, staged, whole_groups
 
 BUCKET_ROWS = 1024
 _SMALL = 48
@@ -182,12 +182,13 @@ def near_duplicate_vectors(
     )
     same = ["label", "dim", "vector"]
     usable = rows.where("label is not null and vector is not null")
-    classes = staged(
+    n_rows = rows.count()
+    classes = staged(few_files(
         usable.groupBy(*same).agg(
             F.min("row_id").alias("class_id"), F.count("*").alias("weight"), F.min("vec_id").alias("low_id")
         ),
-        "vector-classes",
-    )
+        n_rows,
+    ), "vector-classes")
     largest = classes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 1
     bits, tables = hash_shape(largest, threshold, recall)
     signed = staged(
@@ -212,7 +213,7 @@ def near_duplicate_vectors(
     )
     found = staged(met, "vector-links")
     counts = found.groupBy("class_id").agg(F.sum("links").alias("links"))
-    roots = components(found.select(F.col("class_id").alias("a"), F.col("root").alias("b")))
+    roots = components(found.select(F.col("class_id").alias("a"), F.col("root").alias("b")), n_rows)
     low = (
         roots.join(classes.select(F.col("class_id").alias("node"), "low_id"), "node")
         .groupBy("component").agg(F.min("low_id").alias("low"))

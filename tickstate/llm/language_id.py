@@ -24,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickstate.llm.common import code_points, slices
+from tickstate.llm.common import code_points, slices, small_batches
 
 UNKNOWN = "und"
 SPACE, EDGE = 32, 1
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _PLAIN = 0x30000
+# scoring holds some 200 bytes a character, so texts are scored in pieces of this many
+PIECE = 200_000
 
 
 @lru_cache(maxsize=1)
@@ -118,7 +120,24 @@ class LanguageModel:
         return out
 
     def cross_entropy(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Bits per character of each row and language, scored characters, letters."""
+        """Bits per character of each row and language, scored characters, letters.
+
+        Long texts are scored in pieces, each from a fresh context, and added up.
+        """
+        rows = column.to_pylist()
+        pieces = [t[lo : lo + PIECE] for t in rows for lo in range(0, max(len(t or ""), 1), PIECE) if t] or [""]
+        owner = np.array([i for i, t in enumerate(rows) for _ in range(0, len(t or ""), PIECE)] or [0])
+        total, n, letters = np.zeros((len(rows), len(self.languages))), np.zeros(len(rows), int), np.zeros(len(rows), int)
+        sizes = np.cumsum([len(p) for p in pieces]) // PIECE
+        for group in np.split(np.arange(len(pieces)), np.flatnonzero(np.diff(sizes)) + 1):
+            bits, count, found = self._bits(pa.array([pieces[i] for i in group], pa.string()))
+            np.add.at(total, owner[group], bits)
+            np.add.at(n, owner[group], count)
+            np.add.at(letters, owner[group], found)
+        return total / np.maximum(n, 1)[:, None], n, letters
+
+    def _bits(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bits of each row in each language, scored characters, letters."""
         pad = self.order - 1
         chars, bounds, letters = _letters(column, pad)
         keys = _gram_keys(chars, self.order)
@@ -130,8 +149,7 @@ class LanguageModel:
         upto = np.concatenate((np.zeros((1, bits.shape[1])), np.cumsum(bits, axis=0, dtype=np.float64)))
         n = ends - starts
         first = np.concatenate(([0], np.cumsum(n)))
-        total = upto[first[1:]] - upto[first[:-1]]
-        return total / np.maximum(n, 1)[:, None], n, letters
+        return upto[first[1:]] - upto[first[:-1]], n, letters
 
     def judge(self, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Language, score, lowest cross-entropy and rejection of each row."""
@@ -276,6 +294,7 @@ def train(
     text, whatever the size of the table; a fifth of them calibrates. The model
     is bounded by that sample and so may be broadcast.
     """
+    small_batches(labelled.sparkSession)
     rows = labelled.where("lang is not null and text is not null and text <> ''").select("lang", "text")
     sizes = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).limit(most_languages + 1).collect()
     if len(sizes) > most_languages:
@@ -312,6 +331,7 @@ def train(
 
 def identify(docs: DataFrame, model: LanguageModel, *, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns of ``docs`` plus lang_pred, score, cross_entropy and rejected."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     own = () if "text" in keep else ("text",)
 

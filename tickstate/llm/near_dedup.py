@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickstate.llm.common import components, in_block_pairs, link_block, mix64, slices, staged, texts, whole_groups
+from tickstate.llm.common import components, few_files, in_block_pairs, link_block, mix64, slices, small_batches, staged, texts, whole_groups
 
 REGISTERS, BAND, MANTISSA = 128, 4, 10
 BUCKET_DOCS = 1024          # most documents of a bucket in one block
@@ -32,7 +32,7 @@ FILTER_BITS = 26            # size of the candidate filter: 8 MB, whatever the i
 _EMPTY = np.uint16(0xFFFF)
 _REST = 57
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_CACHED_WORDS, _CACHED_LENGTH = 500_000, 64
+_CACHED_WORDS, _CACHED_LENGTH = 200_000, 64
 # for each register, the order in which it borrows from others when it is empty
 _BORROW = np.stack([np.random.default_rng(i).permutation(REGISTERS) for i in range(REGISTERS)])
 
@@ -264,16 +264,18 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
     Documents are linked when 100 * intersection >= ``percent`` * union of their
     shingle sets; a component is named by its smallest doc_id, which is kept.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     same = ["n_shingles", "print_a", "print_b"]
     sketched = staged(sketches(docs, words), "sketches")
-    classes = staged(
+    n_docs = sketched.count()
+    classes = staged(few_files(
         sketched.where("doc_id is not null and n_shingles > 0")
         .groupBy(*same)
         .agg(F.min(F.struct("doc_id", "registers", "filled")).alias("m"))
         .select(*same, F.col("m.doc_id").alias("rep"), "m.registers", "m.filled"),
-        "classes",
-    )
+        n_docs,
+    ), "classes")
     bands = classes.select("rep", "registers").mapInArrow(_bands, "band long, rep long")
     buckets = (
         bands.groupBy("band")
@@ -288,7 +290,9 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
         .repartition("band", "x", "y").sortWithinPartitions("band", "x", "y", "rep")
         .mapInArrow(_near_edges(percent), "a long, b long")
     )
-    clusters = staged(components(near).withColumnRenamed("component", "cluster"), "clusters")
+    clusters = staged(few_files(
+        components(near, n_docs).withColumnRenamed("component", "cluster"), n_docs
+    ), "clusters")
     blocks = (
         clusters.join(classes.groupBy("rep").agg(F.max("n_shingles").alias("n")), F.col("node") == F.col("rep"))
         .groupBy("cluster").agg(F.ceil(F.sum("n") * 8 / BLOCK_BYTES).alias("blocks"))
@@ -302,7 +306,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
         .repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y", "doc_id")
         .mapInArrow(_verified_edges(percent), "a long, b long")
     )
-    labels = components(verified)
+    labels = components(verified, n_docs)
     reps = classes.select(*same, "rep").join(
         labels.withColumnRenamed("node", "rep"), "rep", "left"
     ).select(*same, F.coalesce("component", "rep").alias("component"))

@@ -19,11 +19,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tickstate.llm.common import slices, texts
+from tickstate.llm.common import slices, small_batches, texts
 
 OPEN = "▁"
 UNKNOWN = 1 << 40
-_CACHED_WORDS, _CACHED_LENGTH = 400_000, 64
+_CACHED_WORDS, _CACHED_LENGTH = 250_000, 64
 
 
 class Automaton:
@@ -116,6 +116,7 @@ def word_piece_counts(
     opening, continuing = list(opening), list(continuing)
     if len(opening) + len(continuing) > most_pieces:
         raise ValueError(f"vocabulary exceeds {most_pieces} pieces")
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Automaton(opening, continuing))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
