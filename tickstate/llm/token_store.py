@@ -21,6 +21,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickstate.llm import token_coder
-from tickstate.llm.common import slices, texts
+from tickstate.llm.common import slices, small_batches, texts
 
 MAGIC = b"TKF1"
 FRAME_IDS = 4_000_000
@@ -38,7 +39,7 @@ _CACHED_WORDS, _CACHED_LENGTH = 400_000, 48
 
 
 # a space that opens a word, and a space that white space follows
-_WORD, _ODD = re.compile(r" (?=\S)"), re.compile(r" (?=\s|$)")
+_WORD, _ODD, _SPACE = re.compile(r" (?=\S)"), re.compile(r" (?=\s|$)"), re.compile(r"\s")
 
 
 class Encoder:
@@ -57,11 +58,27 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(content)
         self.tokenizer.encode_special_tokens = True
         self.words: dict[str, bytes] = {}
+        self.line_break = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
 
     def _encode(self, parts: list[str]) -> list[bytes]:
         done = self.tokenizer.encode_batch(parts, add_special_tokens=False)
         return [np.array(e.ids, dtype=np.uint16).tobytes() for e in done]
 
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words that hold no white space, each with a space before it.
+
+        They are encoded as lines of one text: a line break before a space is a
+        token of its own, so the ids are cut there.
+        """
+        text = "\n ".join(["", *words, ""])
+        ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint16)
+        cuts = np.flatnonzero(ids == self.line_break)
+        if len(cuts) != len(words) + 1:
+            return self._encode([" " + w for w in words])
+        raw = ids.tobytes()
+        bounds = (2 * cuts).tolist()
+        return [raw[lo + 2 : hi] for lo, hi in zip(bounds, bounds[1:])]
+
     def __call__(self, rows: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 16-bit integers."""
         cut = [_WORD.split(t) if _ODD.search(t) else t.split(" ") for t in rows]
@@ -73,15 +90,22 @@ class Encoder:
         for parts in cut:
             wanted.update(parts[1:])
         missing = [w for w in wanted if w not in known]
-        extra: dict[str, bytes] = {}
-        for lo in range(0, len(missing), 10_000):
-            part = missing[lo : lo + 10_000]
-            for w, ids in zip(part, self._encode([" " + w for w in part])):
-                (known if len(w) <= _CACHED_LENGTH else extra)[w] = ids
+        plain = [w for w in missing if len(w) <= _CACHED_LENGTH and not _SPACE.search(w)]
+        for lo in range(0, len(plain), 5_000):
+            part = plain[lo : lo + 5_000]
+            known.update(zip(part, self._encode_words(part)))
+        rest = [w for w in missing if w not in known]
+        extra = dict(zip(rest, self._encode([" " + w for w in rest])))
         find = (lambda w: extra[w] if w in extra else known[w]) if extra else known.__getitem__
         return [o + b"".join(map(find, parts[1:])) for o, parts in zip(opening, cut)]
 
 
+@lru_cache(maxsize=1)
+def _encoder(content: str) -> Encoder:
+    """One encoder, with the words it knows, for all tasks of a worker."""
+    return Encoder(content)
+
+
 def frame(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
     blocks = token_coder.encode(ids)
     valid = np.array([d is not None for d in doc_ids], dtype=bool)
@@ -124,6 +148,7 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer: str, end_id: int) ->
 
     ``tokenizer`` is a file on the driver; its content, a few megabytes, is broadcast.
     """
+    small_batches(docs.sparkSession)
     rows = texts(docs).withColumn("_row", F.monotonically_increasing_id())
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     with open(tokenizer, encoding="utf-8") as file:
@@ -131,7 +156,7 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer: str, end_id: int) ->
     end = np.array([end_id], dtype=np.uint16).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(content.value)
+        encoder = _encoder(content.value)
         part, number = TaskContext.get().partitionId(), 0
         doc_ids: list[int | None] = []
         held: list[bytes] = []
