@@ -63,6 +63,41 @@ def test_word_piece_counts(spark):
     assert token_counts.word_piece_counts(empty(spark), opening, continuing).count() == 0
 
 
+@pytest.mark.parametrize("unknown", ["bytes", "character"])
+def test_unspelled_characters_do_not_end_a_word(unknown):
+    rng = random.Random(6)
+    for _ in range(150):
+        pick = lambda low: {"".join(rng.choice("abß") for _ in range(rng.randint(low, 4))) for _ in range(5)}
+        opening, continuing = {"▁" + p for p in pick(0)}, pick(1)
+        automaton = token_counts.Automaton(opening, continuing, unknown)
+        for _ in range(30):
+            word = "▁" + "".join(rng.choice("abß你") for _ in range(rng.randint(1, 12)))
+            at, want, odd = 0, 0, 0
+            while at < len(word):
+                length = max((len(p) for p in (continuing if at else opening) if word.startswith(p, at)), default=0)
+                want += 1 if length or unknown == "character" else len(word[at].encode())
+                odd |= not length
+                at += length or 1
+            assert automaton.length(word) == want + odd * token_counts.UNKNOWN
+
+
+def test_long_text_with_rare_characters_counts_whole(spark, tmp_path):
+    import sentencepiece
+
+    from tickstate.llm import queries
+
+    rare = "\U0001f9ff"
+    rows = [(1, "的" * 30_000 + rare, None, None, None), (2, rare * 5, None, None, None)]
+    documents(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.QUERIES["op1_token_counts"](spark, str(tmp_path)).collect()}
+    model = sentencepiece.SentencePieceProcessor(model_file=tokenizers.path("piece_bpe_32k.model"))
+    for d, text, *_ in rows:
+        assert got[d].n_tokens == len(model.encode(text)), d
+        assert (got[d].n_words, got[d].n_unknown) == (1, 1)
+    packed = queries.QUERIES["op4_best_fit_packing"](spark, str(tmp_path)).where("doc_id = 1")
+    assert packed.agg(F.sum("length")).first()[0] == got[1].n_tokens + 1
+
+
 # ---- decontamination
 
 def distance_inside(probe, text):

@@ -56,8 +56,14 @@ def tokenizer_file(name: str) -> str:
 @query("op1_token_counts")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy word-piece counts of every document over a public vocabulary."""
-    opening, continuing = token_counts.sentencepiece_pieces(tokenizer_file("piece_bpe_32k.model"))
-    return token_counts.word_piece_counts(table(spark, sf_dir, "documents"), opening, continuing)
+    return piece_counts(table(spark, sf_dir, "documents"))
+
+
+def piece_counts(docs: DataFrame) -> DataFrame:
+    path = tokenizer_file("piece_bpe_32k.model")
+    opening, continuing = token_counts.sentencepiece_pieces(path)
+    unknown = token_counts.sentencepiece_unknown(path)
+    return token_counts.word_piece_counts(docs, opening, continuing, unknown=unknown)
 
 
 COMPONENTS = """
@@ -136,10 +142,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lengths(docs: DataFrame) -> DataFrame:
     """Word-piece counts with one end token."""
-    counts = token_counts.word_piece_counts(
-        docs, *token_counts.sentencepiece_pieces(tokenizer_file("piece_bpe_32k.model"))
-    )
-    return counts.select("doc_id", (F.col("n_tokens") + 1).alias("n_tokens"))
+    return piece_counts(docs).select("doc_id", (F.col("n_tokens") + 1).alias("n_tokens"))
 
 
 # ---- 5 embeddings -----------------------------------------------------------
