@@ -363,3 +363,40 @@ def test_model_equals_plain_kneser_ney():
     assert np.allclose(got, [p(text[i - 2 : i + 1]) for i in range(2, len(text))], rtol=1e-5)
     for h in ("aa", "ab", "ba", "bb"):  # probabilities of a context, unseen letters included, sum to one
         assert abs(sum(p(h + c) for c in "ab") + p(h + "z") - 1) < 1e-6
+
+
+def test_no_language_is_lost_by_the_sample(spark):
+    pick = lambda letters, seed, n: " ".join(
+        "".join(random.Random(f"{seed} {i}").choices(letters, k=5)) for i in range(n)
+    )
+    lone = spark.createDataFrame([(pick("wxyz", i, 30),) for i in range(50)], "text string")
+    lone = lone.where(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(5)) == 0).first()[0]
+    rows = [("copied", pick("abcd", 0, 40))] * 5000 + [("copied", pick("abcd", i, 5)) for i in range(1, 100)]
+    rows += [("long", "12 " * 2000 + pick("efgh", i, 60_000)) for i in range(3)] + [("lone", lone), ("none", "1 2")]
+    labelled = spark.createDataFrame([(t, lang) for lang, t in rows], "text string, lang string")
+    model = language_id.train(labelled, sample_chars=4000)
+    assert model.languages == ["copied", "lone", "long"]
+    asked = [("copied", pick("abcd", 900, 20)), ("long", pick("efgh", 901, 20)), ("lone", pick("wxyz", 902, 20))]
+    docs = spark.createDataFrame(asked, "doc_id string, text string")
+    assert all(r.doc_id == r.lang_pred for r in language_id.identify(docs, model).collect())
+
+
+def test_draw_takes_texts_in_hash_order(spark):
+    rng = random.Random(9)
+    rows = []
+    for lang, count, most in (("a", 3000, 40), ("b", 60, 5000), ("c", 3, 9000), ("d", 5, 10), ("e", 1, 90_000)):
+        rows += [(lang, rng.getrandbits(63), rng.randint(most // 2, most)) for _ in range(count)]
+    table = spark.createDataFrame(rows + rows[:500], "lang string, h long, n int")
+    got = {lang: found for lang, *found in language_id._draw(table, 8000, 5)}
+    for lang in "abcde":
+        texts = sorted((h, n) for k, h, n in rows if k == lang)
+        last, cut, first = got[lang]
+        assert first == texts[0][0]
+        taken = [min(n, cut) for h, n in texts if h <= last]
+        after = [min(n, cut) for h, n in texts if h > last][:1]
+        assert sum(taken) <= 8000 and len(taken) >= min(len(texts), language_id.LEAST_TEXTS)
+        assert not after or sum(taken + after) > 8000
+        if sum(n for _, n in texts) <= 8000:
+            assert taken == [n for _, n in texts]
+    with pytest.raises(ValueError):
+        language_id._draw(table, 8000, 4)

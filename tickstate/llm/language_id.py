@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickstate.llm.common import code_points, slices, small_batches
+from tickstate.llm.common import code_points, slices, small_batches, staged
 
 UNKNOWN = "und"
 SPACE, EDGE = 32, 1
@@ -32,6 +32,9 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _PLAIN = 0x30000
 # scoring holds some 200 bytes a character, so texts are scored in pieces of this many
 PIECE = 200_000
+# a language with more characters than the sample may hold gives this many texts at least
+LEAST_TEXTS = 8
+_LAST = (1 << 63) - 1
 
 
 @lru_cache(maxsize=1)
@@ -285,28 +288,90 @@ def _calibrate(model: LanguageModel, rows) -> None:
         model.sharpness = float(grid[int(np.argmin(np.round(loss, 6)))])
 
 
+def _draw(rows: DataFrame, sample_chars: int, most_languages: int) -> list[tuple[str, int, int, int]]:
+    """Language, last hash drawn, most characters of a text and first hash, from ``rows`` (lang, h, n).
+
+    Distinct hashes are taken in order up to the bound. Sums by eighths of a power of
+    two of the hash show where it is met; only the texts of that eighth are looked at one by one.
+    """
+    level = F.floor(F.log2(F.col("h").cast("double") + 1) * 8)
+    texts = staged(
+        rows.groupBy("lang", "h").agg(F.max("n").cast("long").alias("n")).withColumn("level", level), "drawn"
+    )
+    share = max(sample_chars // LEAST_TEXTS, 1)
+    by = defaultdict(list)
+    sums = texts.groupBy("lang", "level").agg(
+        F.count("*").alias("texts"), F.sum("n").alias("n"), F.sum(F.least("n", F.lit(share))).alias("short"),
+        F.min("h").alias("first"),
+    )
+    if sums.select("lang").distinct().count() > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
+    for r in sums.collect():
+        by[r["lang"]].append(r)
+    drawn, open_ = {}, {}
+    for lang, levels in sorted(by.items()):
+        levels.sort(key=lambda r: r["first"])
+        count, first = sum(r["texts"] for r in levels), levels[0]["first"]
+        drawn[lang] = (_LAST, sample_chars, first)
+        if sum(r["n"] for r in levels) <= sample_chars:
+            continue
+        drawn[lang] = (_LAST, share if count > LEAST_TEXTS else max(sample_chars // count, 1), first)
+        left = sample_chars
+        for r in levels if count > LEAST_TEXTS else []:
+            if r["short"] > left:
+                open_[lang] = (r["level"], left)
+                break
+            left -= r["short"]
+    if open_:
+        near = F.lit(False)
+        for lang, (at, _) in open_.items():
+            near |= (F.col("lang") == lang) & (F.col("level") == at)
+        members = defaultdict(list)
+        for r in texts.where(near).select("lang", "h", "n").collect():
+            members[r["lang"]].append((r["h"], min(r["n"], share)))
+        for lang, (_, left) in open_.items():
+            for h, n in sorted(members[lang]):
+                if n > left:
+                    drawn[lang] = (h - 1, *drawn[lang][1:])
+                    break
+                left -= n
+    return [(lang, *found) for lang, found in drawn.items()]
+
+
 def train(
     labelled: DataFrame, *, order: int = 4, sample_chars: int = 1_000_000, most_languages: int = 64
 ) -> LanguageModel:
     """Fit on ``text`` and non-null ``lang`` of ``labelled``.
 
-    About ``sample_chars`` characters a language are drawn by a hash of the
-    text, whatever the size of the table; a fifth of them calibrates. The model
-    is bounded by that sample and so may be broadcast.
+    Distinct texts with a letter are drawn by hash, at most ``sample_chars`` characters
+    a language; where there are more, a text gives its first ``sample_chars`` /
+    ``LEAST_TEXTS`` characters at most (of fewer texts: its even share). The first text
+    of a language is always learned, and about a fifth of the others calibrates. The
+    model is bounded by that sample and so may be broadcast.
     """
     small_batches(labelled.sparkSession)
-    rows = labelled.where("lang is not null and text is not null and text <> ''").select("lang", "text")
-    sizes = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).limit(most_languages + 1).collect()
-    if len(sizes) > most_languages:
-        raise ValueError(f"more than {most_languages} languages")
-    rate = F.lit(None).cast("double")
-    for r in sizes:
-        rate = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, sample_chars / r["n"]))).otherwise(rate)
-    draw = F.pmod(F.xxhash64("text", F.lit(10)), F.lit(1_000_000)) / 1_000_000
+    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(
+        "lang", "text", F.shiftrightunsigned(F.xxhash64("text", F.lit(10)), 1).alias("h")
+    )
+    drawn = _draw(rows.select("lang", "h", F.length("text").alias("n")), sample_chars, most_languages)
+    last, cut, first = (F.lit(None).cast("long") for _ in range(3))
+    for lang, *found in drawn:
+        own = F.col("lang") == lang
+        last, cut, first = (F.when(own, F.lit(v)).otherwise(o) for v, o in zip(found, (last, cut, first)))
     part = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(5))
-    sample = rows.where(draw < rate)
+    # a cut text begins at its first letter
+    text = F.when(F.length("text") > cut, F.regexp_replace("text", r"^\P{L}+", "")).otherwise(F.col("text"))
+    # copies of a text are one; what is read again below is bounded
+    sample = staged(
+        rows.where(F.col("h") <= last)
+        .select("lang", "h", text.substr(F.lit(1), cut.cast("int")).alias("text"),
+                ((part == 0) & (F.col("h") != first)).alias("tests"))
+        .dropDuplicates(["lang", "h"]),
+        "languages",
+    ) if drawn else rows.select("lang", "text", F.lit(False).alias("tests")).limit(0)
     grams = (
-        sample.where(part > 0)
+        sample.where("not tests")
+        .select("lang", "text")
         .mapInArrow(_count(order), "lang string, gram array<int>, n long")
         .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     )
@@ -324,7 +389,7 @@ def train(
             )
 
     if model.languages:
-        tested = sample.where((part == 0) & F.col("lang").isin(model.languages))
+        tested = sample.where("tests").select("lang", "text")
         _calibrate(model, tested.mapInArrow(measure, "lang string, bits array<double>, n long").collect())
     return model
 
