@@ -12,6 +12,7 @@ from tickstate.llm import (
     decontaminate,
     embedding_dedup,
     language_id,
+    merkle,
     near_dedup,
     packing,
     pii,
@@ -19,6 +20,7 @@ from tickstate.llm import (
     token_counts,
     token_store,
     url_filter,
+    warc,
 )
 from tickstate.llm.common import work_path
 
@@ -269,3 +271,99 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.train(learn.select("text", "lang"))
     docs = docs.select("doc_id", "text", held_out.alias("held_out"))
     return language_id.identify(docs, model, keep=("doc_id", "held_out"))
+
+
+# ---- 12 merkle manifest -----------------------------------------------------
+
+def _sql_part(name: str) -> str:
+    text = f"cast({name} as varchar)"
+    return f"case when {name} is null then '-' else octet_length(encode({text})) || ':' || {text} end"
+
+
+_SQL_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SQL_CRC32 = """xor(list_reduce(list_prepend(4294967295, flatten(list_transform(
+    string_split(cast(doc_id as varchar), ''), lambda c: [ascii(c)::bigint, 256, 256, 256, 256, 256, 256, 256, 256]))),
+    lambda a, x: case when x < 256 then xor(a, x) else xor(a >> 1, 3988292384 * (a & 1)) end), 4294967295)"""
+
+
+def _sql_walk(name: str, start: str, nodes: str) -> str:
+    """From each row of ``start`` to the top of its tree: x by the siblings, sib the siblings."""
+    return f"""
+    {name} as (
+      select g, id, 0 as level, slot, total, x, sib from ({start})
+      union all
+      select w.g, w.id, w.level + 1, w.slot // 16, (any_value(w.total) + 15) // 16,
+        sha256(string_agg(case when n.slot = w.slot then w.x else n.digest end, '' order by n.slot)),
+        any_value(w.sib) || coalesce(string_agg(n.digest, '' order by n.slot) filter (n.slot <> w.slot), '')
+      from {name} w join {nodes} n on n.level = w.level and n.g = w.g and n.slot // 16 = w.slot // 16
+      where w.total > 1 group by w.g, w.id, w.level, w.slot)"""
+
+
+def _sql_nodes(name: str, leaves: str) -> str:
+    return f"""
+    {name} as (
+      select 0 as level, g, slot, digest, total from {leaves}
+      union all
+      select level + 1, g, slot // 16, sha256(string_agg(digest, '' order by slot)), (total + 15) // 16
+      from {name} where total > 1 group by level, g, slot // 16, total)"""
+
+
+@query(
+    "op12_merkle_manifest",
+    f"""with recursive rows as (
+      select doc_id, coalesce('=' || source, '') as g,
+        sha256({' || '.join(map(_sql_part, merkle.FIELDS))}) as digest,
+        case when {_SQL_CRC32} % 5 = 0 then sha256({' || '.join(map(_sql_part, merkle.FIELDS[:-1]))} ||
+          {_sql_part('low')}) end as tampered
+      from (select *, {_SQL_LOWER} as low from documents)),
+    leaves as (
+      select *, row_number() over (partition by g order by doc_id nulls first, digest) - 1 as slot,
+        count(*) over (partition by g) as total from rows),"""
+    + _sql_nodes("nodes", "leaves") + """,
+    subs as (
+      select '' as g, g as of, digest, row_number() over (order by g) - 1 as slot, count(*) over () as total
+      from nodes where total = 1),"""
+    + _sql_nodes("above", "subs") + ","
+    + _sql_walk("walk", "select g, slot as id, slot, total, coalesce(tampered, digest) as x, '' as sib from leaves", "nodes") + ","
+    + _sql_walk(
+        "ascent",
+        """select '' as g, s.of || chr(1) || w.id as id, s.slot, s.total, w.x, w.sib
+        from walk w join subs s on s.of = w.g where w.total = 1""",
+        "above",
+    ) + """
+    select l.doc_id, l.digest as leaf, s.digest as subroot, r.digest as root, sha256(a.sib) as proof_sha256,
+      a.x as folded_root, a.x = r.digest as verified
+    from leaves l join subs s on s.of = l.g
+    join ascent a on a.total = 1 and a.id = l.g || chr(1) || l.slot
+    join above r on r.total = 1""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proof of every document, and the root folded from tampered texts."""
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    tampered = F.when(chosen, merkle.leaf(text=merkle.lower_cased()))
+    manifest = merkle.build_manifest(table(spark, sf_dir, "documents"), tampered=tampered)
+    return merkle.proofs(manifest, instead="tampered").select(
+        F.col("key").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"
+    )
+
+
+# ---- 13 web archives --------------------------------------------------------
+
+@query(
+    "op13_warc_bundles",
+    """with p as (
+      select page_id, octet_length(encode(coalesce(html, ''))) as n, sha1(coalesce(html, '')) as h,
+        sha256(coalesce(html, '')) as k from pages),
+    best as (
+      select *, max(page_id) over (partition by k) as top, count(*) over (partition by k) as copies,
+        row_number() over (partition by k order by page_id desc nulls last) as nth from p)
+    select page_id, n as payload_bytes, h as payload_digest,
+      case when n >= 1000 and nth > 1 then 'revisit' else 'response' end as record_type,
+      case when n >= 1000 and nth > 1 then top end as refers_to from best""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A web archive of all pages, written to bundles and read back."""
+    path = work_path(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    records = warc.with_referred_page(warc.read_archive(spark, path, payload=False), spark, path)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
