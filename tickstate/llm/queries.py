@@ -15,6 +15,7 @@ from tickstate.llm import (
     merkle,
     near_dedup,
     packing,
+    phrases,
     pii,
     sharding,
     token_counts,
@@ -273,6 +274,45 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model, keep=("doc_id", "held_out"))
 
 
+# ---- 11 phrase collocations -------------------------------------------------
+
+@query(
+    "op11_phrase_collocations",
+    f"""with w as (
+      select lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') as w from (
+        select coalesce(lang, 'und') as lang, unnest(string_split_regex(
+          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[.,;:!?\x0A-\x0D]')) as piece from documents)),
+    one as (select lang, unnest(w) as p from w),
+    n as (select lang, count(*) as n from one group by lang),
+    f as (
+      select lang, p, 1 as words, count(*) as f from one group by 1, 2
+      union all select lang, p, 2, count(*) from (
+        select lang, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as p from w) group by 1, 2
+      union all select lang, p, 3, count(*) from (
+        select lang, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as p
+        from w) group by 1, 2),
+    c as (select lang, p, words, f as a, string_split(p, ' ') as w from f where words >= 2 and f >= 10),
+    cuts as (
+      select lang, p, words, a, 1 as k, w[1] as x, array_to_string(w[2:], ' ') as y from c
+      union all select lang, p, words, a, 2, array_to_string(w[:2], ' '), w[3] from c where words = 3),
+    scored as (
+      select cuts.*, fx.f as l, fy.f as r, (1000000::hugeint * a * a) // (fx.f::hugeint * fy.f) as score
+      from cuts join f fx on fx.lang = cuts.lang and fx.p = x join f fy on fy.lang = cuts.lang and fy.p = y),
+    low as (select * from scored qualify row_number() over (partition by lang, p order by score, k) = 1),
+    held as (
+      select lang, p, max(a) as longer from (
+        select lang, a, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) as p from c where words = 3) group by 1, 2),
+    kept as (
+      select low.*, row_number() over (partition by low.lang order by score desc, a desc, low.p) as rank
+      from low left join held using (lang, p) where words = 3 or longer is null or 100 * longer < 50 * a)
+    select kept.lang, rank, p as phrase, a, l, r, n, score::bigint as score from kept join n using (lang) where rank <= 2000""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best phrases of two and three words of each language."""
+    return phrases.collocations(table(spark, sf_dir, "documents"), least=10, top=2000)
+
+
 # ---- 12 merkle manifest -----------------------------------------------------
 
 def _sql_part(name: str) -> str:
