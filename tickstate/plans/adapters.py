@@ -114,8 +114,8 @@ def _level(price: Column, quantity: Column) -> Column:
     return F.struct(price.cast(DEC).alias("price"), quantity.cast(DEC).alias("quantity"))
 
 
-def book_rows(li: DataFrame) -> DataFrame:
-    """Order-book events of each supplier's book.
+def book_rows(li: DataFrame, *more: Column) -> DataFrame:
+    """Order-book events of each supplier's book, with ``more`` columns of the lines.
 
     Line number 7 is a full book of one level a side, 1 to 4 change a level (no tax
     deletes it), 5 is a point where the book is read, 6 a published best price.
@@ -173,6 +173,7 @@ def book_rows(li: DataFrame) -> DataFrame:
         F.when(
             number == 2, F.struct(price.alias("new_tick_size"))
         ).alias("p_tick_size"),
+        *more,
     )
 
 

@@ -15,7 +15,8 @@ from tickstate.operators.parse_common import event_columns
 from tickstate.params import RESOLUTION_SOURCE
 from tickstate.plans import adapters as A
 from tickstate.plans.driver_queries import EV, cut, num, query, shared_dir
-from tickstate.plans.driver_queries_state import archive_events
+from tickstate.plans.archive_fixture import WITH_ARCHIVE, archive_events
+from tickstate.plans.driver_queries_state import BOOKS_SQL, book_columns, snapshot_columns, tick_lines
 from tickstate.plans.replay import replay
 from tickstate.plans.snapshot import build_snapshots, flatten_snapshots
 from tickstate.schemas import EVENT_COLUMNS
@@ -728,9 +729,9 @@ def s8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "q10_replay",
-    """select count(*) + 3 as events_processed, count(*) filter (l_linenumber = 5) as ticks_processed,
-      count(*) filter (l_linenumber = 5) as snapshots_produced, 1::bigint as first_ingest_sequence, count(*) + 3 as last_ingest_sequence,
-      'valid' as integrity_status from lineitem""",
+    WITH_ARCHIVE + """ select count(*) + any_value(c.n) as events_processed, count(*) filter (ar.n = 5) as ticks_processed,
+      count(*) filter (ar.n = 5) as snapshots_produced, 1::bigint as first_ingest_sequence,
+      count(*) + any_value(c.n) as last_ingest_sequence, 'valid' as integrity_status from ar cross join controls c""",
 )
 def q10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archive written, verified, replayed to snapshot files, summarised."""

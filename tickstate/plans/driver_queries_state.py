@@ -11,7 +11,8 @@ from tickstate.operators.asof import SEQ
 from tickstate.operators.health import health_at
 from tickstate.operators.ordered import materialize
 from tickstate.plans import adapters as A
-from tickstate.plans.driver_queries import BK, EV, LEVELS_AT, LI, WINDOWS, cut, num, query
+from tickstate.plans.archive_fixture import WITH_ARCHIVE, archive_events
+from tickstate.plans.driver_queries import BK, EV, LEVELS_AT, WINDOWS, cut, num, query
 from tickstate.functions.typed_json import type_of
 from tickstate.plans.snapshot import (
     MARKET,
@@ -21,7 +22,7 @@ from tickstate.plans.snapshot import (
     snapshot_from_json,
     timeframe_snapshot,
 )
-from tickstate.schemas import HEALTH_ROWS
+from tickstate.schemas import SNAPSHOT_FILE, TEXT_LEVELS
 
 # ---- J --------------------------------------------------------------------
 
@@ -508,210 +509,31 @@ def b8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- B9, R: whole snapshots over an archive made from the line items --------
 
-ARCHIVE_START = 1_690_000_000_000_000_000
-
-
-def archive_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A complete archive: book lines, prices, one connect and one market state.
-
-    Every line item is one event. Suppliers 1 and 2 are the current five-minute
-    assets and 3 and 4 the fifteen-minute ones, so all other books are the
-    unreferenced traffic the operators must drop.
-    """
-    li = A.lines(spark, sf_dir)
-    rows = A.book_rows(li)
-    number = F.col("l_linenumber")
-    line = li.select(
-        SEQ,
-        number.alias("_n"),
-        # a day of the line items is a second of the archive
-        (F.lit(ARCHIVE_START) + F.expr("bigint(unix_date(cast(l_shipdate as date)))") * 1_000_000_000).alias("_ns"),
-        A.level_price().alias("_p"),
-        F.col("l_quantity").cast("decimal(18,8)").alias("_q"),
-        F.col("l_linestatus").alias("_ls"),
-        (F.col("l_suppkey") % 3).alias("_third"),
-    )
-    rows = rows.join(line, SEQ)
-    n, third = F.col("_n"), F.col("_third")
-    tick = n == 5
-    trade, ticker, depth, oracle = (
-        (n == 3) & (third == 0),
-        (n == 3) & (third == 1),
-        (n == 3) & (third == 2),
-        (n == 2) & (third == 0),
-    )
-    price = (F.col("_p") * 100).cast("decimal(18,8)")
-    ask = (price + 1).cast("decimal(18,8)")
-    health = F.transform(
-        F.array(*[F.lit(s) for s in ("market_discovery", "chainlink_rtds", "binance_spot", "clob")]),
-        lambda s: F.struct(
-            s.alias("source"),
-            F.struct(
-                (F.col("_ls") == "O").alias("connected"),
-                (F.col("_ls") != "O").alias("stale"),
-                F.lit(None).cast("string").alias("current_session_id"),
-                F.lit(None).cast("bigint").alias("last_message_timestamp_ns"),
-                F.lit(None).cast("bigint").alias("age_ms"),
-                *[F.lit(0).cast("bigint").alias(c) for c in (
-                    "reconnect_count", "invalid_count", "duplicate_count", "stale_session_count",
-                    "divergence_count", "protocol_error_count")],
-            ).alias("health"),
-        ),
-    ).cast(HEALTH_ROWS)
-    spot = trade | ticker | depth
-    stream = (
-        F.when(tick, "snapshot_tick")
-        .when(trade, "binance_agg_trade")
-        .when(ticker, "binance_book_ticker")
-        .when(depth, "binance_depth20")
-        .when(oracle, "chainlink_price")
-        .otherwise(F.col("stream"))
-    )
-    level = lambda p, q: F.struct(p.alias("price"), q.alias("quantity"))
-    is_book = ~(tick | spot | oracle)
-    shifted = F.col(SEQ) + 3
-    events = rows.select(
-        F.lit(2).alias("schema_version"),
-        shifted.alias(SEQ),
-        F.concat(F.lit("e"), F.col(SEQ).cast("string")).alias("event_id"),
-        F.when(tick, "market_discovery").when(spot, "binance_spot").when(oracle, "chainlink_rtds").otherwise("clob").alias("source"),
-        stream.alias("stream"),
-        F.lit("x").alias("instrument"),
-        F.col("_ns").alias("source_timestamp_ns"),
-        F.col("_ns").alias("received_wall_timestamp_ns"),
-        F.col("_ns").alias("received_monotonic_ns"),
-        *[F.when(is_book, F.col(c)).alias(c) for c in ("market_id", "condition_id", "timeframe", "outcome", "asset_id")],
-        F.when(is_book, "s1").alias("source_session_id"),
-        F.when(tick, F.struct(F.col(SEQ).alias("snapshot_sequence"), F.col("_ns").alias("scheduled_timestamp_ns"), health.alias("health"))).alias("p_tick"),
-        F.when(trade, F.struct(F.lit("BTCUSDT").alias("symbol"), price.alias("price"), F.col("_q").alias("quantity"),
-                               F.when(F.col("_ls") == "O", "buy").otherwise("sell").alias("taker_side"))).alias("p_trade"),
-        F.when(ticker, F.struct(price.alias("best_bid_price"), F.col("_q").alias("best_bid_quantity"),
-                                ask.alias("best_ask_price"), F.lit(1).cast("decimal(18,8)").alias("best_ask_quantity"))).alias("p_ticker"),
-        F.when(depth, F.struct(F.array(level(price, F.col("_q"))).alias("bids"), F.array(level(ask, F.col("_q"))).alias("asks"))).alias("p_depth"),
-        F.when(oracle, F.struct(F.lit("btc/usd").alias("symbol"), price.cast("decimal(38,18)").alias("price"))).alias("p_oracle"),
-        *[F.when(is_book, F.col(c)).alias(c) for c in ("p_book", "p_change", "p_best", "p_last_trade", "p_tick_size")],
-        F.lit(None).cast("struct<affected_asset_ids:array<string>>").alias("p_resolved"),
-    )
-    # stands for an archive that is read from files
-    return materialize(events.unionByName(_control(spark), allowMissingColumns=True))
-
-
-def _control(spark: SparkSession) -> DataFrame:
-    start = ARCHIVE_START
-    def state(tf: str, up: int, down: int):
-        window = F.struct(
-            F.lit(tf).alias("timeframe"), F.lit("m").alias("market_id"), F.lit("c").alias("condition_id"),
-            F.lit("s").alias("slug"), F.lit(start).alias("start_timestamp_ns"),
-            F.lit(start + 900_000_000_000).alias("end_timestamp_ns"), F.lit(str(up)).alias("up_token_id"),
-            F.lit(str(down)).alias("down_token_id"), F.lit("u").alias("resolution_source"))
-        return F.struct(
-            F.lit("active").alias("state"), F.lit(tf).alias("timeframe"), window.alias("current_market"),
-            F.when(F.lit(False), window).alias("next_market"))
-    rows = spark.range(1, 4).select(
-        F.lit(2).alias("schema_version"),
-        F.col("id").alias(SEQ),
-        F.concat(F.lit("c"), F.col("id").cast("string")).alias("event_id"),
-        F.when(F.col("id") == 3, "clob").otherwise("market_discovery").alias("source"),
-        F.when(F.col("id") == 3, "source_status").otherwise("market_window_state").alias("stream"),
-        F.lit("x").alias("instrument"),
-        F.lit(start).alias("received_wall_timestamp_ns"),
-        F.lit(start).alias("received_monotonic_ns"),
-        F.when(F.col("id") == 1, state("5m", 1, 2)).when(F.col("id") == 2, state("15m", 3, 4)).alias("p_market"),
-        F.when(F.col("id") == 3, F.struct(
-            F.lit("clob").alias("source"), F.lit(True).alias("connected"), F.lit("s1").alias("session_id"),
-            F.lit(0).cast("bigint").alias("reconnect_count"), F.lit(None).cast("string").alias("reason"))).alias("p_status"),
-    )
-    return rows
-
-
-# the archive in SQL: ticks, price events, and the books of assets 1 to 4
-AR = """ar as (
-  select seq, l_linenumber as n, l_suppkey % 3 as third, l_suppkey as asset,
-    1690000000000000000 + epoch_us(l_shipdate) // 86400000000 * 1000000000 as ns,
-    l_linestatus = 'O' as o, cast(round(l_discount * 100) + 1 as bigint) as price, l_quantity as q, l_tax as tax, lp,
-    lp + 0.06 as ask
-  from li),
-tk as (select * from ar where n = 5),
-bk as (
-  select *, max(case when n = 7 then seq end) over (
-      partition by asset order by seq rows between unbounded preceding and current row) as epoch
-  from ar where asset <= 4 and n in (1, 2, 4, 6, 7) and not (n = 2 and third = 0)),
-upd as (
-  select seq, asset, epoch, case when o then 'bids' else 'asks' end as side, case when o then lp else ask end as price,
-    case when tax = 0 then 0 else q end as qty
-  from bk where n <= 4 and epoch is not null
-  union all select seq, asset, epoch, 'bids', lp, q from bk where n = 7
-  union all select seq, asset, epoch, 'asks', ask, q from bk where n = 7),
-keys as (select distinct asset, side, price from upd),
-pts as (
-  select seq, asset, epoch from bk where epoch is not null
-  union all
-  select t.seq, a.asset, e.epoch from tk t cross join (values (1), (2), (3), (4)) a(asset)
-    asof join bk e on e.asset = a.asset and t.seq >= e.seq where e.epoch is not null),""" + LEVELS_AT + """,
-m as (
-  select seq, asset, max(price) filter (side = 'bids') as bid, min(price) filter (side = 'asks') as best_ask
-  from st group by all),
-e as materialized (
-  select p.*, row_number() over (partition by p.asset order by p.seq) as i, coalesce(bid < best_ask, true) as ok,
-    p.n = 6 and (bid is distinct from case when tax < 0.04 then 0.11 else lp end
-      or best_ask is distinct from case when tax < 0.04 then 0.07 else p.ask end) as miss
-  from (select * from bk where epoch is not null) p left join m using (seq, asset)),
-f as (
-  select asset, seq, i, 0 as misses, ok as coherent from e where i = 1
-  union all
-  select e.asset, e.seq, e.i,
-    case when e.n = 7 then 0 when e.miss then f.misses + 1 when e.n = 6 and f.coherent then 0 else f.misses end,
-    case when e.n <= 4 or e.n = 7 then e.ok when e.miss and f.misses >= 2 then false else f.coherent end
-  from f join e on e.asset = f.asset and e.i = f.i + 1),
-book as (
-  select t.seq, a.asset, f.coherent, m.bid, m.best_ask
-  from tk t cross join (values (1), (2), (3), (4)) a(asset)
-    asof left join f on f.asset = a.asset and t.seq >= f.seq
-    left join m on m.seq = t.seq and m.asset = a.asset),
-snap as (
-  select t.seq, t.ns, t.o, oracle.price as oracle_price, trade.price as last_price, ticker.price as best_bid,
-    ticker.q as bq, oracle.ns as oracle_ns, trade.ns as trade_ns, depth.ns as depth_ns, depth.price as depth_price, depth.q as depth_q,
-    (select sum(x.q) from ar x where x.n = 3 and x.third = 0 and x.o and x.ns >= t.ns - 1000000000 and x.seq < t.seq) as buys
-  from tk t
-    asof left join (select * from ar where n = 2 and third = 0) oracle on t.seq >= oracle.seq
-    asof left join (select * from ar where n = 3 and third = 0) trade on t.seq >= trade.seq
-    asof left join (select * from ar where n = 3 and third = 1) ticker on t.seq >= ticker.seq
-    asof left join (select * from ar where n = 3 and third = 2) depth on t.seq >= depth.seq),
-why as (
-  select s.*, list_filter([
-      case when not o then 'chainlink_disconnected' end,
-      case when oracle_ns is null or ns - oracle_ns > 10000000000 then 'chainlink_stale' end,
-      case when not o then 'binance_disconnected' end,
-      case when depth_ns is null or ns - depth_ns > 1000000000 then 'binance_depth_stale' end,
-      case when trade_ns is null or ns - trade_ns > 5000000000 then 'binance_trade_stale' end,
-      case when best_bid is null then 'binance_book_ticker_missing' end,
-      case when not o then 'clob_disconnected' end,
-      b1.r, b2.r, b3.r, b4.r], lambda x: x is not null) as reasons,
-    b1.bid as up_bid, b1.best_ask as up_ask
-  from snap s
-    """ + "".join(
-    f"""join (select seq, bid, best_ask, case when coherent is null then '{tf}:{side}_book_uninitialized'
-      when not coherent then '{tf}:{side}_book_incoherent' end as r from book where asset = {i}) b{i} using (seq)
-    """
-    for i, tf, side in ((1, "5m", "up"), (2, "5m", "down"), (3, "15m", "up"), (4, "15m", "down"))
-) + ")"
-
-with_archive = f"with recursive {LI}, {AR}"
+def _level_text(column: str):
+    """Levels as ``price x quantity``, in book order."""
+    plain = lambda v: F.regexp_replace(v.cast("string"), r"\.?0+$", "")
+    return F.array_join(
+        F.transform(column, lambda e: F.concat(plain(e["price"]), F.lit("x"), plain(e["quantity"]))), ","
+    )
 
 
 @query(
     "r3_build_snapshots",
-    with_archive
+    WITH_ARCHIVE
     + """ select seq as snapshot_sequence, cast(oracle_price as double) as oracle_price, cast(last_price as double) as last_price,
       cast(best_bid as double) as best_bid, round(cast((best_bid + 1) * bq + best_bid as double) / cast(bq + 1 as double), 8) as microprice,
       round(cast(depth_price * depth_q - (depth_price + 1) * depth_q as double) / cast((2 * depth_price + 1) * depth_q as double), 7) as depth_imbalance,
       cast(coalesce(buys, 0) as double) as buy_volume_1s,
-      cast(up_bid as double) as up_best_bid, cast(up_ask as double) as up_best_ask,
+      cast(up_bid_5 as double) as up_best_bid, cast(up_best_ask_5 as double) as up_best_ask, up_bids_5, up_asks_5, down_bids_5,
+      down_asks_5, up_bids_15, up_asks_15, down_bids_15, down_asks_15,
       len(reasons) = 0 as ready, array_to_string(reasons, ',') as reasons from why""",
 )
 def r3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Complete snapshots of the archive."""
-    s = build_snapshots(archive_events(spark, sf_dir))
+    return snapshot_columns(build_snapshots(archive_events(spark, sf_dir)))
+
+
+def snapshot_columns(s: DataFrame) -> DataFrame:
     window = F.filter("binance.rolling_windows", lambda w: w["window_seconds"] == 1)
     return s.select(
         "snapshot_sequence",
@@ -723,50 +545,76 @@ def r3(spark: SparkSession, sf_dir: str) -> DataFrame:
         num(F.get(window, 0)["buy_volume"]).alias("buy_volume_1s"),
         num("market_5m.up.best_bid").alias("up_best_bid"),
         num("market_5m.up.best_ask").alias("up_best_ask"),
+        *[
+            F.coalesce(_level_text(f"market_{tf}m.{side}.{half}"), F.lit("")).alias(f"{side}_{half}_{tf}")
+            for tf in (5, 15) for side in ("up", "down") for half in ("bids", "asks")
+        ],
         F.col("ready_for_strategy").alias("ready"),
         F.array_join("not_ready_reasons", ",").alias("reasons"),
     )
 
 
-@query(
-    "b9_books_at",
-    with_archive
-    + """ select b.seq as tick_sequence, case when asset <= 2 then '5m' else '15m' end as timeframe,
-      case when asset % 2 = 1 then 'up' else 'down' end as outcome, coherent is not null as initialized,
-      coalesce(coherent, true) as coherent, cast(bid as double) as best_bid, cast(best_ask as double) as best_ask
-    from book b where exists (select 1 from bk where bk.asset = b.asset and bk.seq < b.seq)""",
-)
+# book rows at ticks, shared with their stream
+BOOKS_SQL = WITH_ARCHIVE + """ select seq as tick_sequence, case when c < 2 then '5m' else '15m' end as timeframe,
+      case when c % 2 = 0 then 'up' else 'down' end as outcome, market as market_id, session, initialized, coherent, resolved,
+      cast(bid as double) as best_bid, cast(best_ask as double) as best_ask, bids, asks, cast(last_trade as double) as last_trade_price,
+      cast(tick_size as double) as tick_size, event_ns as last_event_timestamp_ns
+    from book"""
+
+
+def book_columns(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """Rows of ``books_at`` under the line number of their tick."""
+    return rows.join(lines, SEQ).select(
+        "tick_sequence", "timeframe", "outcome", "market_id", F.col("source_session_id").alias("session"),
+        "initialized", "coherent", "resolved", num("best_bid").alias("best_bid"), num("best_ask").alias("best_ask"),
+        _level_text("bids").alias("bids"), _level_text("asks").alias("asks"),
+        num("last_trade_price").alias("last_trade_price"), num("tick_size").alias("tick_size"), "last_event_timestamp_ns",
+    )
+
+
+def tick_lines(events: DataFrame) -> DataFrame:
+    return events.where("stream = 'snapshot_tick'").select(SEQ, F.col("p_tick.snapshot_sequence").alias("tick_sequence"))
+
+
+@query("b9_books_at", BOOKS_SQL)
 def b9(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = archive_events(spark, sf_dir)
     ticks = events.where("stream = 'snapshot_tick'").select(SEQ)
     books = events.where(F.col("stream").startswith("clob_"))
     states = events.where("stream = 'market_window_state'")
     status = events.where("stream = 'source_status'")
-    rows = book.books_at(ticks, books, states, status)
-    return rows.select(
-        (F.col(SEQ) - 3).alias("tick_sequence"), "timeframe", "outcome", "initialized", "coherent",
-        num("best_bid").alias("best_bid"), num("best_ask").alias("best_ask"),
-    )
+    return book_columns(book.books_at(ticks, books, states, status), tick_lines(events))
+
+
+_FILE_LEVELS = [f"{side}_{half}_{tf}" for tf in (5, 15) for side in ("up", "down") for half in ("bids", "asks")]
 
 
 @query(
     "r4_flatten_snapshots",
-    with_archive
-    + """ select seq as snapshot_sequence, oracle_price::varchar as chainlink_price, len(reasons) = 0 as ready_for_strategy,
-      len(reasons)::bigint as reason_count, cast(coalesce(buys, 0) as double) as buy_volume_1s,
-      cast(up_bid as double) as up_best_bid from why""",
+    WITH_ARCHIVE
+    + """ select 1 as schema_version, seq as snapshot_sequence, ns as snapshot_timestamp_ns, oracle_price::varchar as chainlink_price,
+      last_price::varchar as binance_last_price, best_bid::varchar as binance_best_bid, (best_bid + 1)::varchar as binance_best_ask,
+      coalesce(depth_price || 'x' || cast(depth_q as bigint), '') as binance_depth_bids,
+      coalesce((depth_price + 1) || 'x' || cast(depth_q as bigint), '') as binance_depth_asks, """
+    + ", ".join(f"{c} as market_{c.rsplit('_', 1)[1]}m_{c.rsplit('_', 1)[0]}" for c in _FILE_LEVELS)
+    + """, len(reasons) = 0 as ready_for_strategy, array_to_string(reasons, ',') as not_ready_reasons,
+      len(reasons)::bigint as json_reasons, cast(coalesce(buys, 0) as double) as json_buy_volume_1s,
+      cast(up_bid_5 as double) as json_up_best_bid, down_asks_15 as json_down_asks from why""",
 )
 def r4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """File rows whose JSON text restores the nested snapshot."""
+    """All file columns; the JSON text restores the nested snapshot."""
     rows = flatten_snapshots(build_snapshots(archive_events(spark, sf_dir)))
     rows = rows.withColumn("s", snapshot_from_json(F.col("snapshot_json")))
+    levels = [c for c, kind in SNAPSHOT_FILE.items() if kind == TEXT_LEVELS]
+    plain = [c for c in SNAPSHOT_FILE if c not in (*levels, "snapshot_json", "not_ready_reasons")]
+    text = lambda c: F.array_join(F.transform(c, lambda e: F.concat_ws("x", e["price"], e["quantity"])), ",")
     return rows.select(
-        "snapshot_sequence",
-        "chainlink_price",
-        F.col("s.ready_for_strategy").alias("ready_for_strategy"),
-        F.size("s.not_ready_reasons").cast("bigint").alias("reason_count"),
-        num(F.get("s.binance.rolling_windows", 0)["buy_volume"]).alias("buy_volume_1s"),
-        num("s.market_5m.up.best_bid").alias("up_best_bid"),
+        *plain, *[text(c).alias(c) for c in levels],
+        F.array_join("not_ready_reasons", ",").alias("not_ready_reasons"),
+        F.size("s.not_ready_reasons").cast("bigint").alias("json_reasons"),
+        num(F.get("s.binance.rolling_windows", 0)["buy_volume"]).alias("json_buy_volume_1s"),
+        num("s.market_5m.up.best_bid").alias("json_up_best_bid"),
+        F.coalesce(_level_text("s.market_15m.down.asks"), F.lit("")).alias("json_down_asks"),
     )
 
 
@@ -812,12 +660,11 @@ def r2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "r1_timeframe_snapshot",
-    with_archive
-    + """ select b.seq as tick_sequence, tf as timeframe, count(*) filter (coherent) = 2 as ready,
-      coalesce(string_agg(case when coherent is null then tf || ':' || side || '_book_uninitialized'
-        when not coherent then tf || ':' || side || '_book_incoherent' end, ',' order by asset), '') as reasons
-    from (select *, case when asset <= 2 then '5m' else '15m' end as tf, case when asset % 2 = 1 then 'up' else 'down' end as side from book) b
-    group by b.seq, tf""",
+    WITH_ARCHIVE
+    + """ select seq as tick_sequence, tf as timeframe, 'm-' || tf || '-' || number as market_id, resolved,
+      len(reasons) = 0 as ready, array_to_string(reasons, ',') as reasons,
+      greatest(0, (1690000000000000000 + (number + 1) * case tf when '5m' then 300000000000 else 900000000000 end - t.ns) // 1000000) as remaining_ms
+    from markets join (select seq, ns from tk) t using (seq)""",
 )
 def r1(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = archive_events(spark, sf_dir)
@@ -830,9 +677,12 @@ def r1(spark: SparkSession, sf_dir: str) -> DataFrame:
     contexts = asof.asof_market_state(ticks, states)
     out = timeframe_snapshot(ticks, contexts, books)
     both = F.explode(F.array("market_5m", "market_15m")).alias("m")
-    return out.select((F.col(SEQ) - 3).alias("tick_sequence"), both).select(
+    return out.join(tick_lines(events), SEQ).select("tick_sequence", both).select(
         "tick_sequence",
         F.col("m.timeframe").alias("timeframe"),
+        F.col("m.market_id").alias("market_id"),
+        F.col("m.resolved").alias("resolved"),
         F.col("m.ready").alias("ready"),
         F.array_join("m.not_ready_reasons", ",").alias("reasons"),
+        F.col("m.remaining_ms").alias("remaining_ms"),
     )
