@@ -79,13 +79,14 @@ def status_changes(events: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame
 
 
 def with_control(
-    rows: DataFrame, events: DataFrame, chunk_rows: int = CHUNK_ROWS
+    rows: DataFrame, events: DataFrame, chunk_rows: int = CHUNK_ROWS, since: int = 0
 ) -> DataFrame:
     """Attach the control state in force at each row, in one pass.
 
     Adds ``session`` (struct, null before the first connect), ``invalidations``
     (count so far), ``state_5m``/``state_15m`` (market state payloads) and
     ``connected_<source>``. Control rows are few, so the shuffle is that of ``rows``.
+    Invalidations up to the sequence ``since`` are not counted.
     """
     status = status_changes(events, chunk_rows)
     p = F.col("p_status")
@@ -95,7 +96,7 @@ def with_control(
     marks = status.select(
         SEQ,
         session.alias("_session"),
-        F.col("invalidates").cast("bigint").alias("_inv"),
+        (F.col("invalidates") & (F.col(SEQ) > since)).cast("bigint").alias("_inv"),
         *[
             F.when(p["source"] == s, p["connected"]).alias(f"_on_{s}")
             for s in SOURCES

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -26,6 +26,7 @@ from tickstate.params import BOOK_STREAMS, Params
 from tickstate.plans.snapshot import build_snapshots, flatten_snapshots
 from tickstate.schemas import EVENT_COLUMNS, ddl
 from tickstate.sources.frames import number_frames
+from tickstate.streaming.files import begin, exists
 
 
 def event_time(ns: str):
@@ -36,14 +37,6 @@ def with_event_time(df: DataFrame, ns: str = "received_wall_timestamp_ns") -> Da
     return df.withColumn("event_time", event_time(ns))
 
 
-def _start(writer, checkpoint: str, trigger: dict | None) -> StreamingQuery:
-    return (
-        writer.option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True}))
-        .start()
-    )
-
-
 def parse_frames(frames: DataFrame, registry: DataFrame | None, params: Params) -> tuple[DataFrame, DataFrame]:
     """All parsers over numbered frames of any source: ``(events, rejects)``."""
     rows = params.chunk_rows
@@ -143,7 +136,7 @@ def stream_normalise(
         last = f"{state_dir}/{{}}/batch={batch_id - 1}"
         marks = known = None
         arrivals, sequence = 0, 0
-        if batch_id > 0 and _exists(spark, last.format("counters")):
+        if batch_id > 0 and exists(spark, last.format("counters")):
             marks, known = (spark.read.parquet(last.format(n)) for n in ("marks", "known"))
             arrivals, sequence = spark.read.parquet(last.format("counters")).first()
         numbered = number_frames(batch)
@@ -173,7 +166,7 @@ def stream_normalise(
         for name, df in (("marks", now), ("known", recent), ("counters", done)):
             df.write.mode("overwrite").parquet(f"{state_dir}/{name}/batch={batch_id}")
 
-    return _start(frames.writeStream.foreachBatch(write), checkpoint, trigger)
+    return begin(frames.writeStream.foreachBatch(write), checkpoint, trigger)
 
 
 def stream_dedup(
@@ -291,11 +284,6 @@ def carried_events(events: DataFrame, params: Params) -> DataFrame:
     )
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-
-
 def stream_snapshots(
     events: DataFrame,
     out_dir: str,
@@ -319,7 +307,7 @@ def stream_snapshots(
         highest = None
         batch = batch.select(*columns)
         carried = None
-        if batch_id > 0 and _exists(spark, previous):
+        if batch_id > 0 and exists(spark, previous):
             carried = spark.read.schema(ddl(EVENT_COLUMNS)).parquet(previous)
             mark = spark.read.parquet(f"{state_dir}/highest/batch={batch_id - 1}").first()
             highest = mark["highest"]
@@ -336,4 +324,4 @@ def stream_snapshots(
             F.greatest(F.max(SEQ), F.lit(highest).cast("bigint")).alias("highest")
         ).write.mode("overwrite").parquet(f"{state_dir}/highest/batch={batch_id}")
 
-    return _start(events.writeStream.foreachBatch(run), checkpoint, trigger)
+    return begin(events.writeStream.foreachBatch(run), checkpoint, trigger)
