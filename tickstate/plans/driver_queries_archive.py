@@ -19,10 +19,10 @@ from tickstate.plans.archive_fixture import WITH_ARCHIVE, archive_events
 from tickstate.plans.driver_queries_state import BOOKS_SQL, book_columns, snapshot_columns, tick_lines
 from tickstate.plans.replay import replay
 from tickstate.plans.snapshot import build_snapshots, flatten_snapshots
-from tickstate.schemas import EVENT_COLUMNS
+from tickstate.schemas import EVENT_COLUMNS, ddl
 from tickstate.sources import archive
 from tickstate.sources.frames import number_frames, read_frames, read_market_payloads
-from tickstate.streaming import stateful, streams
+from tickstate.streaming import books, stateful, streams
 
 # ---- D --------------------------------------------------------------------
 
@@ -770,18 +770,23 @@ def _full_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- ST: streams ------------------------------------------------------------
 
+SOURCE_FILES = 2
+
+
 def _source_stream(
-    spark: SparkSession, df: DataFrame, order: str, files: int = 4, closing: DataFrame | None = None, without: tuple = ()
+    spark: SparkSession, df: DataFrame, order: str, batches: int = 4, closing: DataFrame | None = None, without: tuple = ()
 ) -> DataFrame:
-    """A file stream over ``df``: ``files`` micro-batches by ``order``, then ``closing``."""
+    """A file stream over ``df``: micro-batches of ``SOURCE_FILES`` files by ``order``, then ``closing``."""
     path = shared_dir(spark, "stream")
     low, high = df.agg(F.min(order), F.max(order)).first()
-    step = ((high or 0) - (low or 0)) // files + 1
+    step = ((high or 0) - (low or 0)) // batches + 1
     plain = df.drop(*without)
-    pieces = [df.where(F.expr(f"(`{order}` - {low or 0}) div {step} = {i}")).drop(*without) for i in range(files)]
-    for piece in [*pieces, *([closing.select(*plain.columns)] if closing is not None else [])]:
-        piece.coalesce(1).write.mode("append").parquet(path)  # one after another: batches go by file time
-    return spark.readStream.schema(plain.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    for i in range(batches):  # one after another: batches go by file time
+        piece = df.where(F.expr(f"(`{order}` - {low or 0}) div {step} = {i}")).drop(*without)
+        piece.repartition(SOURCE_FILES).write.mode("append").parquet(path)
+    if closing is not None:
+        closing.select(*plain.columns).write.mode("append").parquet(path)
+    return spark.readStream.schema(plain.schema).option("maxFilesPerTrigger", SOURCE_FILES).parquet(path)
 
 
 def _closing(df: DataFrame, ns: str, after_s: int) -> DataFrame:
@@ -884,12 +889,36 @@ def st4(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("st5_stream_books")
+@query("st5_stream_books", BOOKS_SQL)
 def st5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The book of every supplier after each of its lines, from keyed state."""
-    rows = A.book_rows(A.lines(spark, sf_dir)).withColumn("invalidations", F.lit(0).cast("bigint"))
-    out = stateful.stream_books(_source_stream(spark, rows, SEQ))
-    return _run(out, spark)
+    """Book rows at every tick, from books kept in state over four batches."""
+    full = _full_events(spark, sf_dir)
+    out = shared_dir(spark, "books")
+    _, books_query = books.stream_books(_source_stream(spark, full, SEQ), out, shared_dir(spark, "work"))
+    books_query.awaitTermination()
+    rows = books.at_places(spark.read.schema(ddl(books.BOOK_ROWS)).parquet(out))
+    return book_columns(rows, tick_lines(full))
+
+
+@query(
+    "st5_stream_best_prices",
+    WITH_ARCHIVE + """ select case when c < 2 then '5m-' else '15m-' end || (e.asset // 4 - 1) ||
+        case when c % 2 = 0 then '-up' else '-down' end as asset_id, e.seq as event_line, cast(bid as double) as best_bid,
+      cast(best_ask as double) as best_ask, f.coherent
+    from e join f on f.asset = e.asset and f.seq = e.seq""",
+)
+def st5_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best prices and coherence after every event of an initialized book, from state."""
+    full = _full_events(spark, sf_dir)
+    out = shared_dir(spark, "books")
+    stream = _source_stream(spark, full, SEQ)
+    _, books_query = books.stream_books(stream, out, shared_dir(spark, "work"), every_event=True)
+    books_query.awaitTermination()
+    rows = spark.read.schema(ddl(books.BOOK_ROWS)).parquet(out).where("initialized and kind <> 'point'")
+    lines = full.select(SEQ, F.expr("bigint(substr(event_id, 2))").alias("event_line"))
+    return rows.join(lines, SEQ).select(
+        "asset_id", "event_line", num("best_bid").alias("best_bid"), num("best_ask").alias("best_ask"), "coherent"
+    )
 
 
 @query(
