@@ -5,14 +5,18 @@ its piece. A block of texts is sorted by multikey three-way quicksort: pointers
 parted by the word at the current depth into less, equal and greater, and the
 equal part goes one word deeper; at the last depth the size of an equal part is
 the count of its phrase. Parts of at most ``SMALL`` pointers are finished in one
-joint sort, as is usual. Blocks send each distinct suffix once, with its count, to
-the task of its two leading words (three for pairs that a sample of the text finds
-very frequent), where the same sort runs over suffixes with weights and leaves
-parts below the least count. So frequencies are exact, and a frequent word, pair
-or passage costs a row per block and task, not one per occurrence.
-
-The sample (``SAMPLE_BYTES`` or ``SAMPLE_SHARE`` of the text) decides routes only;
-no count depends on it.
+joint sort, as is usual.
+
+Infrequent parts are abandoned after their leading words were routed globally: a
+first round counts the hashes of leading pairs over all texts, and the second
+round follows a suffix only where its pair may be frequent, and its third word
+only where the pair behind is. What may be frequent is a bit set of fixed size
+(``FILTER_BITS``), so a hash that it lets through by chance costs time only. Blocks
+then send each distinct suffix once, with its count, to the task of its two
+leading words (three for very frequent pairs), where the same sort runs over
+suffixes with weights and leaves parts below the least count. So frequencies are
+exact, and a frequent word, pair or passage costs a row per block and task, not one
+per occurrence.
 
 Text: A-Z are lower-cased, pieces end at ``[.,;:!?\\x0A-\\x0D]``, words are
 ``[^\\x20\\x09]+``. Defined results: a null text is empty, a null language ``und``;
@@ -37,12 +41,12 @@ from tickstate.llm.common import mix64, slices, small_batches, staged
 
 MOST_WORDS = 3
 SMALL = 1 << 17
-BLOCK_BYTES = 24_000_000
-PART_BYTES = 16_000_000
-HELD_ROWS = 1_500_000
-OUT_ROWS = 100_000
-SAMPLE_BYTES, SAMPLE_SHARE = 48_000_000, 1e-4
-MOST_HOT = 1_000_000
+BLOCK_BYTES = 8_000_000
+PART_BYTES = 8_000_000
+HELD_ROWS = 600_000
+OUT_ROWS = 50_000
+FILTER_BITS = 26
+LEAST_HOT, MOST_HOT = 20_000, 1_000_000
 TOP_SALTS = 32
 
 _CLASS = np.zeros(256, dtype=np.uint8)
@@ -226,7 +230,13 @@ def _out(lang: str, phrases: pa.Array, words: np.ndarray | int, counts: np.ndarr
         yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def _count_block(hot: np.ndarray, table: pa.Table) -> Iterator[pa.RecordBatch]:
+def may_be(values: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Whether hashes are in a bit set."""
+    words = bits[(values >> np.uint64(6)).astype(np.int64) & (len(bits) - 1)]
+    return (words >> (values & np.uint64(63))) & np.uint64(1) == 1
+
+
+def _count_block(hot: np.ndarray, bits: np.ndarray, table: pa.Table) -> Iterator[pa.RecordBatch]:
     """Distinct words and suffixes of a block with their counts and routes."""
     for lang, rows in _by_language(table, "text"):
         for chunk in rows.column("text").chunks:
@@ -237,7 +247,11 @@ def _count_block(hot: np.ndarray, table: pa.Table) -> Iterator[pa.RecordBatch]:
             single = np.bincount(words.ids, minlength=len(words.vocabulary) + 1)[1:]
             yield from _out(lang, words.vocabulary, 1, single, mix64(routes.words).view(np.int64))
             symbols = words.symbols()
-            at, sums = suffix_groups(symbols, np.flatnonzero(symbols[1]))
+            at = np.flatnonzero(symbols[1])
+            follow = np.zeros(len(words.ids) + 1, dtype=bool)
+            follow[at] = may_be(routes.pair(symbols[0][at], symbols[1][at]), bits)
+            symbols[2] = np.where(follow[1:], symbols[2], 0)
+            at, sums = suffix_groups(symbols, np.flatnonzero(follow))
             own = [s[at] for s in symbols]
             yield from _out(lang, _phrases(words, own), 2 + (own[2] > 0), sums, routes.suffix(own, hot))
 
@@ -295,13 +309,8 @@ def _merged(batches: Iterator[pa.RecordBatch], hot: np.ndarray, least: int) -> I
             yield from _merge_part(lang, part, hot, least)
 
 
-def hot_pairs(rows: DataFrame, size: int, parts: int) -> np.ndarray:
-    """Route hashes of pairs with a share of 1/10,000 or more than a quarter part, from a sample.
-
-    At most ``MOST_HOT``, since each holds at least that share of the sample.
-    """
-    share = min(1.0, max(SAMPLE_SHARE, SAMPLE_BYTES / max(size, 1)))
-    sample = rows if share == 1 else rows.where(F.rand(7) < share)
+def pair_counts(rows: DataFrame, least: int) -> DataFrame:
+    """``pair, n``: the hashes of leading pairs with ``least`` or more occurrences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _blocks(batches):
@@ -310,22 +319,34 @@ def hot_pairs(rows: DataFrame, size: int, parts: int) -> np.ndarray:
                     words = Words(chunk)
                     symbols = words.symbols()
                     at = np.flatnonzero(symbols[1])
-                    pair = Routes(lang, words.vocabulary).pair(symbols[0][at], symbols[1][at])
-                    found, counts = np.unique(pair, return_counts=True)
-                    large = counts > 3  # rare ones are only part of the total
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.append(found[large].view(np.int64), 0)), pa.array(np.append(counts[large], 0)),
-                         pa.array(np.append(np.zeros(large.sum(), np.int64), len(at)))],
-                        names=["pair", "n", "total"],
-                    )
-
-    counted = sample.mapInArrow(run, "pair long, n long, total long").groupBy("pair").agg(
-        F.sum("n").alias("n"), F.sum("total").alias("total")
-    )
-    counted = staged(counted, "phrase-sample")
-    total = counted.agg(F.sum("total")).first()[0] or 0
-    bound = max(32, total // min(max(4 * parts, 10_000), MOST_HOT))
-    hot = counted.where(F.col("n") >= bound).select("pair").toPandas()["pair"].to_numpy(dtype=np.int64)
+                    pairs = np.sort(Routes(lang, words.vocabulary).pair(symbols[0][at], symbols[1][at]))
+                    starts = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1]))[: len(pairs)])
+                    counts = np.diff(np.append(starts, len(pairs)))
+                    pairs = pairs[starts].view(np.int64)
+                    for lo in range(0, len(pairs), OUT_ROWS):
+                        of = slice(lo, lo + OUT_ROWS)
+                        yield pa.RecordBatch.from_arrays([pa.array(pairs[of]), pa.array(counts[of])], names=["pair", "n"])
+
+    counted = rows.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return staged(counted.where(F.col("n") >= least), "phrase-pairs")
+
+
+def bit_set(pairs: DataFrame) -> np.ndarray:
+    """The hashes as a bit set of 2^FILTER_BITS bits, at most that many bits on the driver."""
+    words = pairs.select(
+        F.shiftright("pair", 6).bitwiseAND((1 << FILTER_BITS - 6) - 1).alias("word"),
+        F.expr("shiftleft(1L, cast(pair & 63 as int))").alias("bit"),
+    ).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(1 << FILTER_BITS - 6, dtype=np.uint64)
+    bits[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return bits
+
+
+def hot_pairs(pairs: DataFrame, size: int) -> np.ndarray:
+    """Hashes of the pairs that are routed by their third word too: at most ``MOST_HOT``, as a
+    text of ``size`` bytes has half as many words."""
+    bound = max(LEAST_HOT, size // (2 * MOST_HOT))
+    hot = pairs.where(F.col("n") >= bound).select("pair").toArrow()["pair"].to_numpy()
     return np.sort(hot.view(np.uint64))
 
 
@@ -341,11 +362,12 @@ def phrase_counts(docs: DataFrame, least: int) -> DataFrame:
     )
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // PART_BYTES))
-    hot = spark.sparkContext.broadcast(hot_pairs(rows, size, parts))
+    pairs = pair_counts(rows, least)
+    hot, bits = spark.sparkContext.broadcast(hot_pairs(pairs, size)), spark.sparkContext.broadcast(bit_set(pairs))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _blocks(batches):
-            yield from _count_block(hot.value, table)
+            yield from _count_block(hot.value, bits.value, table)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _merged(batches, hot.value, least)
