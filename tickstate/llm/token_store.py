@@ -10,7 +10,8 @@ Frame: magic ``TKF1``, number of documents, of ids and of blocks (uint32 each),
 doc_id validity bits, doc_ids (int64), lengths (uint32), block sizes (uint32),
 block checksums (uint32), blocks. All little-endian.
 
-Defined results: null or empty text is the end id alone; documents of equal
+Defined results: null or empty text is the end id alone; a very long text is encoded
+whole and may exceed a frame; documents of equal
 doc_id keep the order of their rows in the input; null doc_ids come first; an
 empty table gives an empty result.
 """
@@ -47,7 +48,8 @@ class Encoder:
 
     Byte-level BPE never merges across a space that a non-space follows, so a
     text is the concatenation of its parts cut there; equal parts are encoded
-    once. ``words`` holds the ids of a part with its space, without the space in
+    once. A text that spells a token added to the vocabulary (``<|endoftext|>``) is
+    encoded whole, as the library cuts it there first. ``words`` holds the ids of a part with its space, without the space in
     the key; ``first`` those of parts that open a text.
     """
 
@@ -56,7 +58,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(content)
-        self.tokenizer.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) if added else r"(?!)")
         self.words: dict[str, bytes] = {}
         self.line_break = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
 
@@ -81,6 +84,11 @@ class Encoder:
 
     def __call__(self, rows: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 16-bit integers."""
+        whole = [i for i, t in enumerate(rows) if self.added.search(t)]
+        if whole:
+            done = dict(zip(whole, self._encode([rows[i] for i in whole])))
+            others = iter(self([t for i, t in enumerate(rows) if i not in done]))
+            return [done[i] if i in done else next(others) for i in range(len(rows))]
         cut = [_WORD.split(t) if _ODD.search(t) else t.split(" ") for t in rows]
         opening = self._encode([parts[0] for parts in cut])
         if len(self.words) > _CACHED_WORDS:
