@@ -29,7 +29,7 @@ from tickstate.llm.common import code_points, slices, small_batches, staged
 UNKNOWN = "und"
 SPACE, EDGE = 32, 1
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_PLAIN = 0x30000
+_PLAIN = 0x40000  # no letters beyond
 # scoring holds some 200 bytes a character, so texts are scored in pieces of this many
 PIECE = 200_000
 # a language with more characters than the sample may hold gives this many texts at least
