@@ -8,10 +8,16 @@ one band; bands that reach the bound are verified by banded alignment.
 
 Letters are compared in lower case and any white space is one space character.
 The benchmark is read in blocks of ``BLOCK_PROBES`` probes, so what is broadcast
-is bounded; each block is one pass over the texts, without a shuffle.
+is bounded; each block is one pass over the texts, without a shuffle. Of several
+blocks each pass is a job of its own that writes the rows with matches, so a task
+holds one index at a time.
+
+Items of more than ``PROBE`` characters are probes of that length every ``STRIDE``
+characters, so a copied passage of ``PROBE + STRIDE - 1`` characters always holds a
+whole probe; of shorter items, and shorter passages, the whole probe must occur.
 
 Defined results: null or empty texts and items match nothing, and so do items
-shorter than q characters; short items get fewer edits than ``max_error`` if the
+shorter than q characters; very long texts are compared whole; short items get fewer edits than ``max_error`` if the
 bound needs it; repeated rows are judged each; an empty table gives an empty
 result. Of overlapping matches of one probe the one with fewer edits, then the
 first, is reported.
@@ -30,7 +36,7 @@ from pyspark.sql import functions as F
 from tickstate.llm.common import code_points, slices, small_batches, staged
 
 Q = 10
-PROBE, STRIDE = 400, 200
+PROBE, STRIDE = 200, 50
 BLOCK_PROBES = 5_000
 _WINDOW = 64
 _BITS = 22
@@ -84,7 +90,7 @@ class ProbeIndex:
         self.reach = int((self.size + self.edits).max(initial=0))
         parts = -(-(self.size + self.edits) // _WINDOW)
         #: shared q-grams in some window of any occurrence
-        self.dense = int((-(-self.bound // parts)).min(initial=1))
+        self.dense = int((-(-self.bound // parts)).min()) if self.rows else 1
 
     def hits(self, text: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions and gram numbers of q-grams in regions that are dense enough."""
@@ -212,7 +218,7 @@ def _find(shared):
         index: ProbeIndex = shared.value
         for batch in slices(batches):
             points, bounds = code_points(batch.column("text"))
-            leaks = [list(x or ()) for x in batch.column("leaks").to_pylist()]
+            leaks: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             for row, probe, start, end, edits in index.leaks(fold(points), bounds):
                 item, offset, _ = index.rows[probe]
                 leaks[row].append(
@@ -233,10 +239,21 @@ def find_leaks(
     pieces = staged(probes(benchmark), "probes")
     blocks = max(1, -(-pieces.count() // BLOCK_PROBES))
     own = () if "text" in keep else ("text",)
-    df = docs.select(*keep, *own).withColumn("leaks", F.expr(f"cast(array() as array<{LEAK}>)"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    for b in range(blocks):
+    none = F.expr(f"cast(array() as array<{LEAK}>)")
+
+    def passed(df: DataFrame, b: int) -> DataFrame:
         mine = pieces.where(F.pmod(F.xxhash64("item_id", "offset", "probe"), F.lit(blocks)) == b)
-        rows = sorted(map(tuple, mine.collect()), key=repr)
-        df = df.mapInArrow(_find(spark.sparkContext.broadcast(ProbeIndex(rows, max_error))), schema)
-    return df.select(*keep, "leaks")
+        index = ProbeIndex(sorted(map(tuple, mine.collect()), key=repr), max_error)
+        df = df.withColumn("leaks", none)
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+        return df.mapInArrow(_find(spark.sparkContext.broadcast(index)), schema)
+
+    if blocks == 1:
+        return passed(docs.select(*keep, *own), 0).select(*keep, "leaks")
+    rows = staged(docs.select(*keep, *own).withColumn("_row", F.monotonically_increasing_id()), "leak-texts")
+    found = None
+    for b in range(blocks):
+        hits = staged(passed(rows.select("_row", "text"), b).where(F.size("leaks") > 0).drop("text"), "leaks")
+        found = hits if found is None else found.unionByName(hits)
+    found = found.groupBy("_row").agg(F.flatten(F.collect_list("leaks")).alias("leaks"))
+    return rows.join(found, "_row", "left").select(*keep, F.coalesce("leaks", none).alias("leaks"))
