@@ -37,10 +37,11 @@ class Kind:
 
 DIGITS = "regexp_replace(v, '[^0-9]', '')"
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+# the digits are taken out of the match once
 _LUHN = (
-    "aggregate(sequence(1, length({d})), 0, (a, i) -> a + "
-    "element_at(array(0, 2, 4, 6, 8, 1, 3, 5, 7, 9), 1 + cast(substring({d}, -i, 1) as int)) * ((i + 1) % 2) + "
-    "cast(substring({d}, -i, 1) as int) * (i % 2)) % 10 = 0"
+    "element_at(transform(array({d}), d -> aggregate(sequence(1, length(d)), 0, (a, i) -> a + "
+    "element_at(array(0, 2, 4, 6, 8, 1, 3, 5, 7, 9), 1 + cast(substring(d, -i, 1) as int)) * ((i + 1) % 2) + "
+    "cast(substring(d, -i, 1) as int) * (i % 2)) % 10 = 0), 1)"
 ).format(d=DIGITS)
 # letters count 10 to 35; the country and check digits go to the end
 _MOD97 = (
@@ -89,24 +90,38 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\") + "'"
 
 
+def _ends(sizes: str) -> str:
+    """Running sums of an array of lengths, in blocks of its square root: a list of n spans costs
+    n^1.5 steps, since appending copies."""
+    block = f"greatest(1, cast(sqrt(size({sizes})) as int))"
+    blocks = f"sequence(0, (size({sizes}) - 1) div {block})"
+    part = f"slice({sizes}, cast(b * {block} + 1 as int), {block})"
+    add = "(a, x) -> struct(a.at + x as at, array_append(a.out, a.at + x) as out)"
+    start = "struct({} as at, cast(array() as array<bigint>) as out)"
+    before = (
+        f"concat(array(0L), aggregate(transform({blocks}, b -> aggregate({part}, 0L, (a, x) -> a + x)), "
+        f"{start.format('0L')}, {add}, a -> a.out))"
+    )
+    return (
+        f"element_at(transform(array({before}), before -> flatten(transform({blocks}, b -> "
+        f"aggregate({part}, {start.format('get(before, cast(b as int))')}, {add}, a -> a.out)))), 1)"
+    )
+
+
 def _spans(kind: Kind, at: int) -> Column:
-    """Confirmed spans of one kind: match i lies after the gaps and matches before it."""
-    m, g = f"_match_{kind.name}", f"_gap_{kind.name}"
+    """Confirmed spans of one kind: match i ends where the gaps and matches up to it end."""
+    m, g, e = f"_match_{kind.name}", f"_gap_{kind.name}", f"_end_{kind.name}"
     near = f"(?i)(?<![a-z])(?:{kind.words})"
     floor = ADDED_LIMIT if kind.added else 0
     return F.expr(f"""
-      filter(aggregate(sequence(1, size({m})),
-        struct(0L as pos, cast(array() as array<struct<kind: string, at: int, start: bigint, end: bigint, score: int, valid: boolean>>) as out),
-        (a, i) -> struct(
-          a.pos + length(get({g}, i - 1)) + length(get({m}, i - 1)) as pos,
-          array_append(a.out, struct(
+      filter(transform(sequence(1, size({m})), i -> struct(
             '{kind.name}' as kind, {at} as at,
-            a.pos + length(get({g}, i - 1)) as start,
-            a.pos + length(get({g}, i - 1)) + length(get({m}, i - 1)) as end,
+            get({e}, i - 1) - length(get({m}, i - 1)) as start,
+            get({e}, i - 1) as end,
             {kind.score} + if(right(get({g}, i - 1), {CONTEXT}) rlike {_quoted(near)}
               or left(get({g}, i), {CONTEXT}) rlike {_quoted(near)}, 20, 0) as score,
-            element_at(transform(array(get({m}, i - 1)), v -> {kind.valid.replace(chr(92), chr(92) * 2)}), 1) as valid)) as out),
-        a -> a.out), s -> s.valid and s.score >= {floor})""")
+            element_at(transform(array(get({m}, i - 1)), v -> {kind.valid.replace(chr(92), chr(92) * 2)}), 1) as valid)),
+        s -> s.valid and s.score >= {floor})""")
 
 
 def find_spans(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -121,6 +136,15 @@ def find_spans(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",)) -> DataF
         F.expr(f"if(size(_match_{k.name}) > 0, split(text, {_quoted(k.pattern)}, -1), {empty})").alias(f"_gap_{k.name}")
         for k in KINDS
     ])
+    df = df.select("*", *[
+        F.expr(
+            f"transform(_match_{k.name}, (m, i) -> cast(length(m) + length(get(_gap_{k.name}, i)) as bigint))"
+        ).alias(f"_size_{k.name}")
+        for k in KINDS
+    ])
+    df = df.select("*", *[
+        F.expr(f"if(size(_size_{k.name}) > 0, {_ends(f'_size_{k.name}')}, null)").alias(f"_end_{k.name}") for k in KINDS
+    ])
     found = F.concat(*[
         F.when(F.size(f"_match_{k.name}") > 0, _spans(k, i)).otherwise(F.expr(
             "cast(array() as array<struct<kind: string, at: int, start: bigint, end: bigint, score: int, valid: boolean>>)"
@@ -136,12 +160,14 @@ def find_spans(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",)) -> DataF
 def span_digest(found: DataFrame) -> DataFrame:
     """Per row of ``find_spans``: counts, digest of the base spans, and all spans as text."""
     base = ", ".join(f"'{k}'" for k in BASE)
+    count = lambda k: F.expr(f"cast(size(filter(pii, s -> s.kind = '{k.name}')) as long)").alias(f"n_{k.name}")
     listed = "array_join(transform({}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')"
     return found.select(
         "doc_id",
-        *[F.expr(f"cast(size(filter(pii, s -> s.kind = '{k.name}')) as long)").alias(f"n_{k.name}") for k in KINDS],
+        *[count(k) for k in KINDS if not k.added],
         F.sha2(F.expr(listed.format(f"filter(pii, s -> s.kind in ({base}))")), 256).alias("base_sha256"),
         F.expr(listed.format("pii")).alias("spans"),
+        *[count(k) for k in KINDS if k.added],
         F.expr("array_join(transform(pii, s -> cast(s.score as string)), ',')").alias("scores"),
     )
 
