@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tickstate.operators.book import divergence_fold
+from tickstate.operators import book
 from tickstate.operators.ordered import Running, following, number_rows, running, with_time_chunk
 
 
@@ -46,7 +46,7 @@ def test_time_chunks_split_hot_minutes_and_seconds(spark):
     assert sorted(r["n"] for r in total.collect()) == list(range(1, 3011))
 
 
-def test_divergence_fold_matches_counting(spark):
+def test_divergence_fold_matches_counting(spark, monkeypatch):
     rng = random.Random(11)
     rows, want = [], {}
     for asset in ("a", "b", "c"):
@@ -70,6 +70,7 @@ def test_divergence_fold_matches_counting(spark):
     df = spark.createDataFrame(
         rows, "asset_id string, epoch long, ingest_sequence long, row_no long, stream string, uncrossed boolean, "
         "best_bid int, best_ask int, p_best struct<best_bid:int,best_ask:int>")
-    for chunk in (13, 1 << 20):
-        got = {r["ingest_sequence"]: r["coherent"] for r in divergence_fold(df, 3, chunk).collect()}
+    for rows_in_block in (3, 1024):  # also maps of maps of blocks
+        monkeypatch.setattr(book, "FOLD_ROWS", rows_in_block)
+        got = {r["ingest_sequence"]: r["coherent"] for r in book.divergence_fold(df, 3).collect()}
         assert got == want

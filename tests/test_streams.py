@@ -13,7 +13,7 @@ from tickstate.plans.replay import ArchiveIntegrityError, replay
 from tickstate.plans.snapshot import build_snapshots, flatten_snapshots
 from tickstate.sources.archive import read_snapshots, write_events, write_manifests
 from tickstate.schemas import ddl
-from tickstate.streaming import books, streams
+from tickstate.streaming import books, snapshots, streams
 from test_parsers import NOW, NOW_MS, oracle
 
 
@@ -21,22 +21,6 @@ def folder(spark, name):
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def test_streamed_snapshots_equal_batch(spark):
-    rows = kit.random_day(4, 500)
-    fold.run(rows, 4)
-    events = kit.frame(spark, rows)
-    source = folder(spark, "source")
-    for part in range(2):
-        piece = events.where(F.expr(f"ingest_sequence div 251 = {part}"))
-        piece.coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    out = folder(spark, "out")
-    streams.stream_snapshots(stream, out, folder(spark, "state"), folder(spark, "cp")).awaitTermination()
-    got = {r["snapshot_sequence"]: r["snapshot_json"] for r in spark.read.parquet(out).collect()}
-    want = {r["snapshot_sequence"]: r["snapshot_json"] for r in flatten_snapshots(build_snapshots(events)).collect()}
-    assert got == want and len(want) > 10
-
-
 def streamed(spark, events, parts, size):
     """``events`` as a file stream of ``parts`` micro-batches of ``size`` sequences."""
     source = folder(spark, "source")
@@ -46,6 +30,22 @@ def streamed(spark, events, parts, size):
     return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
 
 
+@pytest.mark.parametrize("seed", [4, 9])
+def test_streamed_snapshots_equal_batch(spark, seed):
+    """Five batches from carried books; a batch reads no older event."""
+    rows = kit.random_day(seed, 500)
+    fold.run(rows, seed)
+    events = kit.frame(spark, rows)
+    out, state = folder(spark, "out"), folder(spark, "state")
+    stream = streamed(spark, events, 5, 100)
+    snapshots.stream_snapshots(stream, out, state, folder(spark, "cp")).awaitTermination()
+    got = {r["snapshot_sequence"]: r["snapshot_json"] for r in spark.read.parquet(out).collect()}
+    want = {r["snapshot_sequence"]: r["snapshot_json"] for r in flatten_snapshots(build_snapshots(events)).collect()}
+    assert got == want and len(want) > 10
+    carried = spark.read.parquet(f"{state}/books").groupBy("batch", "asset_id").count()
+    assert carried.agg(F.max("count")).first()[0] <= 6
+
+
 def batch_books(events):
     ticks = events.where("stream = 'snapshot_tick'").select("ingest_sequence")
     of = lambda name: events.where(F.col("stream") == name)

@@ -284,139 +284,108 @@ def coherence(best: DataFrame) -> DataFrame:
     )
 
 
-def divergence_fold(
-    best_at_events: DataFrame, limit: int = 3, chunk_rows: int = CHUNK_ROWS
-) -> DataFrame:
-    """Add ``coherent`` and ``mismatch`` to the initialized rows of each epoch.
+FOLD_ROWS = 1024
+
 
-    Input: ``best_at`` plus ``uncrossed``. The count of published quotes that
-    differ from the rebuilt book is an automaton, made window-friendly so:
+def _step(state: Column, code: Column, limit: int) -> Column:
+    """The state after an event; a state is ``2 * misses + coherent``, misses up to ``limit``.
 
-    * a *run* goes from one book or change row (which sets ``coherent`` to
-      ``uncrossed``) to the next;
-    * in a crossed run, or one without a matching quote, the count only grows;
-    * in an uncrossed run with a match, the count ends at the limit (*broken*) or
-      at a value known from the run alone. Whether it breaks is certain, excluded,
-      or "if it was broken before": a latch, read by a last-non-null window.
+    Codes: 0/1 full book that is crossed/uncrossed, 2/3 the same for a change, 4 a quote
+    that differs, 5 one that agrees, 6 anything else.
     """
-    p = F.col("p_best")
-    is_best = F.col("stream") == BEST
-    differs = ~F.col("best_bid").eqNullSafe(p["best_bid"]) | ~F.col("best_ask").eqNullSafe(
-        p["best_ask"]
-    )
-    sets = F.col("stream").isin(BOOK, CHANGE)
-    rows = best_at_events.withColumn("mismatch", is_best & differs)
-    rows = running(
-        rows,
-        EPOCH,
-        SEQ,
-        {
-            "_miss": Running("sum", F.col("mismatch").cast("bigint")),
-            "_set": Running(
-                "last", F.when(sets, F.struct(F.col(ROW).alias("run"), F.col("uncrossed").alias("ok")))
-            ),
-        },
-        chunk_rows=chunk_rows,
-    )
-    rows = materialize(rows)
-    run = F.col("_set.run")
-    rows = running(
-        rows,
-        EPOCH,
-        SEQ,
-        {
-            "_set_miss": Running("last", F.when(sets, F.col("_miss"))),
-            "_match": Running(
-                "last",
-                F.when(is_best & ~F.col("mismatch"), F.struct(run.alias("run"), F.col("_miss").alias("miss"))),
-            ),
-        },
-        chunk_rows=chunk_rows,
-    )
-    matched = F.coalesce(F.col("_match.run") == run, F.lit(False))
-    rows = rows.withColumns(
-        {
-            "_matched": matched,
-            "_streak": F.col("_miss") - F.when(matched, F.col("_match.miss")).otherwise(F.col("_set_miss")),
-        }
-    )
-    rows = running(
-        rows,
-        EPOCH,
-        SEQ,
-        {"_broke": Running("last", F.when(F.col("_matched") & (F.col("_streak") >= limit), run))},
-        chunk_rows=chunk_rows,
-    )
-    rows = materialize(
-        rows.withColumns({"_run": run, "_ok": F.col("_set.ok")}).drop("_set", "_match")
+    coherent = state.bitwiseAND(F.lit(1))
+    more = F.least(state - coherent + 2, F.lit(2 * limit))
+    return (
+        F.when(code <= 1, code)
+        .when(code <= 3, state - coherent + code - 2)
+        .when(code == 4, more + F.when(more < 2 * limit, coherent).otherwise(0))
+        .when((code == 5) & (coherent == 1), 1)
+        .otherwise(state)
     )
 
-    runs = rows.groupBy(*EPOCH, "_run").agg(
-        F.max("_ok").alias("ok"),
-        F.max(F.when(~F.col("_matched"), F.col("_streak"))).alias("lead"),
-        F.max("_matched").alias("has_match"),
-        F.max(F.when(F.col("_matched") & (F.col("_streak") >= limit), 1)).alias("broke"),
-        F.max_by("_streak", ROW).alias("tail"),
-        (F.max("_miss") - F.min("_set_miss")).alias("total"),
-        F.min(F.when(F.col(ROW) == F.col("_run"), F.col(SEQ))).alias(SEQ),
-    )
-    resets = F.col("ok") & F.col("has_match")
-    runs = materialize(
-        runs.withColumns(
-            {
-                "_resets": resets,
-                "_ends_at": F.when(
-                    resets, F.when(F.col("broke") == 1, F.lit(limit).cast("bigint")).otherwise(F.col("tail"))
-                ),
-                "_adds": F.when(resets, F.lit(0).cast("bigint")).otherwise(F.col("total")),
-            }
+
+def _starts(blocks: DataFrame, by: list[str], key: str, limit: int) -> DataFrame:
+    """``by, key, state``: the state before each block, given its transition ``map``.
+
+    Maps are composed in groups of ``FOLD_ROWS``, and the groups in the same way, so
+    no list is longer than that until an epoch has more than a million blocks.
+    """
+    groups = blocks.groupBy(*by, F.expr(f"{key} div {FOLD_ROWS}").alias("_group")).agg(
+        F.array_sort(F.collect_list(F.struct(key, "map"))).alias("_list")
+    )
+    groups = materialize(groups)
+    states = F.array(*[F.lit(i) for i in range(2 * limit + 2)])
+    whole = groups.select(
+        *by, "_group",
+        F.aggregate("_list", states, lambda m, e: F.transform(m, lambda s: F.get(e["map"], s))).alias("map"),
+    )
+
+    def walked(entries: str, start: Column, name: str) -> Column:
+        empty = F.array().cast(f"array<struct<{name}:bigint,state:int>>")
+        return F.aggregate(
+            entries,
+            F.struct(start.cast("int").alias("state"), empty.alias("out")),
+            lambda a, e: F.struct(
+                F.get(e["map"], a["state"]).cast("int").alias("state"),
+                F.array_append(a["out"], F.struct(e[name].alias(name), a["state"].alias("state"))).alias("out"),
+            ),
+            lambda a: a["out"],
         )
-    )
-    runs = running(
-        runs, EPOCH, SEQ, {"_added": Running("sum", F.col("_adds"))}, chunk_rows=chunk_rows
-    )
-    runs = running(
-        runs,
-        EPOCH,
-        SEQ,
-        {
-            "_reset": Running(
-                "last",
-                F.when(F.col("_resets"), F.struct(F.col("_ends_at").alias("count"), F.col("_added").alias("added"))),
-            )
-        },
-        chunk_rows=chunk_rows,
-        exclusive=True,
-    )
-    since = F.col("_added") - F.col("_adds") - F.coalesce(F.col("_reset.added"), F.lit(0))
-    unbroken = F.least(F.lit(limit), F.coalesce(F.col("_reset.count"), F.lit(0)) + since)
-    certain = (F.col("lead") >= 1) & (unbroken + F.col("lead") >= limit)
-    latch = F.when(
-        F.col("_resets"),
-        F.when(certain, True).when(F.col("lead") < 1, False),
-    )
-    runs = running(
-        runs.withColumns({"_unbroken": unbroken, "_latch": latch}),
-        EPOCH,
-        SEQ,
-        {"_was_broken": Running("last", F.col("_latch"))},
-        chunk_rows=chunk_rows,
-        exclusive=True,
-    )
-    start = F.when(F.coalesce(F.col("_was_broken"), F.lit(False)), F.lit(limit)).otherwise(
-        F.col("_unbroken")
-    )
-    # a run ends broken only through its own rows, so the latch is the state at
-    # the last resetting run; additions since then are in `_unbroken`
-    starts = runs.select(*EPOCH, "_run", start.alias("_start"), "lead")
-    rows = salted_join(rows, starts, [*EPOCH, "_run"], F.col(ROW))
-    in_lead = (F.col("_streak") >= 1) & (F.col("_start") + F.col("_streak") >= limit)
-    lead_broke = (F.col("lead") >= 1) & (F.col("_start") + F.col("lead") >= limit)
-    broken = F.when(~F.col("_matched"), in_lead).otherwise(
-        lead_broke | F.coalesce(F.col("_broke") == F.col("_run"), F.lit(False))
-    )
-    return rows.select(
-        *best_at_events.columns, "mismatch", (F.col("_ok") & ~broken).alias("coherent")
+
+    first = F.lit(1)  # no misses, coherent; an epoch begins with a full book in any case
+    tops = whole.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_group", "map"))).alias("_list")).select(
+        *by, F.explode(walked("_list", first, "_group")).alias("_at")
+    ).select(*by, "_at._group", F.col("_at.state").alias("_state"))
+    return groups.join(tops, [*by, "_group"]).select(
+        *by, F.explode(walked("_list", F.col("_state"), key)).alias("_at")
+    ).select(*by, f"_at.{key}", "_at.state")
+
+
+def divergence_fold(best_at_events: DataFrame, limit: int = 3) -> DataFrame:
+    """Add ``coherent``, ``misses`` and ``mismatch`` to the initialized rows of each epoch.
+
+    Input: ``best_at`` plus ``uncrossed``. The count of published quotes that differ
+    from the rebuilt book is an automaton of ``2 * limit + 2`` states. Each block of
+    ``FOLD_ROWS`` rows is reduced to its transition map; maps compose associatively,
+    which gives the state before each block; then the rows of a block are walked once.
+    The only copy is that of the blocks, so callers should pass few columns.
+    """
+    p = F.col("p_best")
+    is_best = F.col("stream") == BEST
+    differs = ~F.col("best_bid").eqNullSafe(p["best_bid"]) | ~F.col("best_ask").eqNullSafe(p["best_ask"])
+    ok = F.col("uncrossed").cast("int")
+    code = (
+        F.when(F.col("stream") == BOOK, ok).when(F.col("stream") == CHANGE, ok + 2)
+        .when(is_best, F.when(differs, 4).otherwise(5)).otherwise(6)
+    )
+    columns = best_at_events.columns
+    blocks = materialize(
+        best_at_events.withColumns({"mismatch": is_best & differs, "_code": code})
+        .groupBy(*EPOCH, F.expr(f"{ROW} div {FOLD_ROWS}").alias("_block"))
+        .agg(F.array_sort(F.collect_list(F.struct(
+            F.col(ROW).alias("_row"), "_code", F.struct(*columns, "mismatch").alias("event"),
+        )), lambda x, y: F.when(x["_row"] < y["_row"], -1).when(x["_row"] > y["_row"], 1).otherwise(0)).alias("_events"))
+    )
+    states = F.array(*[F.lit(i) for i in range(2 * limit + 2)])
+    maps = blocks.select(
+        *EPOCH, "_block",
+        F.aggregate("_events", states, lambda m, e: F.transform(m, lambda s: _step(s, e["_code"], limit))).alias("map"),
+    )
+    starts = _starts(maps, EPOCH, "_block", limit)
+    walked = F.aggregate(
+        "_events",
+        F.struct(F.col("state").alias("state"), F.array().cast("array<int>").alias("out")),
+        lambda a, e: F.struct(
+            _step(a["state"], e["_code"], limit).cast("int").alias("state"),
+            F.array_append(a["out"], _step(a["state"], e["_code"], limit).cast("int")).alias("out"),
+        ),
+        lambda a: a["out"],
+    )
+    rows = blocks.join(starts, [*EPOCH, "_block"]).select(
+        F.explode(F.arrays_zip(F.col("_events"), walked.alias("_state"))).alias("_r")
+    )
+    return rows.select("_r._events.event.*", F.col("_r._state").alias("_s")).select(
+        *columns, "mismatch", (F.col("_s") % 2 == 1).alias("coherent"), F.expr("_s div 2").cast("int").alias("misses")
     )
 
 
@@ -472,8 +441,14 @@ def books_at(
         ticks = with_control(ticks, control, chunk_rows)
         book_events = with_control(book_events, control, chunk_rows)
         market_state = market_state.select(SEQ, "received_wall_timestamp_ns", "p_market")
-    state = book_state(ticks, book_events, market_state, limit=limit, chunk_rows=chunk_rows)
-    points, intervals = state
+    points, intervals = book_state(
+        active_points(ticks), book_events, market_state, limit=limit, chunk_rows=chunk_rows
+    )
+    return book_rows_at(points, intervals, depth)
+
+
+def book_rows_at(points: DataFrame, intervals: DataFrame, depth: int = 20) -> DataFrame:
+    """Book rows, one per place of each point of ``book_state``."""
     levels = levels_at(
         points.where("initialized").select(*EPOCH, ROW), intervals
     )
@@ -504,14 +479,14 @@ def books_at(
 
 
 def book_state(
-    ticks: DataFrame,
+    points: DataFrame,
     book_events: DataFrame,
     market_state: DataFrame,
     *,
     limit: int = 3,
     chunk_rows: int = CHUNK_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
-    """Book flags at the tick points, and the level intervals of all books."""
+    """Book flags at ``points`` (see ``active_points``), and the level intervals of all books."""
     stale = is_stale(F.col("session"), F.col("source_session_id"))
     events = book_events.where(~stale & F.col("asset_id").isNotNull())
     lives = reference_lives(market_state, chunk_rows)
@@ -526,7 +501,7 @@ def book_state(
         "invalidations",
         *payloads,
     )
-    rows = events.unionByName(active_points(ticks), allowMissingColumns=True)
+    rows = events.unionByName(points, allowMissingColumns=True)
     rows = materialize(with_life(rows, lives, chunk_rows).where("life is not null"))
 
     complete = F.col("stream") != POINT
@@ -549,10 +524,9 @@ def book_state(
     intervals = materialize(level_intervals(epochs, chunk_rows))
     live = epochs.where(
         F.col("initialized") & F.col("stream").isin(BOOK, CHANGE, BEST, POINT)
-    )
-    best = coherence(best_at(live, intervals))
-    folded = divergence_fold(best, limit, chunk_rows)
-    flags = folded.where(is_point).select(SEQ, "asset_id", F.col("coherent").alias("_coherent"))
+    ).select(*EPOCH, ROW, SEQ, "stream", "p_best")
+    folded = divergence_fold(coherence(best_at(live, intervals)), limit)
+    flags = folded.where(is_point).select(SEQ, "asset_id", F.col("coherent").alias("_coherent"), "misses")
     points = epochs.where(is_point).join(flags, [SEQ, "asset_id"], "left")
     untouched = F.col("_created.invalidations") == F.col("invalidations")
     points = points.withColumns(

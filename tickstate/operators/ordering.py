@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickstate.operators.ordered import Running, number_rows, running
+from tickstate.operators.ordered import Running, materialize, number_rows, running
 from tickstate.params import CHUNK_ROWS
 
 ARRIVAL = "arrival_no"
@@ -119,6 +119,58 @@ def dedup_events(
     return df.join(first, order, "left_semi")
 
 
+def dedup_horizon(
+    df: DataFrame,
+    horizon: int,
+    keys: tuple[str, ...] = (),
+    id_col: str = "event_id",
+    order: str = ARRIVAL,
+    chunk_rows: int = CHUNK_ROWS,
+    most_rounds: int = 100,
+) -> DataFrame:
+    """P19 with a horizon by count: the rows whose id is not among the last ``horizon`` accepted ones.
+
+    An id counts again once ``horizon`` other ids of its key were accepted after it,
+    the oldest first. Whether a copy is accepted depends on how many were accepted
+    before it, so the flags of the copies are recomputed, from the ranks that the
+    flags before give, until they stay. The flags of the first rows depend on none
+    and are right at once, then those that depend on these, so flags that stay are
+    the sequential ones. Ids without copies only count: they are summed up once.
+    """
+    by = list(keys)
+    counts = df.groupBy(*by, id_col).agg(F.count("*").alias("_copies"))
+    repeated = counts.where("_copies > 1").drop("_copies")
+    slim = df.select(*by, id_col, order)
+    marked = slim.join(repeated.withColumn("_again", F.lit(True)), [*by, id_col], "left")
+    single = F.col("_again").isNull()
+    counted = running(
+        marked, by, order, {"_singles": Running("sum", single.cast("bigint"))}, chunk_rows=chunk_rows
+    )
+    first = Running("first", F.col(order))
+    copies = running(
+        counted.where("_again").drop("_again"), [*by, id_col], order, {"_first": first}, chunk_rows=chunk_rows
+    )
+    copies = materialize(copies.select("*", (F.col("_first") == F.col(order)).alias("_fresh")).drop("_first"))
+    for _ in range(most_rounds):
+        ranked = running(
+            copies, by, order, {"_accepted": Running("sum", F.col("_fresh").cast("bigint"))}, chunk_rows=chunk_rows
+        ).withColumn("_rank", F.col("_singles") + F.col("_accepted"))
+        seen = running(
+            ranked, [*by, id_col], order, {"_last": Running("last", F.when(F.col("_fresh"), F.col("_rank")))},
+            chunk_rows=chunk_rows, exclusive=True,
+        )
+        before = F.col("_rank") - F.col("_fresh").cast("bigint")
+        now = F.coalesce(before - F.col("_last") >= horizon, F.lit(True))
+        after = materialize(seen.select(*by, id_col, order, "_singles", now.alias("_fresh"), (now != F.col("_fresh")).alias("_moved")))
+        copies = after.drop("_moved")
+        if after.where("_moved").isEmpty():
+            break
+    else:
+        raise RuntimeError(f"duplicates did not settle in {most_rounds} rounds")
+    dropped = copies.where("not _fresh").select(order)
+    return df.join(dropped, order, "left_anti")
+
+
 def duplicates_of(
     df: DataFrame, keys: tuple[str, ...] = ("event_id",), order: str = ARRIVAL
 ) -> DataFrame:

@@ -694,6 +694,31 @@ def p19(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordering.dedup_events(ev, ("user_id", "event_type")).select(ARRIVAL, "user_id", "event_type")
 
 
+# the last 40 accepted ids of each event type, one row after another
+HORIZON_SQL = f"""with recursive {EV}, r as (
+      select seq, event_type, user_id || ':' || k % 2 as id, row_number() over (partition by event_type order by seq) as i from ev),
+    f as (
+      select event_type, i, seq, id, true as accepted, [id] as held from r where i = 1
+      union all
+      select r.event_type, r.i, r.seq, r.id, not list_contains(f.held, r.id),
+        case when list_contains(f.held, r.id) then f.held else list_append(f.held, r.id)[-40:] end
+      from f join r on r.event_type = f.event_type and r.i = f.i + 1)
+    select seq as arrival_no, id from f where accepted"""
+
+
+def horizon_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.events(spark, sf_dir).select(
+        F.col("seq").alias(ARRIVAL), "event_type",
+        F.concat_ws(":", F.col("user_id").cast("string"), (F.col("k") % 2).cast("string")).alias("id"),
+    )
+
+
+@query("p19_dedup_horizon", HORIZON_SQL)
+def p19_horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Duplicates among the last 40 accepted ids of each event type."""
+    return ordering.dedup_horizon(horizon_rows(spark, sf_dir), 40, ("event_type",), "id").select(ARRIVAL, "id")
+
+
 @query(
     "p20_assign_sequence",
     f"""with {EV} select seq, row_number() over (order by user_id, event_type, seq) as ingest_sequence from ev""",

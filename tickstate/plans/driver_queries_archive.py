@@ -14,15 +14,23 @@ from tickstate.operators.ordering import ARRIVAL
 from tickstate.operators.parse_common import event_columns
 from tickstate.params import RESOLUTION_SOURCE
 from tickstate.plans import adapters as A
-from tickstate.plans.driver_queries import EV, cut, num, query, shared_dir
+from tickstate.plans.driver_queries import EV, HORIZON_SQL, WINDOWS, cut, horizon_rows, num, query, shared_dir
 from tickstate.plans.archive_fixture import WITH_ARCHIVE, archive_events
-from tickstate.plans.driver_queries_state import BOOKS_SQL, book_columns, snapshot_columns, tick_lines
+from tickstate.plans.driver_queries_state import (
+    BOOKS_SQL,
+    SNAPSHOTS_SQL,
+    book_columns,
+    rolled,
+    rolling_sql,
+    snapshot_columns,
+    tick_lines,
+)
 from tickstate.plans.replay import replay
-from tickstate.plans.snapshot import build_snapshots, flatten_snapshots
+from tickstate.plans.snapshot import build_snapshots, flatten_snapshots, snapshot_from_json
 from tickstate.schemas import EVENT_COLUMNS, ddl
 from tickstate.sources import archive
 from tickstate.sources.frames import number_frames, read_frames, read_market_payloads
-from tickstate.streaming import books, stateful, streams
+from tickstate.streaming import books, snapshots, stateful, streams
 
 # ---- D --------------------------------------------------------------------
 
@@ -851,6 +859,14 @@ def st2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(stream.select("event_id"), spark)
 
 
+@query("st2_stream_dedup_horizon", HORIZON_SQL)
+def st2_horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The horizon by count kept in state over four batches."""
+    stream = _source_stream(spark, horizon_rows(spark, sf_dir), ARRIVAL)
+    out = _run(stateful.stream_dedup_horizon(stream, "id", ("event_type",), 40), spark)
+    return out.where("accepted").select(ARRIVAL, "id")
+
+
 @query(
     "st3_stream_keep_increasing",
     f"""with {EV}, m as (select *, seq - 4 * k as id, max(seq - 4 * k) over (
@@ -862,8 +878,10 @@ def st3(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("seq").alias(ARRIVAL), F.col("event_type").alias("stream"),
         F.lit("s").alias("session_id"), (F.col("seq") - 4 * F.col("k")).alias("id"),
     )
-    out = stateful.stream_keep_increasing(_source_stream(spark, ev, ARRIVAL), "id")
-    return _run(out.select(ARRIVAL, "accepted"), spark)
+    source = _source_stream(spark, ev, ARRIVAL)
+    out = stateful.stream_keep_increasing(source.where("id > 0"), "id")
+    low = ev.where("id <= 0").select(ARRIVAL, F.lit(False).alias("accepted"))
+    return _run(out.select(ARRIVAL, "accepted"), spark).unionByName(low)
 
 
 @query(
@@ -889,6 +907,16 @@ def st4(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("st4_stream_rolling_at_ticks", rolling_sql("event_type = 'error'", False))
+def st4_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact windows of each tick from state, over four batches."""
+    ev = A.events(spark, sf_dir)
+    trades = A.trades(ev).withColumnRenamed("received_wall_timestamp_ns", "at_ns").withColumn("is_tick", F.lit(False))
+    ticks = A.ticks(ev).select(SEQ, F.col("now_ns").alias("at_ns"), F.lit(True).alias("is_tick"))
+    rows = _source_stream(spark, trades.unionByName(ticks, allowMissingColumns=True), SEQ)
+    return rolled(_run(stateful.stream_rolling_at_ticks(rows, WINDOWS), spark))
+
+
 @query("st5_stream_books", BOOKS_SQL)
 def st5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Book rows at every tick, from books kept in state over four batches."""
@@ -921,29 +949,36 @@ def st5_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(
-    "st6_stream_snapshots",
-    """select count(*) as snapshots from lineitem where l_linenumber = 5""",
-)
+@query("st6_stream_snapshots", SNAPSHOTS_SQL)
 def st6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole snapshots from four batches, each over its own rows and the carried books."""
     full = _full_events(spark, sf_dir)
     out = shared_dir(spark, "snapshots")
-    streams.stream_snapshots(
-        _source_stream(spark, full, SEQ, 1), out, shared_dir(spark, "state"), shared_dir(spark, "checkpoint")
+    snapshots.stream_snapshots(
+        _source_stream(spark, full, SEQ), out, shared_dir(spark, "state"), shared_dir(spark, "checkpoint")
     ).awaitTermination()
-    return spark.read.parquet(out).agg(F.count("*").alias("snapshots"))
+    rows = spark.read.parquet(out).select(snapshot_from_json(F.col("snapshot_json")).alias("s"))
+    return snapshot_columns(rows.select("s.*"))
 
 
 @query(
     "st7_late_rows",
-    f"""with {EV} select seq <= 500 as late, count(*) as events from ev group by 1""",
+    f"""with {EV}, m as (select *, seq * 100 - k * 350 as place, max(seq * 100 - k * 350) over (
+      partition by event_type order by seq rows between unbounded preceding and 1 preceding) as highest from ev)
+    select seq as arrival_no, case when place < highest then 'late' end as reject_reason from m""",
 )
 def st7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = A.events(spark, sf_dir).withColumnRenamed("seq", SEQ)
-    fresh, late = streams.late_rows(ev, 500)
-    return fresh.select(F.lit(False).alias("late")).unionByName(late.select(F.lit(True).alias("late"))).groupBy(
-        "late"
-    ).agg(F.count("*").alias("events"))
+    """Rows that come out of order, in four batches: kept or sent to the late table."""
+    ev = A.events(spark, sf_dir).select(
+        F.col("seq").alias(ARRIVAL), "event_type", (F.col("seq") * 100 - F.col("k") * 350).alias("place")
+    )
+    kept, late = shared_dir(spark, "kept"), shared_dir(spark, "late")
+    stateful.stream_split_late(
+        _source_stream(spark, ev, ARRIVAL), "place", ("event_type",), kept, late, shared_dir(spark, "checkpoint")
+    ).awaitTermination()
+    none = F.lit(None).cast("string").alias("reject_reason")
+    rows = spark.read.parquet(kept).select(ARRIVAL, none)
+    return rows.unionByName(spark.read.parquet(late).select(ARRIVAL, "reject_reason"))
 
 
 @query(

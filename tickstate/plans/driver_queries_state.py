@@ -207,7 +207,7 @@ def rolling_sql(where: str, keyed: bool) -> str:
     return f"with {EV}, r as ({parts}) select row_sequence, window_seconds, buy_volume, sell_volume, vwap from r where {where}"
 
 
-def _rolled(df: DataFrame) -> DataFrame:
+def rolled(df: DataFrame) -> DataFrame:
     return df.select(
         F.col(SEQ).alias("row_sequence"),
         "window_seconds",
@@ -220,19 +220,19 @@ def _rolled(df: DataFrame) -> DataFrame:
 def a1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One instrument: every trade shares the key, chunks keep it parallel."""
     ev = A.events(spark, sf_dir)
-    return _rolled(rolling.rolling_trades(A.ticks(ev).select(SEQ, "now_ns"), A.trades(ev), WINDOWS))
+    return rolled(rolling.rolling_trades(A.ticks(ev).select(SEQ, "now_ns"), A.trades(ev), WINDOWS))
 
 
 @query("a1_rolling_trades_by_user", rolling_sql("event_type = 'error'", True))
 def a1_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = A.events(spark, sf_dir)
     ticks = A.ticks(ev).select(SEQ, "user_id", "now_ns")
-    return _rolled(rolling.rolling_trades(ticks, A.trades(ev, {"user_id": "user_id"}), WINDOWS, ["user_id"]))
+    return rolled(rolling.rolling_trades(ticks, A.trades(ev, {"user_id": "user_id"}), WINDOWS, ["user_id"]))
 
 
 @query("a2_rolling_per_trade", rolling_sql("event_type in ('purchase', 'click')", False))
 def a2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rolled(rolling.rolling_per_trade(A.trades(A.events(spark, sf_dir)), WINDOWS))
+    return rolled(rolling.rolling_per_trade(A.trades(A.events(spark, sf_dir)), WINDOWS))
 
 
 @query(
@@ -479,7 +479,7 @@ def b5_b6(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def b7(spark: SparkSession, sf_dir: str) -> DataFrame:
     epochs = _epochs(spark, sf_dir)
-    live = epochs.where("initialized")
+    live = epochs.where("initialized").select(*book.EPOCH, book.ROW, SEQ, "stream", "p_best")
     best = book.coherence(book.best_at(live, materialize(book.level_intervals(epochs))))
     return book.divergence_fold(best).select(
         "asset_id", F.col(SEQ).alias("event_sequence"), "mismatch", "coherent"
@@ -517,8 +517,8 @@ def _level_text(column: str):
     )
 
 
-@query(
-    "r3_build_snapshots",
+# whole snapshots, shared with their stream
+SNAPSHOTS_SQL = (
     WITH_ARCHIVE
     + """ select seq as snapshot_sequence, cast(oracle_price as double) as oracle_price, cast(last_price as double) as last_price,
       cast(best_bid as double) as best_bid, round(cast((best_bid + 1) * bq + best_bid as double) / cast(bq + 1 as double), 8) as microprice,
@@ -526,8 +526,11 @@ def _level_text(column: str):
       cast(coalesce(buys, 0) as double) as buy_volume_1s,
       cast(up_bid_5 as double) as up_best_bid, cast(up_best_ask_5 as double) as up_best_ask, up_bids_5, up_asks_5, down_bids_5,
       down_asks_5, up_bids_15, up_asks_15, down_bids_15, down_asks_15,
-      len(reasons) = 0 as ready, array_to_string(reasons, ',') as reasons from why""",
+      len(reasons) = 0 as ready, array_to_string(reasons, ',') as reasons from why"""
 )
+
+
+@query("r3_build_snapshots", SNAPSHOTS_SQL)
 def r3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Complete snapshots of the archive."""
     return snapshot_columns(build_snapshots(archive_events(spark, sf_dir)))

@@ -1,4 +1,4 @@
-"""Structured Streaming forms of the batch operators (ST1, ST2, ST4, ST6-ST8).
+"""Structured Streaming forms of the batch operators (ST1, ST2, ST4, ST8).
 
 Every ``foreachBatch`` sink writes under ``batch=<id>`` in overwrite mode, so a
 batch that runs twice leaves one result.
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tickstate.operators.asof import SEQ, market_states, reference_lives
+from tickstate.operators.asof import SEQ
 from tickstate.operators.ordered import materialize, number_rows
 from tickstate.operators.ordering import ARRIVAL
 from tickstate.operators.parse_books import parse_book_frames
@@ -22,9 +22,7 @@ from tickstate.operators.parse_prices import (
     parse_depth,
     parse_oracle_price,
 )
-from tickstate.params import BOOK_STREAMS, Params
-from tickstate.plans.snapshot import build_snapshots, flatten_snapshots
-from tickstate.schemas import EVENT_COLUMNS, ddl
+from tickstate.params import Params
 from tickstate.sources.frames import number_frames
 from tickstate.streaming.files import begin, exists
 
@@ -221,107 +219,3 @@ def stream_health_counts(
         .agg(F.count("*").alias("events"))
         .select(F.col("window.start").alias("window_start"), "source", "stream", "events")
     )
-
-
-def late_rows(batch: DataFrame, highest: int | None) -> tuple[DataFrame, DataFrame]:
-    """ST7: ``(in order, late)``; a sequence at or below the highest seen is never reordered."""
-    if highest is None:
-        return batch, batch.limit(0).withColumn("reject_reason", F.lit("late"))
-    late = F.col(SEQ) <= F.lit(highest)
-    return batch.where(~late), batch.where(late).withColumn("reject_reason", F.lit("late"))
-
-
-def carried_events(events: DataFrame, params: Params) -> DataFrame:
-    """The events later snapshots still depend on.
-
-    Book events of assets that are still referenced (a market lives minutes), the
-    control rows since the oldest of them, the newest value of each price stream
-    and the trades inside the longest rolling window. Ticks are never carried.
-    """
-    lives = reference_lives(market_states(events), params.chunk_rows)
-    alive = lives.where("to_sequence is null").select("asset_id", "from_sequence")
-    books = events.where(F.col("stream").isin(*BOOK_STREAMS)).join(
-        alive.withColumnRenamed("from_sequence", "_from"), "asset_id"
-    )
-    books = books.where(F.col(SEQ) > F.col("_from")).drop("_from")
-    oldest = alive.agg(F.coalesce(F.min("from_sequence"), F.lit((1 << 62))).alias("_oldest"))
-    controls = events.where(F.col("stream").isin("source_status", "market_window_state"))
-    group = F.concat_ws(
-        ":",
-        "stream",
-        F.coalesce("p_market.timeframe", "p_status.source"),
-        F.col("p_status.connected").cast("string"),
-    )
-    # newest control row of each kind before the oldest open life: a handful of rows
-    marked = controls.withColumn("_group", group).withColumn("_k", F.lit(0)).join(
-        F.broadcast(oldest.withColumn("_k", F.lit(0))), "_k"
-    )
-    newest = marked.where(F.col(SEQ) < F.col("_oldest")).groupBy("_group").agg(F.max(SEQ).alias(SEQ))
-    kept_controls = marked.where(F.col(SEQ) >= F.col("_oldest")).select(*events.columns).unionByName(
-        controls.join(newest.select(SEQ), SEQ, "left_semi")
-    )
-    priced = events.where(
-        F.col("stream").isin(
-            "chainlink_price", "binance_agg_trade", "binance_book_ticker", "binance_depth20"
-        )
-    )
-    last = priced.groupBy("stream").agg(F.max(SEQ).alias(SEQ)).select(SEQ)
-    clock = events.agg(
-        (F.max("received_wall_timestamp_ns") - max(params.rolling_seconds) * 1_000_000_000).alias(
-            "_since"
-        )
-    )
-    recent = (
-        priced.where(F.col("stream") == "binance_agg_trade")
-        .withColumn("_k", F.lit(0))
-        .join(F.broadcast(clock.withColumn("_k", F.lit(0))), "_k")
-        .where(F.col("received_wall_timestamp_ns") >= F.col("_since"))
-        .select(*events.columns)
-    )
-    prices = priced.join(last, SEQ, "left_semi").unionByName(recent).dropDuplicates([SEQ])
-    return books.select(*events.columns).unionByName(kept_controls).unionByName(
-        prices.select(*events.columns)
-    )
-
-
-def stream_snapshots(
-    events: DataFrame,
-    out_dir: str,
-    state_dir: str,
-    checkpoint: str,
-    params: Params | None = None,
-    trigger: dict | None = None,
-) -> StreamingQuery:
-    """ST6: snapshots of the ticks of each micro-batch.
-
-    A batch runs the batch plan over the carried events plus its own, then writes
-    the new carried events under its batch id; the next batch starts from there.
-    Late rows go to ``<state_dir>/late``.
-    """
-    params = params or Params()
-    columns = list(EVENT_COLUMNS)
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        previous = f"{state_dir}/carried/batch={batch_id - 1}"
-        highest = None
-        batch = batch.select(*columns)
-        carried = None
-        if batch_id > 0 and exists(spark, previous):
-            carried = spark.read.schema(ddl(EVENT_COLUMNS)).parquet(previous)
-            mark = spark.read.parquet(f"{state_dir}/highest/batch={batch_id - 1}").first()
-            highest = mark["highest"]
-        fresh, late = late_rows(batch, highest)
-        late.write.mode("overwrite").parquet(f"{state_dir}/late/batch={batch_id}")
-        everything = fresh if carried is None else carried.unionByName(fresh)
-        everything = materialize(everything)
-        rows = flatten_snapshots(build_snapshots(everything, params))
-        rows.write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
-        carried_events(everything, params).write.mode("overwrite").parquet(
-            f"{state_dir}/carried/batch={batch_id}"
-        )
-        everything.agg(
-            F.greatest(F.max(SEQ), F.lit(highest).cast("bigint")).alias("highest")
-        ).write.mode("overwrite").parquet(f"{state_dir}/highest/batch={batch_id}")
-
-    return begin(events.writeStream.foreachBatch(run), checkpoint, trigger)
