@@ -74,7 +74,7 @@ def test_phrases(spark):
 
 def test_phrases_of_a_hot_pair(spark, monkeypatch):
     """Pairs that are routed by their third word have the same counts."""
-    monkeypatch.setattr(phrases, "hot_pairs", lambda rows, size, parts: np.sort(pair))
+    monkeypatch.setattr(phrases, "hot_pairs", lambda pairs, size: np.sort(pair))
     rows = [(i, f"very hot w{i % 7} w{i % 11}, cold day", "en", "s", 1) for i in range(200)]
     words = phrases.Words(pa.array(["very hot"]))
     routes = phrases.Routes("en", words.vocabulary)
