@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickstate.functions.metrics import floor_ms
-from tickstate.operators.ordered import Running, running
+from tickstate.operators.ordered import Running, materialize, running
 from tickstate.params import CHUNK_ROWS, SOURCES, TIMEFRAME_SECONDS
 
 SEQ = "ingest_sequence"
@@ -295,6 +295,36 @@ def tick_grid(
     )
 
 
+def place_ticks(
+    events: DataFrame, start_ns: int, end_ns: int, step_ms: int = 250, chunk_rows: int = CHUNK_ROWS
+) -> tuple[DataFrame, DataFrame]:
+    """J8 with positions: ``(events, ticks)`` of an archive without tick rows, sequenced together.
+
+    A tick stands after every event received up to its time, by the highest time
+    so far, and before the next. How many ticks an event follows is arithmetic on the
+    regular grid; how many events a tick follows is a running sum of the counts
+    between ticks. Both keep one dense sequence, and nothing is sorted anew.
+    """
+    grid = tick_grid(events.sparkSession, start_ns, end_ns, step_ms)
+    step = step_ms * 1_000_000
+    ticks = max(0, (end_ns - start_ns) // step + 1)
+    clock = F.col("_clock") - F.lit(start_ns)
+    timed = running(
+        events, [], SEQ, {"_clock": Running("max", F.col("received_wall_timestamp_ns"))}, chunk_rows=chunk_rows
+    )
+    passed = F.expr(f"({step - 1} + _clock - {start_ns}) div {step}")
+    follows = F.when(clock <= 0, F.lit(0)).otherwise(F.least(F.lit(ticks), passed)).cast("bigint")
+    timed = materialize(timed.withColumn("_ticks", follows).drop("_clock"))
+    counts = timed.groupBy("_ticks").agg(F.count("*").alias("_n"))
+    number = F.col("snapshot_sequence") - 1
+    counted = grid.withColumn("_ticks", number).join(counts, "_ticks", "left").drop("_ticks")
+    placed = running(
+        counted, [], "snapshot_sequence", {"_events": Running("sum", F.coalesce("_n", F.lit(0)))}, chunk_rows=chunk_rows
+    )
+    moved = timed.withColumn(SEQ, F.col(SEQ) + F.col("_ticks")).drop("_ticks")
+    return moved, placed.select((F.col("_events") + F.col("snapshot_sequence")).alias(SEQ), "snapshot_sequence", "now_ns")
+
+
 def join_manifests(file_stats: DataFrame, segments: DataFrame) -> DataFrame:
     """Full outer join of measured files and manifests on the file path."""
     left = file_stats.select(

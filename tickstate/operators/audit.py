@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
 from operator import and_
 
+import pyarrow as pa
+from pyarrow import fs, parquet
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickstate.operators.asof import SEQ, join_manifests
-from tickstate.operators.ordered import Running, following, number_rows, running
+from tickstate.operators.ordered import Running, following, materialize, number_rows, running
 from tickstate.params import CHUNK_ROWS, STREAMS
 from tickstate.schemas import SNAPSHOT_FILE
 from tickstate.sources.archive import CORRUPT
@@ -162,18 +167,11 @@ def rebuild_segments(events_with_path: DataFrame, files: DataFrame, segments: Da
 
 
 # Snapshot columns that are never null.
-NEVER_NULL = tuple(
-    c
-    for c in SNAPSHOT_FILE
-    if c not in ("chainlink_price", "binance_last_price", "binance_best_bid", "binance_best_ask")
-)
+def snapshot_schema_issues(spark: SparkSession, directory: str, files_per_task: int = 32) -> DataFrame:
+    """Q7: ``(file_path, issue, rows)`` for missing columns, empty and unreadable snapshot files.
 
-
-def snapshot_schema_issues(spark: SparkSession, directory: str) -> DataFrame:
-    """Q7: ``(file_path, issue)`` for missing columns and empty snapshot files.
-
-    Footers are merged once; a file lacking a never-null column shows it as null
-    in every row, which one aggregation by file finds.
+    Tasks open the footers of a list of paths; no row is scanned. The folder must be on a
+    file system that pyarrow opens by its address (local, HDFS, S3, GCS).
     """
     files = (
         spark.read.format("binaryFile")
@@ -182,29 +180,95 @@ def snapshot_schema_issues(spark: SparkSession, directory: str) -> DataFrame:
         .load(directory)
         .select(_same_path("path").alias("file_path"))
     )
-    df = (
-        spark.read.option("mergeSchema", "true")
-        .option("pathGlobFilter", "*.parquet")
-        .option("recursiveFileLookup", "true")
-        .parquet(directory)
+    tasks = max(1, -(-files.count() // files_per_task))
+    columns = list(SNAPSHOT_FILE)
+
+    def footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for path in batch.column("file_path").to_pylist():
+                system, place = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+                try:
+                    with system.open_input_file(place) as file:
+                        footer = parquet.read_metadata(file)
+                except (OSError, pa.ArrowException):
+                    out.append((path, "unreadable", None))
+                    continue
+                names = set(footer.schema.to_arrow_schema().names)
+                issues = [f"missing_column:{c}" for c in columns if c not in names]
+                issues += [] if footer.num_rows else ["no_rows"]
+                out += [(path, issue, footer.num_rows) for issue in issues]
+            kinds = (pa.string(), pa.string(), pa.int64())
+            arrays = [pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["file_path", "issue", "rows"])
+
+    return files.repartition(tasks).mapInArrow(footers, "file_path string, issue string, rows long")
+
+
+def _leaves(kind: T.DataType, path: str) -> list[str]:
+    """Paths of the fields of nested structs; arrays and maps are compared whole."""
+    if isinstance(kind, T.StructType):
+        return [leaf for f in kind.fields for leaf in _leaves(f.dataType, f"{path}.{f.name}" if path else f.name)]
+    return [path]
+
+
+def range_digests(df: DataFrame, key: str, range_rows: int) -> DataFrame:
+    """``range, n, digest, total`` of each range of ``range_rows`` keys, independent of row order."""
+    value = F.xxhash64(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}))
+    return df.select(F.expr(f"`{key}` div {range_rows}").alias("range"), value.alias("v")).groupBy("range").agg(
+        F.count("*").alias("n"), F.bit_xor("v").alias("digest"), F.sum(F.col("v").cast("decimal(20,0)")).alias("total")
     )
-    absent = [c for c in SNAPSHOT_FILE if c not in df.columns]
-    present = [c for c in NEVER_NULL if c in df.columns]
-    per_file = (
-        df.select(F.col("_metadata.file_path").alias("_path"), *present)
-        .groupBy("_path")
-        .agg(*[F.count(c).alias(c) for c in present])
-        .withColumn("file_path", _same_path("_path"))
-    )
-    empty_columns = F.array_compact(
-        F.array(*[F.when(F.col(c) == 0, F.lit(f"missing_column:{c}")) for c in present])
+
+
+MOST_RANGES = 1000
+
+
+def diff_nested(a: DataFrame, b: DataFrame, key: str = "snapshot_sequence", range_rows: int = 10_000) -> DataFrame:
+    """Q9 on nested snapshots: keys that differ, with the paths of the differing fields.
+
+    Both sides are reduced to digests of key ranges first. Only ranges whose digests
+    differ are read again: up to ``MOST_RANGES`` as bounds on the key, which prune row
+    groups of sorted files, more by a semi-join.
+    """
+    common = [c for c in a.columns if c in b.columns]
+    a, b = a.select(*common), b.select(*common)
+    left, right = range_digests(a, key, range_rows), range_digests(b, key, range_rows)
+    same = reduce(and_, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ("n", "digest", "total")])
+    open_ranges = materialize(
+        left.alias("l").join(right.alias("r"), "range", "full_outer").where(~same).select("range")
     )
-    everywhere = F.array(*[F.lit(f"missing_column:{c}") for c in absent]).cast("array<string>")
-    found = per_file.select("file_path", F.concat(empty_columns, everywhere).alias("_issues"))
-    return files.join(found, "file_path", "left").select(
-        "file_path",
-        F.explode(F.coalesce("_issues", F.array(F.lit("no_rows")))).alias("issue"),
+    few = [r[0] for r in open_ranges.limit(MOST_RANGES + 1).collect()]
+    if len(few) <= MOST_RANGES:
+        inside = F.lit(False)
+        for low, high in _joined_ranges(sorted(few)):
+            inside |= F.col(key).between(low * range_rows, (high + 1) * range_rows - 1)
+        a, b = a.where(inside), b.where(inside)
+    else:
+        a, b = (
+            df.withColumn("range", F.expr(f"`{key}` div {range_rows}")).join(open_ranges, "range", "left_semi").drop("range")
+            for df in (a, b)
+        )
+    paths = [p for c in common if c != key for p in _leaves(a.schema[c].dataType, c)]
+    both = a.select(key, F.struct(*common).alias("a")).join(b.select(key, F.struct(*common).alias("b")), key, "full_outer")
+    differing = F.array_compact(F.array(*[
+        F.when(~F.col(f"a.{p}").eqNullSafe(F.col(f"b.{p}")), F.lit(p)) for p in paths
+    ]))
+    difference = (
+        F.when(F.col("a").isNull(), F.array(F.lit("only_in_second")))
+        .when(F.col("b").isNull(), F.array(F.lit("only_in_first"))).otherwise(differing)
     )
+    return both.select(key, difference.alias("differences")).where(F.size("differences") > 0)
+
+
+def _joined_ranges(numbers: list[int]) -> list[tuple[int, int]]:
+    """Runs of consecutive numbers."""
+    runs: list[tuple[int, int]] = []
+    for n in numbers:
+        if runs and n == runs[-1][1] + 1:
+            runs[-1] = (runs[-1][0], n)
+        else:
+            runs.append((n, n))
+    return runs
 
 
 def diff_snapshots(a: DataFrame, b: DataFrame, key: str = "snapshot_sequence") -> DataFrame:

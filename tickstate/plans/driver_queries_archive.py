@@ -9,6 +9,7 @@ from tickstate.functions import calendar as C
 from tickstate.operators import audit
 from tickstate.operators import market_calendar as cal
 from tickstate.operators.asof import SEQ
+from tickstate.operators.ordered import materialize
 from tickstate.operators.normalise import normalise_events, unsupported_versions
 from tickstate.operators.ordering import ARRIVAL
 from tickstate.operators.parse_common import event_columns
@@ -651,15 +652,16 @@ def s1_s3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "s2_read_frames",
-    f"""with {EV} select seq as arrival_no, length('{{"v":"' || cast(price as decimal(18,2)) || '"}}') as raw_length from ev""",
+    f"""with {EV} select seq as arrival_no, '{{"v":"' || cast(price as decimal(18,2)) || '"}}' as raw from ev""",
 )
 def s2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Landed frames read back and numbered in arrival order."""
+    """Landed frames read back and numbered; frames of one time keep the order of their landing."""
     path = shared_dir(spark, "frames")
     raw = F.format_string('{"v":"%s"}', A.value_text())
-    A.frames(A.events(spark, sf_dir), "x", raw).drop(ARRIVAL).write.parquet(path)
-    numbered = number_frames(read_frames(spark, path))
-    return numbered.select(ARRIVAL, F.length("raw").cast("bigint").alias("raw_length"))
+    hour = F.expr("received_wall_ns - pmod(received_wall_ns, 3600000000000)")
+    frames = A.frames(A.events(spark, sf_dir), "x", raw).withColumns({"received_wall_ns": hour, "received_monotonic_ns": hour})
+    frames.repartitionByRange(4, ARRIVAL).sortWithinPartitions(ARRIVAL).drop(ARRIVAL).write.parquet(path)
+    return number_frames(read_frames(spark, path)).select(ARRIVAL, "raw")
 
 
 @query(
@@ -679,14 +681,44 @@ def s4_s5(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("q7_snapshot_schema_issues")
+@query(
+    "q7_snapshot_schema_issues",
+    """select 'missing_column:market_5m_up_asks' as issue, 3 as files, count(*) filter (l_linenumber = 5) as rows from lineitem
+    union all select 'no_rows', 1, 0 from region where r_regionkey = 0""",
+)
 def q7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One directory of snapshot files without a column and with full files."""
+    """Three files without a column, three good ones and one without rows."""
     rows = flatten_snapshots(build_snapshots(archive_events(spark, sf_dir)))
     path = shared_dir(spark, "snapshots")
-    rows.drop("market_5m_up_asks").write.parquet(f"{path}/short")
+    rows = materialize(rows)
+    rows.drop("market_5m_up_asks").repartition(3).write.parquet(f"{path}/short")
+    rows.repartition(3).write.parquet(f"{path}/good")
+    rows.limit(0).coalesce(1).write.parquet(f"{path}/empty")
     issues = audit.snapshot_schema_issues(spark, path)
-    return issues.groupBy("issue").agg(F.count("*").alias("files"))
+    return issues.groupBy("issue").agg(F.count("*").alias("files"), F.sum("rows").alias("rows"))
+
+
+@query(
+    "q9_nested",
+    WITH_ARCHIVE + """ select seq as snapshot_sequence, array_to_string(list_filter([
+        case when seq % 97 = 0 and up_bids_5 <> '' then 'market_5m.up.bids' end,
+        case when seq % 194 = 0 then 'binance.taker_side' end], lambda x: x is not null), ',') as differences
+    from why where seq % 97 = 0 and up_bids_5 <> '' or seq % 194 = 0""",
+)
+def q9_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested fields changed in a few snapshots, found range by range."""
+    path = shared_dir(spark, "snapshots")
+    build_snapshots(archive_events(spark, sf_dir)).drop(SEQ).write.parquet(path)
+    a = spark.read.parquet(path)
+    n = F.col("snapshot_sequence")
+    up = F.col("market_5m.up")
+    none = F.array().cast(a.schema["market_5m"].dataType["up"].dataType["bids"].dataType)
+    b = a.withColumns({
+        "market_5m": F.when((n % 97 == 0) & up.isNotNull(), F.col("market_5m").withField("up.bids", none)).otherwise(F.col("market_5m")),
+        "binance": F.when(n % 194 == 0, F.col("binance").withField("taker_side", F.lit("?"))).otherwise(F.col("binance")),
+    })
+    out = audit.diff_nested(a, b, range_rows=50)
+    return out.select("snapshot_sequence", F.array_join("differences", ",").alias("differences"))
 
 
 @query(

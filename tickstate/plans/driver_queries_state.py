@@ -9,14 +9,16 @@ from tickstate.functions import metrics
 from tickstate.operators import asof, book, rolling
 from tickstate.operators.asof import SEQ
 from tickstate.operators.health import health_at
-from tickstate.operators.ordered import materialize
+from tickstate.operators.ordered import materialize, number_rows
+from tickstate.params import Params
 from tickstate.plans import adapters as A
-from tickstate.plans.archive_fixture import WITH_ARCHIVE, archive_events
+from tickstate.plans.archive_fixture import ARCHIVE_START, LINE_NS, WITH_ARCHIVE, archive_events
 from tickstate.plans.driver_queries import BK, EV, LEVELS_AT, WINDOWS, cut, num, query
 from tickstate.functions.typed_json import type_of
 from tickstate.plans.snapshot import (
     MARKET,
     build_snapshots,
+    build_snapshots_on_grid,
     flatten_snapshots,
     readiness,
     snapshot_from_json,
@@ -557,6 +559,41 @@ def snapshot_columns(s: DataFrame) -> DataFrame:
     )
 
 
+# no tick rows: a tick every 3 s, after the events of its time; 20 lines are 3 s
+_GRID = WITH_ARCHIVE.replace(
+    "tk as (select * from ar where n = 5)",
+    """tk as (
+  select 20 * j as seq, 1690000000000000000 + j * 3000000000 as ns, k, 1 + (k + 1) // 2 as cuts, false as o
+  from (select j, least(20 * j // 2000, (select max(k) from ar)) as k
+    from (select unnest(range(0, (select max(seq) // 20 + 1 from ar))) as j)))""",
+).replace(
+    "case when not o then 'clob_disconnected' end",
+    "case when m5.number > 0 and m5.number % 4 in (0, 3) then 'clob_disconnected' end",
+)
+
+
+@query(
+    "r3_on_grid",
+    _GRID
+    + """ select seq // 20 + 1 as snapshot_sequence, ns as snapshot_timestamp_ns, cast(oracle_price as double) as oracle_price,
+      cast(last_price as double) as last_price, cast(coalesce(buys, 0) as double) as buy_volume_1s, up_bids_5, up_asks_5, down_bids_5,
+      down_asks_5, up_bids_15, up_asks_15, down_bids_15, down_asks_15, array_to_string(reasons, ',') as reasons from why""",
+)
+def r3_on_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J8 into R3: snapshots every 3 s of the archive without its tick rows."""
+    events = archive_events(spark, sf_dir).where("stream <> 'snapshot_tick'")
+    # the sequence stays dense without the ticks
+    events = number_rows(events, [SEQ], "_n").withColumn(SEQ, F.col("_n")).drop("_n")
+    lines = A.table(spark, sf_dir, "lineitem").count()
+    s = build_snapshots_on_grid(
+        events, ARCHIVE_START, ARCHIVE_START + lines * LINE_NS, Params(tick_interval_ms=3000)
+    )
+    times = s.select("snapshot_sequence", "snapshot_timestamp_ns")
+    return snapshot_columns(s).join(times, "snapshot_sequence").drop(
+        "best_bid", "microprice", "depth_imbalance", "up_best_bid", "up_best_ask", "ready"
+    )
+
+
 # book rows at ticks, shared with their stream
 BOOKS_SQL = WITH_ARCHIVE + """ select seq as tick_sequence, case when c < 2 then '5m' else '15m' end as timeframe,
       case when c % 2 = 0 then 'up' else 'down' end as outcome, market as market_id, session, initialized, coherent, resolved,
