@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from kit import documents, empty, odd_rows, same, tokenizers, words
 from pyspark.sql import functions as F
@@ -399,3 +400,38 @@ def test_draw_takes_texts_in_hash_order(spark):
             assert taken == [n for _, n in texts]
     with pytest.raises(ValueError):
         language_id._draw(table, 8000, 4)
+
+
+# ---- sizes that once were limits
+
+
+def test_many_spans_have_their_places(spark):
+    text = "".join(f"a{i}@b.de, +49 30 123{i:06d} " for i in range(6000))
+    want = [("email", m.start(), m.end()) for m in re.finditer(r"[a-z0-9]+@[a-z.]+", text)]
+    row = pii.find_spans(documents(spark, [(1, text, None, None, None)])).first()
+    assert [(s.kind, s.start, s.end) for s in row.pii if s.kind == "email"] == want
+    assert sum(s.kind == "phone" for s in row.pii) == 6000
+
+
+def test_leaks_in_several_blocks(spark, monkeypatch):
+    """Any number of blocks gives the rows of one; any 249 characters of a long item are found."""
+    items = [(i, " ".join(words(700 + i, 120))) for i in range(4)]
+    rows = [(i, " ".join(words(900 + i, 30)) + " " + items[i % 4][1][37 * i : 37 * i + 249], None, None, None) for i in range(12)]
+    rows += [(None, rows[3][1], None, None, None), (20, None, None, None, None)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = documents(spark, rows)
+
+    def found():
+        return sorted(
+            (r.doc_id or -1, sorted((x.item_id, x.item_start, x.start, x.end, x.edits) for x in r.leaks))
+            for r in decontaminate.find_leaks(docs, benchmark).collect()
+        )
+
+    one = found()
+    monkeypatch.setattr(decontaminate, "BLOCK_PROBES", 7)
+    assert found() == one
+    assert all(any(x[0] == d % 4 for x in leaks) for d, leaks in one if 0 <= d < 12)
+
+
+def test_letters_of_all_planes_count():
+    assert language_id._letters(pa.array(["\U00030001 \U00031350"]), 1)[2][0] == 2
