@@ -1,3 +1,4 @@
+import random
 import uuid
 
 import pytest
@@ -7,7 +8,9 @@ from pyspark.sql import functions as F
 import events_kit as kit
 import fold
 from tickstate.operators import book
+from tickstate.operators.asof import place_ticks
 from tickstate.operators.ordered import checkpoint_dir
+from tickstate.operators.ordering import dedup_horizon
 from tickstate.params import Params
 from tickstate.plans.replay import ArchiveIntegrityError, replay
 from tickstate.plans.snapshot import build_snapshots, flatten_snapshots
@@ -136,3 +139,53 @@ def test_order_and_duplicates_across_batches(spark):
     assert [(r.arrival_no, r.ingest_sequence) for r in events] == [(1, 1), (4, 2)]
     rejects = spark.read.parquet(bad).orderBy("arrival_no").collect()
     assert [(r.arrival_no, r.reject_reason) for r in rejects] == [(2, "out_of_order"), (3, "duplicate")]
+
+
+def test_two_days_in_one_folder(spark):
+    """A second replay counts its own snapshots only."""
+    out = folder(spark, "out")
+    for day, seed in ((0, 8), (1, 12)):
+        rows = kit.random_day(seed, 200)
+        fold.run(rows, seed)
+        shift = day * 86_400 * kit.SECOND
+        events = kit.frame(spark, rows)
+        ns = [c for c in events.columns if c in ("received_wall_timestamp_ns", "source_timestamp_ns")]
+        tick = F.when(
+            F.col("p_tick").isNotNull(),
+            F.col("p_tick").withField("scheduled_timestamp_ns", F.col("p_tick.scheduled_timestamp_ns") + shift),
+        )
+        events = events.withColumns({**{c: F.col(c) + shift for c in ns}, "p_tick": tick})
+        path = folder(spark, "events")
+        write_events(events, path)
+        write_manifests(spark, path, "parquet")
+        summary = replay(spark, path, out).first()
+        ticks = sum(r["stream"] == "snapshot_tick" for r in rows)
+        assert (summary["ticks_processed"], summary["snapshots_produced"]) == (ticks, ticks) and ticks
+
+
+def test_ticks_on_a_grid(spark):
+    """Each tick stands after the events of its time and before the next."""
+    times = [0, 5, 10, 10, 9, 31, 60, 60, 95]
+    rows = [kit.event(i + 1, "chainlink_rtds", "chainlink_price", kit.START + t * 1_000_000) for i, t in enumerate(times)]
+    moved, ticks = place_ticks(kit.frame(spark, rows), kit.START, kit.START + 100_000_000, 50, chunk_rows=2)
+    order = [("event", r.event_id, r.ingest_sequence) for r in moved.collect()]
+    order += [("tick", r.now_ns, r.ingest_sequence) for r in ticks.collect()]
+    order.sort(key=lambda r: r[2])
+    assert [r[2] for r in order] == list(range(1, len(order) + 1))
+    kinds = [r[1] if r[0] == "event" else (r[1] - kit.START) // 1_000_000 for r in order]
+    assert kinds == ["e1", 0, "e2", "e3", "e4", "e5", "e6", 50, "e7", "e8", "e9", 100]
+
+
+@pytest.mark.parametrize("horizon", [1, 3, 10])
+def test_duplicate_horizon(spark, horizon):
+    """The last accepted ids of a key, oldest out first, whatever the chunks."""
+    rng = random.Random(horizon)
+    rows = [(i + 1, rng.choice("kl"), f"{rng.choice('abcdefghijklmnop')}" if rng.random() < 0.7 else f"u{i}") for i in range(400)]
+    held, want = {"k": [], "l": []}, []
+    for at, key, name in rows:
+        if name not in held[key]:
+            held[key] = [*held[key], name][-horizon:]
+            want.append(at)
+    df = spark.createDataFrame(rows, "arrival_no long, key string, event_id string")
+    got = dedup_horizon(df, horizon, ("key",), chunk_rows=37)
+    assert sorted(r.arrival_no for r in got.collect()) == want
