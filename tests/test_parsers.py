@@ -7,7 +7,7 @@ from tickstate.operators.ordering import ARRIVAL
 from tickstate.operators.parse_books import asset_registry, parse_book_frames
 from tickstate.operators.parse_prices import parse_agg_trades, parse_book_ticker, parse_depth, parse_oracle_price
 
-NOW_MS = 1_750_000_000_000
+NOW_MS = 1_741_336_200_000
 NOW = NOW_MS * 1_000_000
 
 
@@ -43,7 +43,7 @@ def test_decimals(spark):
     assert [r[0] for r in zero.collect()] == ["not_positive"]
 
 
-def oracle(ms=NOW_MS, value="67234.50", **top):
+def oracle(ms=NOW_MS, value="51876.25", **top):
     payload = {"symbol": "btc/usd", "timestamp": ms}
     if value is not None:
         payload["value"] = value
