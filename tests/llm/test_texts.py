@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from kit import documents, empty, odd_rows, same, tokenizers, words
@@ -387,7 +388,7 @@ def test_draw_takes_texts_in_hash_order(spark):
     for lang, count, most in (("a", 3000, 40), ("b", 60, 5000), ("c", 3, 9000), ("d", 5, 10), ("e", 1, 90_000)):
         rows += [(lang, rng.getrandbits(63), rng.randint(most // 2, most)) for _ in range(count)]
     table = spark.createDataFrame(rows + rows[:500], "lang string, h long, n int")
-    got = {lang: found for lang, *found in language_id._draw(table, 8000, 5)}
+    got = {lang: found for lang, *found in language_id._draw(table, 8000)}
     for lang in "abcde":
         texts = sorted((h, n) for k, h, n in rows if k == lang)
         last, cut, first = got[lang]
@@ -398,8 +399,52 @@ def test_draw_takes_texts_in_hash_order(spark):
         assert not after or sum(taken + after) > 8000
         if sum(n for _, n in texts) <= 8000:
             assert taken == [n for _, n in texts]
-    with pytest.raises(ValueError):
-        language_id._draw(table, 8000, 4)
+
+
+def test_blocks_of_languages_judge_like_one(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    asked = docs.where(held).select("doc_id", "text").unionByName(documents(spark).select("doc_id", "text"))
+    answers = []
+    for block in (8, 3, 1):
+        model = language_id.train(docs.where(~held).select("text", "lang"), sample_chars=60_000, block=block)
+        assert [len(own) for own in model.names] == {8: [4], 3: [3, 1], 1: [1] * 4}[block]
+        found = language_id.identify(asked, model).collect()
+        answers.append(sorted(found, key=lambda r: (r.doc_id is None, r.doc_id, r.cross_entropy)))
+    for one, other in ((answers[0], answers[1]), (answers[0], answers[2])):
+        assert [(r.doc_id, r.lang_pred, r.rejected) for r in one] == [(r.doc_id, r.lang_pred, r.rejected) for r in other]
+        assert np.allclose([r.score for r in one], [r.score for r in other], atol=1e-4)
+
+
+def test_seventy_languages(spark):
+    pick = lambda lang, seed, n: " ".join(
+        "".join(chr(0x4E00 + 10 * lang + c) for c in random.Random(f"{lang} {seed} {i}").choices(range(10), k=5))
+        for i in range(n)
+    )
+    rows = [(f"l{lang:02}", pick(lang, i, 20)) for lang in range(70) for i in range(4)]
+    model = language_id.train(spark.createDataFrame(rows, "lang string, text string"), block=35)
+    assert len(model.languages) == 70
+    asked = spark.createDataFrame([(f"l{lang:02}", pick(lang, 99, 12)) for lang in range(70)], "doc_id string, text string")
+    got = language_id.identify(asked, model).collect()
+    assert len(got) == 70 and all(r.doc_id == r.lang_pred and not r.rejected and r.score > 0.9 for r in got)
+
+
+def test_mislabelled_texts_do_not_move_the_usual(spark):
+    rng = random.Random(4)
+    rows = [("a", rng.gauss(2, 0.1 + 2 / n**0.5), n) for n in (rng.randint(20, 4000) for _ in range(300))]
+    frame = lambda rows: pd.DataFrame(rows, columns=["lang", "own", "n"])
+    plain = language_id._spread(frame(rows)).iloc[0]
+    junk = language_id._spread(frame(rows + [("a", 9.0, 3000)] * 6)).iloc[0]
+    assert abs(plain.centre - 2) < 0.05 and abs(junk.centre - plain.centre) < 0.05
+    assert junk.a < 2 * plain.a + 1e-3 and junk.b < 2 * plain.b + 1e-3
+    # a language without texts to calibrate on takes the usual of all and their distance
+    usual = language_id._usual(["a", "b", "c"], [
+        {"lang": "a", "k": 300, "centre": 2.0, "a": 0.01, "b": 1.0}, {"lang": "b", "k": 9, "centre": 4.0, "a": 0.02, "b": 1.0},
+    ], [(0, 9, 6.0), (1, 300, 6.0), (2, 309, 5.0)])
+    assert usual[2, 0] == 3.0 and usual[2, 2] > 1 and usual[0, 2] < 0.02 and abs(usual[1, 0] - 4) < 0.01
+    assert abs(usual[0, 1] - (9 * 4 + 8 * 2) / 17) < 0.01 and abs(usual[1, 1] - 2) < 0.02
+    none = language_id._usual(["a"], [{"lang": "a", "k": 1, "centre": 2.0, "a": 0.0, "b": 0.0}], [])
+    assert np.isinf(none[0, 2])
 
 
 # ---- sizes that once were limits

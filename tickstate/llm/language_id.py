@@ -2,13 +2,24 @@
 
 One character model per language is fitted on a bounded sample of labelled texts
 (``sample_chars`` characters a language, the documented bound). N-gram
-probabilities of all languages stand side by side in sorted hash arrays; a text
-gets the language of lowest cross-entropy per character.
+probabilities of ``BLOCK`` languages stand side by side in sorted hash arrays; a text
+gets the language of lowest cross-entropy per character. There may be any number of
+languages: each block of them is one broadcast of bounded size and one pass over the
+texts, and the passes are put together by row.
+
+An answer is rejected if its cross-entropy lies far above the usual of its language:
+beyond ``FOREIGN_SHARE`` of the way to what texts of other languages have under the same
+model, and ``DEVIATIONS`` standard deviations of a text of that length further. So texts
+with foreign passages stay, and texts mostly in no learned language go. Centre and
+variances come from medians, so that single mislabelled texts do not move them, and all
+figures of a language are drawn towards those of all languages by the number of texts
+that it calibrates on; a language without any has theirs alone.
 
 Texts are read as lower-case letters; every run of other characters is one
 space. Defined results: null text or no letter gives ``und`` with score 0 and
 is rejected; an empty training table makes every answer ``und`` and rejects only
-texts without letters; repeated rows
+texts without letters, and so does rejection if no language has two texts to
+calibrate on; ties go to the smallest language; repeated rows
 are judged each on its own; texts of any length are scored whole.
 """
 
@@ -16,15 +27,17 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from functools import lru_cache
+from dataclasses import dataclass
+from functools import lru_cache, reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickstate.llm.common import code_points, slices, small_batches, staged
+from tickstate.llm.common import code_points, slices, small_batches, staged, work_path
 
 UNKNOWN = "und"
 SPACE, EDGE = 32, 1
@@ -34,6 +47,13 @@ _PLAIN = 0x40000  # no letters beyond
 PIECE = 200_000
 # a language with more characters than the sample may hold gives this many texts at least
 LEAST_TEXTS = 8
+# languages of one broadcast: at a million characters each, some 100 MB
+BLOCK = 8
+FOREIGN_SHARE, DEVIATIONS = 0.75, 6.0
+# bits a character by which other languages lie higher, for want of other texts
+USUAL_GAP = 2.0
+# a language's variances weigh as much as those of all languages from this many texts on
+PRIOR_TEXTS = 8
 _LAST = (1 << 63) - 1
 
 
@@ -103,9 +123,6 @@ class LanguageModel:
     contexts: list[np.ndarray]
     left: list[np.ndarray]
     unseen: np.ndarray
-    sharpness: float = 0.02
-    # per language: usual cross-entropy, its variance, variance per 1/length, largest deviation
-    usual: np.ndarray = field(default_factory=lambda: np.zeros((0, 4)))
 
     def log2(self, keys: list[np.ndarray], at: np.ndarray, k: int) -> np.ndarray:
         """Probabilities of the (k+1)-grams that end at positions ``at``, per language."""
@@ -154,21 +171,20 @@ class LanguageModel:
         first = np.concatenate(([0], np.cumsum(n)))
         return upto[first[1:]] - upto[first[:-1]], n, letters
 
-    def judge(self, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """Language, score, lowest cross-entropy and rejection of each row."""
-        rows = len(column)
-        if not self.languages:
-            return [UNKNOWN] * rows, np.zeros(rows), np.zeros(rows), _letters(column, 1)[2] == 0
-        bits, n, letters = self.cross_entropy(column)
-        best = bits.argmin(axis=1)
-        low = bits[np.arange(rows), best]
-        score = 1 / np.exp(-self.sharpness * n[:, None] * (bits - low[:, None])).sum(axis=1)
-        usual = self.usual[best]
-        far = (low - usual[:, 0]) / np.sqrt(usual[:, 1] + usual[:, 2] / np.maximum(n, 1) + 1e-9)
-        none = letters == 0
-        names = np.array([*self.languages, UNKNOWN], dtype=object)
-        score = np.where(none, 0.0, np.clip(score, 0, 1))
-        return list(names[np.where(none, len(self.languages), best)]), score, low, none | (far > usual[:, 3])
+
+@dataclass
+class Languages:
+    """Broadcast models of blocks of languages, and what turns their bits into answers."""
+
+    names: list[list[str]]
+    blocks: list[Broadcast]
+    sharpness: float
+    # per language: usual cross-entropy, how much higher other languages lie, variance, variance per 1/length
+    usual: np.ndarray
+
+    @property
+    def languages(self) -> list[str]:
+        return [lang for block in self.names for lang in block]
 
 
 def _count(order: int):
@@ -259,36 +275,104 @@ def _build(rows, order: int) -> LanguageModel:
     return model
 
 
-def _calibrate(model: LanguageModel, rows) -> None:
-    """Set score sharpness and rejection limits from texts that were not counted."""
-    n_lang = len(model.languages)
-    usual = np.zeros((n_lang, 4))
-    bits = np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), n_lang)
-    n = np.array([max(r[2], 1) for r in rows], dtype=np.float64)
-    true = np.array([model.languages.index(r[0]) for r in rows], dtype=int)
-    for j in range(n_lang):
-        own = true == j
-        if own.sum() < 8:
-            usual[j] = (0, 0, 0, np.inf)  # too few texts to reject anything
-            continue
-        h, m = bits[own, j], n[own]
-        mean = np.average(h, weights=m)
-        fit, *_ = np.linalg.lstsq(np.stack([np.ones_like(m), 1 / m], 1), (h - mean) ** 2, rcond=None)
-        a, b = np.maximum(fit, 1e-4)
-        far = (h - mean) / np.sqrt(a + b / m)
-        usual[j] = (mean, a, b, 2.0 * max(far.max(), 3.0))
-    model.usual = usual
-    if len(rows):
-        gap = n[:, None] * (bits - bits.min(axis=1, keepdims=True))
-        grid = 2.0 ** np.arange(-10, 1)
-        loss = [
-            np.mean(s * gap[np.arange(len(rows)), true] + np.log(np.exp(-s * gap).sum(axis=1)))
-            for s in grid
-        ]
-        model.sharpness = float(grid[int(np.argmin(np.round(loss, 6)))])
+def _measure(model: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            bits, n, letters = model.value.cross_entropy(batch.column("text"))
+            place = {l: j for j, l in enumerate(model.value.languages)}
+            of = [place.get(l) for l in batch.column("lang").to_pylist()]  # null: a language of another block
+            use = pa.array(letters > 0)
+            yield pa.RecordBatch.from_arrays(
+                [c.filter(use) for c in (
+                    batch.column("lang"), batch.column("h"), pa.array(of, pa.int32()),
+                    pa.array(list(bits), pa.list_(pa.float64())),
+                    pa.array([None if j is None else b[j] for j, b in zip(of, bits)], pa.float64()),
+                    pa.array(np.maximum(n, 1), pa.int64()),
+                )],
+                names=["lang", "h", "place", "bits", "own", "n"],
+            )
+
+    return run
+
+
+def _spread(texts: pd.DataFrame) -> pd.DataFrame:
+    """Texts, centre, variance and variance per 1/length of one language's cross-entropies."""
+    texts = texts.sort_values(["n", "own"])
+    h, n = texts["own"].to_numpy(), texts["n"].to_numpy(dtype=np.float64)
+    by = np.argsort(h, kind="stable")
+    upto = np.cumsum(n[by])
+    centre = h[by][np.searchsorted(upto, upto[-1] / 2)]
+    half = len(h) // 2
+    # a normal deviation is 1.4826 median ones; short and long texts tell the two variances apart
+    short, long = ((1.4826 * np.median(np.abs(h[part] - centre))) ** 2 if len(h[part]) else 0.0
+                   for part in (slice(0, half), slice(half, None)))
+    x_short, x_long = (np.median(1 / n[part]) if len(n[part]) else 0.0 for part in (slice(0, half), slice(half, None)))
+    per = max((short - long) / (x_short - x_long), 0.0) if x_short > x_long else 0.0
+    return pd.DataFrame({
+        "lang": [texts["lang"].iloc[0]], "k": [len(h)], "centre": [centre],
+        "a": [max(long - per * x_long, 0.0)], "b": [per],
+    })
+
+
+def _usual(languages: list[str], spreads, foreign) -> np.ndarray:
+    """Centre, gap, variance and variance per 1/length of each language, drawn towards all languages'.
+
+    ``foreign``: language number, texts of other languages, their mean cross-entropy.
+    """
+    k, centre, a, b, texts, other = (np.zeros(len(languages)) for _ in range(6))
+    at = {l: j for j, l in enumerate(languages)}
+    for r in spreads:
+        j = at[r["lang"]]
+        k[j], centre[j], a[j], b[j] = r["k"], r["centre"], r["a"], r["b"]
+    for j, count, bits in foreign:
+        texts[j], other[j] = count, bits
+    free = np.maximum(k - 1, 0)
+    if not free.sum():
+        return np.stack([centre, np.full(len(k), USUAL_GAP), np.full(len(k), np.inf), np.zeros(len(k))], 1)
+    all_a, all_b = max(np.average(a, weights=free), 1e-4), max(np.average(b, weights=free), 1e-4)
+    mean = centre[k > 0].mean()
+    between = max(centre[k > 0].var(), 1.0)
+    a, b = ((free * own + PRIOR_TEXTS * every) / (free + PRIOR_TEXTS) for own, every in ((a, all_a), (b, all_b)))
+    trust = k / (k + all_a / between)
+    centre = trust * centre + (1 - trust) * mean
+    gap = (texts * np.maximum(other - centre, 0) + PRIOR_TEXTS * USUAL_GAP) / (texts + PRIOR_TEXTS)
+    return np.stack([centre, gap, np.maximum(a, 1e-4) + (1 - trust) * between, np.maximum(b, 1e-4)], 1)
+
+
+def _calibrate(tests: DataFrame, names: list[list[str]], blocks: list[Broadcast]) -> tuple[float, np.ndarray]:
+    """Score sharpness and usual cross-entropies from texts (lang, h, text) that were not counted."""
+    firsts = np.cumsum([0, *map(len, names)])
+    parts = staged(reduce(DataFrame.unionByName, [
+        tests.select("lang", "h", "text").mapInArrow(
+            _measure(block), "lang string, h long, place int, bits array<double>, own double, n long"
+        ).withColumn("first", F.lit(int(first)))
+        for block, first in zip(blocks, firsts)
+    ]), "calibration")
+    scored = parts.groupBy("lang", "h").agg(
+        F.array_sort(F.flatten(F.collect_list("bits"))).alias("bits"), F.max("own").alias("own"),
+        F.max("n").cast("double").alias("n"),
+    )
+    foreign = (
+        parts.select("first", "place", F.posexplode("bits").alias("pos", "bit"))
+        .where("place is null or place <> pos")
+        .groupBy((F.col("first") + F.col("pos")).alias("j")).agg(F.count("*"), F.avg("bit")).collect()
+    )
+    gap = F.transform("bits", lambda x: F.col("n") * (x - F.col("bits")[0]))
+    grid = [2.0**e for e in range(-10, 1)]
+
+    def loss_at(s: float) -> Column:
+        others = F.aggregate("gap", F.lit(0.0), lambda total, g: total + F.exp(-s * g))
+        return F.avg(s * F.col("n") * (F.col("own") - F.col("bits")[0]) + F.log(others))
+
+    loss = scored.withColumn("gap", gap).agg(*[loss_at(s).alias(f"s{i}") for i, s in enumerate(grid)]).first()
+    sharpness = 0.02 if loss[0] is None else grid[int(np.argmin(np.round(list(loss), 6)))]
+    spreads = scored.select("lang", "own", "n").groupBy("lang").applyInPandas(
+        _spread, "lang string, k long, centre double, a double, b double"
+    )
+    return sharpness, _usual([lang for own in names for lang in own], spreads.collect(), foreign)
 
 
-def _draw(rows: DataFrame, sample_chars: int, most_languages: int) -> list[tuple[str, int, int, int]]:
+def _draw(rows: DataFrame, sample_chars: int) -> list[tuple[str, int, int, int]]:
     """Language, last hash drawn, most characters of a text and first hash, from ``rows`` (lang, h, n).
 
     Distinct hashes are taken in order up to the bound. Sums by eighths of a power of
@@ -304,8 +388,6 @@ def _draw(rows: DataFrame, sample_chars: int, most_languages: int) -> list[tuple
         F.count("*").alias("texts"), F.sum("n").alias("n"), F.sum(F.least("n", F.lit(share))).alias("short"),
         F.min("h").alias("first"),
     )
-    if sums.select("lang").distinct().count() > most_languages:
-        raise ValueError(f"more than {most_languages} languages")
     for r in sums.collect():
         by[r["lang"]].append(r)
     drawn, open_ = {}, {}
@@ -323,11 +405,11 @@ def _draw(rows: DataFrame, sample_chars: int, most_languages: int) -> list[tuple
                 break
             left -= r["short"]
     if open_:
-        near = F.lit(False)
-        for lang, (at, _) in open_.items():
-            near |= (F.col("lang") == lang) & (F.col("level") == at)
+        near = texts.sparkSession.createDataFrame(
+            [(lang, at) for lang, (at, _) in open_.items()], "lang string, level long"
+        )
         members = defaultdict(list)
-        for r in texts.where(near).select("lang", "h", "n").collect():
+        for r in texts.join(near, ["lang", "level"], "left_semi").select("lang", "h", "n").collect():
             members[r["lang"]].append((r["h"], min(r["n"], share)))
         for lang, (_, left) in open_.items():
             for h, n in sorted(members[lang]):
@@ -338,78 +420,126 @@ def _draw(rows: DataFrame, sample_chars: int, most_languages: int) -> list[tuple
     return [(lang, *found) for lang, found in drawn.items()]
 
 
-def train(
-    labelled: DataFrame, *, order: int = 4, sample_chars: int = 1_000_000, most_languages: int = 64
-) -> LanguageModel:
+def train(labelled: DataFrame, *, order: int = 4, sample_chars: int = 1_000_000, block: int = BLOCK) -> Languages:
     """Fit on ``text`` and non-null ``lang`` of ``labelled``.
 
     Distinct texts with a letter are drawn by hash, at most ``sample_chars`` characters
     a language; where there are more, a text gives its first ``sample_chars`` /
     ``LEAST_TEXTS`` characters at most (of fewer texts: its even share). The first text
     of a language is always learned, and about a fifth of the others calibrates. The
-    model is bounded by that sample and so may be broadcast.
+    model of ``block`` languages is bounded by that sample and so may be broadcast; the
+    driver builds one such model at a time.
     """
-    small_batches(labelled.sparkSession)
+    spark = labelled.sparkSession
+    small_batches(spark)
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(
         "lang", "text", F.shiftrightunsigned(F.xxhash64("text", F.lit(10)), 1).alias("h")
     )
-    drawn = _draw(rows.select("lang", "h", F.length("text").alias("n")), sample_chars, most_languages)
-    last, cut, first = (F.lit(None).cast("long") for _ in range(3))
-    for lang, *found in drawn:
-        own = F.col("lang") == lang
-        last, cut, first = (F.when(own, F.lit(v)).otherwise(o) for v, o in zip(found, (last, cut, first)))
+    drawn = _draw(rows.select("lang", "h", F.length("text").alias("n")), sample_chars)
+    if not drawn:
+        return Languages([], [], 0.02, np.zeros((0, 4)))
+    limits = spark.createDataFrame(
+        [(lang, i // block, *found) for i, (lang, *found) in enumerate(sorted(drawn))],
+        "lang string, block long, last long, cut long, first long",
+    )
     part = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(5))
     # a cut text begins at its first letter
-    text = F.when(F.length("text") > cut, F.regexp_replace("text", r"^\P{L}+", "")).otherwise(F.col("text"))
+    text = F.when(F.length("text") > F.col("cut"), F.regexp_replace("text", r"^\P{L}+", "")).otherwise(F.col("text"))
     # copies of a text are one; what is read again below is bounded
-    sample = staged(
-        rows.where(F.col("h") <= last)
-        .select("lang", "h", text.substr(F.lit(1), cut.cast("int")).alias("text"),
-                ((part == 0) & (F.col("h") != first)).alias("tests"))
-        .dropDuplicates(["lang", "h"]),
-        "languages",
-    ) if drawn else rows.select("lang", "text", F.lit(False).alias("tests")).limit(0)
-    grams = (
-        sample.where("not tests")
-        .select("lang", "text")
-        .mapInArrow(_count(order), "lang string, gram array<int>, n long")
-        .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    path = work_path(spark, "languages")
+    (
+        rows.join(limits, "lang").where("h <= last")
+        .select("lang", "h", text.substr(F.lit(1), F.col("cut").cast("int")).alias("text"),
+                ((part == 0) & (F.col("h") != F.col("first"))).alias("tests"), "block")
+        .dropDuplicates(["lang", "h"])
+        .repartition("block", F.pmod("h", F.lit(16)))
+        .write.partitionBy("block").parquet(path)
     )
-    model = _build(grams.collect(), order)
-    held = labelled.sparkSession.sparkContext.broadcast(model)
+    sample = spark.read.schema("lang string, h long, text string, tests boolean, block long").parquet(path)
+    names, blocks = [], []
+    for i in range(-(-len(drawn) // block)):
+        grams = (
+            sample.where((F.col("block") == i) & ~F.col("tests"))
+            .select("lang", "text")
+            .mapInArrow(_count(order), "lang string, gram array<int>, n long")
+            .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+        )
+        model = _build(grams.collect(), order)
+        names.append(model.languages)
+        blocks.append(spark.sparkContext.broadcast(model))
+    return Languages(names, blocks, *_calibrate(sample.where("tests"), names, blocks))
+
+
+_FOUND = "_low double, _block int, _lang string, _rejected boolean, _letters boolean, _total double, _n long"
+
+
+def _judge(model: Languages, block: int | None, keep: int):
+    """What one block of languages says of each text, behind its first ``keep`` columns."""
+    held = None if block is None else model.blocks[block]
+    sharpness = model.sharpness
+    own = [] if block is None else model.names[block]
+    first = sum(map(len, model.names[: block or 0]))
+    usual = model.usual[first : first + len(own)]
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            bits, n, letters = held.value.cross_entropy(batch.column("text"))
-            use = letters > 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "_text"):
+            rows, text = batch.num_rows, batch.column("_text")
+            if held is None:
+                low, total, n = np.zeros(rows), np.full(rows, np.inf), np.zeros(rows, int)
+                letters, names, far = _letters(text, 1)[2] > 0, [UNKNOWN] * rows, np.zeros(rows)
+            else:
+                bits, n, count = held.value.cross_entropy(text)
+                letters, best = count > 0, bits.argmin(axis=1)
+                low = bits[np.arange(rows), best]
+                total = np.exp(-sharpness * n[:, None] * (bits - low[:, None])).sum(axis=1)
+                centre, gap, a, b = usual[best].T
+                far = (low - centre - FOREIGN_SHARE * gap) / np.sqrt(a + b / np.maximum(n, 1))
+                names = [own[j] for j in best]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("lang").filter(pa.array(use)),
-                 pa.array(list(bits[use]), pa.list_(pa.float64())), pa.array(n[use], pa.int64())],
-                names=["lang", "bits", "n"],
+                [*batch.columns[:keep], pa.array(low, pa.float64()), pa.array([block or 0] * rows, pa.int32()),
+                 pa.array(names, pa.string()), pa.array(~letters | (far > DEVIATIONS), pa.bool_()),
+                 pa.array(letters, pa.bool_()), pa.array(total, pa.float64()), pa.array(n, pa.int64())],
+                names=[*batch.schema.names[:keep],
+                       "_low", "_block", "_lang", "_rejected", "_letters", "_total", "_n"],
             )
 
-    if model.languages:
-        tested = sample.where("tests").select("lang", "text")
-        _calibrate(model, tested.mapInArrow(measure, "lang string, bits array<double>, n long").collect())
-    return model
+    return run
 
 
-def identify(docs: DataFrame, model: LanguageModel, *, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def identify(docs: DataFrame, model: Languages, *, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns of ``docs`` plus lang_pred, score, cross_entropy and rejected."""
     small_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    own = () if "text" in keep else ("text",)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            lang, score, low, rejected = held.value.judge(batch.column("text"))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score, pa.float64()),
-                 pa.array(low, pa.float64()), pa.array(rejected, pa.bool_())],
-                names=[*keep, "lang_pred", "score", "cross_entropy", "rejected"],
-            )
-
-    kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, *own).mapInArrow(
-        run, f"{kept}, lang_pred string, score double, cross_entropy double, rejected boolean"
+    own = [F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)]
+    named = [F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)]
+    kept = [f"_k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)]
+    if len(model.blocks) <= 1:
+        judged = docs.select(*own, F.col("text").alias("_text")).mapInArrow(
+            _judge(model, 0 if model.blocks else None, len(keep)), ", ".join([*kept, _FOUND])
+        )
+        total = F.col("_total")
+    else:
+        # one pass a block, each in tasks of its own; row numbers are drawn once and written
+        rows = staged(docs.select(
+            *own, F.col("text").alias("_text"), F.monotonically_increasing_id().alias("_row")
+        ), "judged")
+        passes = [
+            rows.select("_row", "_text").mapInArrow(_judge(model, b, 1), "_row long, " + _FOUND)
+            for b in range(len(model.blocks))
+        ]
+        found = F.array_sort(F.collect_list(F.struct(*[c.split()[0] for c in _FOUND.split(", ")])))
+        together = reduce(DataFrame.unionByName, passes).groupBy("_row").agg(found.alias("_found"))
+        judged = (
+            rows.drop("_text").join(together, "_row")
+            .withColumn("_best", F.col("_found")[0]).select("*", "_best.*")
+        )
+        total = F.aggregate(
+            "_found", F.lit(0.0),
+            lambda sum_, f: sum_ + f["_total"] * F.exp(
+                -model.sharpness * F.col("_n") * (f["_low"] - F.col("_low"))
+            ),
+        )
+    return judged.select(
+        *named, F.when(F.col("_letters"), F.col("_lang")).otherwise(F.lit(UNKNOWN)).alias("lang_pred"),
+        F.when(F.col("_letters"), 1 / total).otherwise(F.lit(0.0)).alias("score"),
+        F.col("_low").alias("cross_entropy"), F.col("_rejected").alias("rejected"),
     )
