@@ -34,7 +34,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickstate.llm.common import code_points, slices, small_batches, staged, work_path
@@ -50,6 +50,8 @@ LEAST_TEXTS = 8
 # languages of one broadcast: at a million characters each, some 100 MB
 BLOCK = 8
 FOREIGN_SHARE, DEVIATIONS = 0.75, 6.0
+# tables of one row a language are broadcast up to this many rows, some 10 MB, else joined by a shuffle
+MOST_BROADCAST = 100_000
 # bits a character by which other languages lie higher, for want of other texts
 USUAL_GAP = 2.0
 # a language's variances weigh as much as those of all languages from this many texts on
@@ -372,6 +374,11 @@ def _calibrate(tests: DataFrame, names: list[list[str]], blocks: list[Broadcast]
     return sharpness, _usual([lang for own in names for lang in own], spreads.collect(), foreign)
 
 
+def _per_language(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    df = spark.createDataFrame(rows, schema)
+    return F.broadcast(df) if len(rows) <= MOST_BROADCAST else df
+
+
 def _draw(rows: DataFrame, sample_chars: int) -> list[tuple[str, int, int, int]]:
     """Language, last hash drawn, most characters of a text and first hash, from ``rows`` (lang, h, n).
 
@@ -405,8 +412,8 @@ def _draw(rows: DataFrame, sample_chars: int) -> list[tuple[str, int, int, int]]
                 break
             left -= r["short"]
     if open_:
-        near = texts.sparkSession.createDataFrame(
-            [(lang, at) for lang, (at, _) in open_.items()], "lang string, level long"
+        near = _per_language(
+            texts.sparkSession, [(lang, at) for lang, (at, _) in open_.items()], "lang string, level long"
         )
         members = defaultdict(list)
         for r in texts.join(near, ["lang", "level"], "left_semi").select("lang", "h", "n").collect():
@@ -438,8 +445,8 @@ def train(labelled: DataFrame, *, order: int = 4, sample_chars: int = 1_000_000,
     drawn = _draw(rows.select("lang", "h", F.length("text").alias("n")), sample_chars)
     if not drawn:
         return Languages([], [], 0.02, np.zeros((0, 4)))
-    limits = spark.createDataFrame(
-        [(lang, i // block, *found) for i, (lang, *found) in enumerate(sorted(drawn))],
+    limits = _per_language(
+        spark, [(lang, i // block, *found) for i, (lang, *found) in enumerate(sorted(drawn))],
         "lang string, block long, last long, cut long, first long",
     )
     part = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(5))
