@@ -110,13 +110,16 @@ def vectors(spark):
     return rows, spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("links", F.lit(1))
 
 
-@pytest.mark.parametrize("bucket", [embedding_dedup.BUCKET_ROWS, 2])
-def test_vector_links_equal_brute_force(spark, monkeypatch, bucket):
+@pytest.mark.parametrize("bucket,recall", [(embedding_dedup.BUCKET_ROWS, 0.9999), (2, 0.9999), (2, 0.2)])
+def test_vector_links_equal_brute_force(spark, monkeypatch, bucket, recall):
+    """Also with few tables and blocks of a few rows, so that the exact way finds most links."""
     monkeypatch.setattr(embedding_dedup, "BUCKET_ROWS", bucket)
     if bucket == 2:
         monkeypatch.setattr(embedding_dedup, "_SMALL", 1)
+        monkeypatch.setattr(embedding_dedup, "BLOCK_BYTES", 2000)
+        monkeypatch.setattr(embedding_dedup, "_CELLS", 64)
     rows, df = vectors(spark)
-    got = embedding_dedup.near_duplicate_vectors(df).collect()
+    got = embedding_dedup.near_duplicate_vectors(df, recall=recall).collect()
     assert len(got) == len(rows)
     good = {
         i: (label, np.array(e)) for i, e, label in rows
@@ -149,8 +152,9 @@ def test_hash_recall(spark):
         c = rng.uniform(0.931, 0.95)
         rows += [(2 * i, x.tolist(), 1), (2 * i + 1, (c * x + np.sqrt(1 - c * c) * y).tolist(), 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
-    got = embedding_dedup.near_duplicate_vectors(df).where("n_links > 0").count()
-    assert got >= 0.99 * len(rows)
+    hashed = embedding_dedup.near_duplicate_vectors(df, complete=False).where("n_links > 0").count()
+    assert hashed >= 0.99 * len(rows)
+    assert embedding_dedup.near_duplicate_vectors(df).where("n_links > 0").count() == len(rows)
 
 
 # ---- shards
