@@ -74,3 +74,47 @@ def test_divergence_fold_matches_counting(spark, monkeypatch):
         monkeypatch.setattr(book, "FOLD_ROWS", rows_in_block)
         got = {r["ingest_sequence"]: r["coherent"] for r in book.divergence_fold(df, 3).collect()}
         assert got == want
+
+
+def test_blocks_cover_each_row_of_an_interval_once(spark):
+    """Every interval over few rows, buckets of 1 to 8 rows, and a long one in few blocks."""
+    spans = [(a, b) for a in range(0, 40) for b in range(a + 1, 41)] + [(3, 1_000_003)]
+    df = spark.createDataFrame(spans, "valid_from long, valid_to long")
+    for size in (1, 3, 8):
+        parts = {}
+        for r in book._blocks(df, size).collect():
+            parts.setdefault((r["valid_from"], r["valid_to"]), []).append((r["_level"], r["_block"]))
+        for a, b in spans:
+            mine = parts[(a, b)]
+            assert len(mine) <= 2 + 2 * max(1, (b - a).bit_length())
+            if b > 100:
+                continue
+            rows = []
+            for level, block in mine:
+                width = 1 << max(level, 0)
+                rows += [r for r in range((block * width - 1) * size, ((block + 1) * width - 1) * size) if a <= r < b]
+            assert sorted(rows) == list(range(a, b))
+
+
+def test_best_prices_and_levels_of_long_books(spark):
+    """Long-lived and short levels at every row, against a scan of all intervals."""
+    rng = random.Random(8)
+    spans = []
+    for i in range(300):
+        a = rng.randrange(1, 900)
+        b = min(1000, a + rng.choice([1, 5, 70, 900]))
+        spans.append(("x", 1 + i % 2, rng.choice(["bids", "asks"]), rng.randint(1, 50), i, a, b))
+    intervals = spark.createDataFrame(
+        spans, "asset_id string, epoch long, side string, price int, quantity int, valid_from long, valid_to long")
+    points = spark.createDataFrame(
+        [("x", e, r) for e in (1, 2) for r in range(0, 1003)], "asset_id string, epoch long, row_no long")
+    best = {(r["epoch"], r["row_no"]): (r["best_bid"], r["best_ask"]) for r in book.best_at(points, intervals, 4).collect()}
+    listed = {}
+    for r in book.levels_at(points, intervals, 8).collect():
+        listed.setdefault((r["epoch"], r["row_no"]), []).append(r["quantity"])
+    assert len(best) == 2006
+    for (epoch, row), got in best.items():
+        live = [s for s in spans if s[1] == epoch and s[5] <= row < s[6]]
+        bids, asks = ([s[3] for s in live if s[2] == side] for side in ("bids", "asks"))
+        assert got == (max(bids, default=None), min(asks, default=None))
+        assert sorted(listed.get((epoch, row), [])) == sorted(s[4] for s in live)

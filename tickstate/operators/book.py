@@ -185,22 +185,55 @@ def level_intervals(epoch_events: DataFrame, chunk_rows: int = CHUNK_ROWS) -> Da
     return closed.select(*columns).unionByName(open_levels.select(*columns))
 
 
-def _in_buckets(intervals: DataFrame, size: int) -> DataFrame:
-    """Intervals repeated for each bucket of ``size`` rows they touch."""
-    first = F.expr(f"valid_from div {size}")
-    last = F.expr(f"(valid_to - 1) div {size}")
-    return intervals.select("*", F.explode(F.sequence(first, last)).alias("_bucket"))
+def _bucket(size: int) -> Column:
+    """The bucket of ``size`` rows, counted from 1 so that no block of whole buckets is number 0."""
+    return F.expr(f"{ROW} div {size} + 1")
+
+
+def _blocks(intervals: DataFrame, size: int) -> DataFrame:
+    """Intervals as aligned blocks: ``_level, _block`` once per part.
+
+    The at most two buckets of ``size`` rows in which an interval begins or ends have
+    level -1. The whole buckets between, ``n`` of them, are at most ``2 log2(n)``
+    blocks of ``2 ** _level`` buckets, the nodes of a segment tree over the epoch.
+    """
+    whole = intervals.withColumns(
+        {"_a": F.expr(f"(valid_from + {size - 1}) div {size} + 1"), "_b": F.expr(f"valid_to div {size} + 1")}
+    )
+    part = "struct(cast({level} as int) as _level, cast({block} as bigint) as _block)"
+    edges = f"""array_distinct(array_compact(array(
+        if(valid_from % {size} <> 0, {part.format(level=-1, block=f"valid_from div {size} + 1")}, null),
+        if(valid_to % {size} <> 0, {part.format(level=-1, block=f"valid_to div {size} + 1")}, null))))"""
+    # at each level the blocks that the level above cannot take: an odd first, an odd end
+    first, end = "shiftright(_a + shiftleft(1L, j) - 1, j)", "shiftright(_b, j)"
+    nodes = f"""if(_a < _b, filter(flatten(transform(sequence(0, length(bin(_b - _a)) - 1), j -> array(
+        if({first} < {end} and {first} % 2 = 1, {part.format(level="j", block=first)}, null),
+        if({first} < {end} and {end} % 2 = 1, {part.format(level="j", block=f"{end} - 1")}, null)))), p -> p is not null), array())"""
+    return (
+        whole.withColumn("_part", F.explode(F.concat(F.expr(edges), F.expr(nodes))))
+        .withColumns({"_level": F.col("_part._level"), "_block": F.col("_part._block")})
+        .drop("_a", "_b", "_part")
+    )
+
+
+def _with_blocks(buckets: DataFrame, edges: bool) -> DataFrame:
+    """Rows with a ``_bucket`` repeated for each block that holds it, its own edges with ``edges``."""
+    levels = F.expr(f"sequence({-1 if edges else 0}, length(bin(_bucket)) - 1)")
+    return buckets.withColumn("_level", F.explode(levels)).withColumn(
+        "_block", F.expr("shiftright(_bucket, greatest(_level, 0))")
+    )
 
 
 def levels_at(points: DataFrame, intervals: DataFrame, sub_bucket: int = SUB_BUCKET) -> DataFrame:
     """The levels that hold at each point, as ``points`` columns + side, price, quantity.
 
-    ``points`` has ``asset_id, epoch, row_no``. The equi-join is on buckets of
-    ``sub_bucket`` rows, so a point only meets the levels of its own bucket.
+    ``points`` has ``asset_id, epoch, row_no``. A point meets the levels that begin or
+    end in its bucket of ``sub_bucket`` rows, and those of the blocks above it, which
+    all hold there.
     """
-    placed = points.withColumn("_bucket", F.expr(f"{ROW} div {sub_bucket}"))
+    placed = _with_blocks(points.withColumn("_bucket", _bucket(sub_bucket)), edges=True)
     return (
-        placed.join(_in_buckets(intervals, sub_bucket), [*EPOCH, "_bucket"])
+        placed.join(_blocks(intervals, sub_bucket), [*EPOCH, "_level", "_block"])
         .where((F.col("valid_from") <= F.col(ROW)) & (F.col(ROW) < F.col("valid_to")))
         .select(*points.columns, "side", "price", "quantity")
     )
@@ -240,22 +273,26 @@ def best_prices(
 def best_at(points: DataFrame, intervals: DataFrame, bucket: int = BEST_BUCKET) -> DataFrame:
     """B5 at every row of a book without listing whole books.
 
-    A level that covers a whole bucket of rows counts once per bucket; only
-    levels that start or end inside the bucket are compared with its rows, at
-    most ``bucket`` rows each.
+    Levels that begin or end inside a bucket are compared with its rows, at most
+    ``bucket`` rows each. The whole buckets between are blocks of a segment tree,
+    whose best prices are combined over the blocks above each bucket.
     """
-    parts = _in_buckets(intervals, bucket)
-    start = F.col("_bucket") * bucket
-    whole = (F.col("valid_from") <= start) & (F.col("valid_to") >= start + bucket)
+    parts = _blocks(intervals, bucket)
     price = F.col("price")
     is_bid = F.col("side") == "bids"
-    standing = parts.where(whole).groupBy(*EPOCH, "_bucket").agg(
-        F.max(F.when(is_bid, price)).alias("_standing_bid"),
-        F.min(F.when(~is_bid, price)).alias("_standing_ask"),
+    nodes = parts.where("_level >= 0").groupBy(*EPOCH, "_level", "_block").agg(
+        F.max(F.when(is_bid, price)).alias("_bid"), F.min(F.when(~is_bid, price)).alias("_ask")
+    )
+    placed = points.select(*EPOCH, ROW, _bucket(bucket).alias("_bucket"))
+    standing = (
+        _with_blocks(placed.select(*EPOCH, "_bucket").distinct(), edges=False)
+        .join(nodes, [*EPOCH, "_level", "_block"])
+        .groupBy(*EPOCH, "_bucket")
+        .agg(F.max("_bid").alias("_standing_bid"), F.min("_ask").alias("_standing_ask"))
     )
-    placed = points.select(*EPOCH, ROW, F.expr(f"{ROW} div {bucket}").alias("_bucket"))
+    edges = parts.where("_level < 0").withColumnRenamed("_block", "_bucket")
     moving = (
-        placed.join(parts.where(~whole), [*EPOCH, "_bucket"])
+        placed.join(edges, [*EPOCH, "_bucket"])
         .where((F.col("valid_from") <= F.col(ROW)) & (F.col(ROW) < F.col("valid_to")))
         .groupBy(*EPOCH, "_bucket", ROW)
         .agg(
@@ -263,7 +300,7 @@ def best_at(points: DataFrame, intervals: DataFrame, bucket: int = BEST_BUCKET)
             F.min(F.when(~is_bid, price)).alias("_moving_ask"),
         )
     )
-    bucketed = points.withColumn("_bucket", F.expr(f"{ROW} div {bucket}"))
+    bucketed = points.withColumn("_bucket", _bucket(bucket))
     return (
         bucketed.join(moving, [*EPOCH, "_bucket", ROW], "left")
         .join(standing, [*EPOCH, "_bucket"], "left")

@@ -146,9 +146,18 @@ def validate_markets(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
 
-def resolve_outcomes(requests: DataFrame, payloads: DataFrame) -> DataFrame:
-    """``found``, ``not_found`` (with a reason for invalid objects) or ``error``."""
-    answers = payloads.select(*BOUNDARY, "body", "error", F.lit(True).alias("_answered"))
+def resolve_outcomes(
+    requests: DataFrame, payloads: DataFrame, newest: tuple[str, ...] = ("fetched_at",)
+) -> DataFrame:
+    """``found``, ``not_found`` (with a reason for invalid objects) or ``error``.
+
+    Of several answers for a boundary the one that is largest by ``newest`` decides
+    (ties: the larger body, then error), so a request stays one row.
+    """
+    last = F.max(F.struct(*newest, "body", "error")).alias("_last")
+    answers = payloads.groupBy(*BOUNDARY).agg(last).select(
+        *BOUNDARY, "_last.body", "_last.error", F.lit(True).alias("_answered")
+    )
     checked = _checked_markets(requests.join(answers, BOUNDARY, "left"))
     failed = F.col("error").isNotNull()
     absent = F.col("body").isNull()

@@ -567,8 +567,8 @@ _one_type("p12_parse_tick_size", parse_tick_size, "tick_size_change", "p_tick_si
 
 @query(
     "p13_expand_resolutions",
-    """with r as (select s_suppkey, s_nationkey, count(*) over (partition by s_nationkey) as members,
-        min(s_suppkey::varchar) over (partition by s_nationkey) as lowest from supplier)
+    """with r as (select s_suppkey, s_nationkey, count(*) over (partition by s_suppkey // 2) as members,
+        min(s_suppkey::varchar) over (partition by s_suppkey // 2) as lowest from supplier)
     select s_suppkey as arrival_no,
       cast(case when s_suppkey % 4 = 0 then 1 when s_suppkey % 4 = 3 then 0 else members end as bigint) as settled,
       case when s_suppkey % 4 = 0 then s_suppkey::varchar when s_suppkey % 4 = 3 then null else lowest end as lowest_asset,
@@ -580,11 +580,11 @@ def p13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every supplier's market resolves: by explicit ids, by market, by condition, or broken."""
     s = A.table(spark, sf_dir, "supplier")
     kind, asset = F.col("s_suppkey") % 4, F.col("s_suppkey").cast("string")
-    nation = F.col("s_nationkey").cast("string")
+    pair = F.expr("s_suppkey div 2").cast("string")  # two suppliers are a market
     which = (
         F.when(kind == 0, F.format_string('"assets_ids":["%s"],"winning_outcome":"Up"', asset))
-        .when(kind == 1, F.format_string('"market":"m%s","winning_asset_id":"%s"', nation, asset))
-        .when(kind == 2, F.format_string('"condition_id":"c%s","winning_outcome":"Yes","winning_asset_id":"%s"', nation, asset))
+        .when(kind == 1, F.format_string('"market":"m%s","winning_asset_id":"%s"', pair, asset))
+        .when(kind == 2, F.format_string('"condition_id":"c%s","winning_outcome":"Yes","winning_asset_id":"%s"', pair, asset))
         .otherwise('"assets_ids":[1],"winning_outcome":"up"')
     )
     raw = F.format_string('{"event_type":"market_resolved","timestamp":"1700000000000",%s}', which)
@@ -597,7 +597,11 @@ def p13(spark: SparkSession, sf_dir: str) -> DataFrame:
         at.alias("received_monotonic_ns"),
         raw.alias("raw"),
     )
-    rows = expand_resolutions(explode_frames(frames), _registry(spark, sf_dir))
+    number = F.expr("cast(asset_id as bigint) div 2").cast("string")
+    registry = _registry(spark, sf_dir).withColumns(
+        {"market_id": F.concat(F.lit("m"), number), "condition_id": F.concat(F.lit("c"), number)}
+    )
+    rows = expand_resolutions(explode_frames(frames), registry)
     return rows.select(
         ARRIVAL,
         F.coalesce(F.size("affected"), F.lit(0)).cast("bigint").alias("settled"),

@@ -19,8 +19,10 @@ from tickstate.plans.driver_queries import EV, HORIZON_SQL, WINDOWS, cut, horizo
 from tickstate.plans.archive_fixture import WITH_ARCHIVE, archive_events
 from tickstate.plans.driver_queries_state import (
     BOOKS_SQL,
+    FILES_SQL,
     SNAPSHOTS_SQL,
     book_columns,
+    file_rows,
     rolled,
     rolling_sql,
     snapshot_columns,
@@ -148,17 +150,17 @@ def d3_d6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "d7_resolve_outcomes",
-    f"""with {MK}, u as (select * from mr where o_orderkey in (select max(o_orderkey) from mr group by timeframe, start)),
+    f"""with {MK}, u as (select * from mr qualify row_number() over (partition by timeframe, start order by t desc, o_orderkey desc) = 1),
     r as (select *, case when p and kind < 12 then 'error' when p or reason is not null then 'not_found' else 'found' end as outcome from u)
     select timeframe, start * 1000000 as start_us, outcome, case when outcome = 'found' then o_orderkey::varchar end as market_id,
       case when outcome = 'error' then 'unavailable' when not p then reason end as error from r""",
 )
 def d7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest answer per boundary decides."""
+    """Every boundary that was asked for, with all its answers."""
     payloads = _market_payloads(spark, sf_dir)
-    newest = payloads.groupBy(*cal.BOUNDARY).agg(F.max("o_orderkey").alias("o_orderkey"))
-    answers = payloads.join(newest.select("o_orderkey"), "o_orderkey", "left_semi")
-    out = cal.resolve_outcomes(newest.select(*cal.BOUNDARY), answers)
+    out = cal.resolve_outcomes(
+        payloads.select(*cal.BOUNDARY).distinct(), payloads, newest=("fetched_at", "o_orderkey")
+    )
     return out.select(
         "timeframe", F.unix_micros("expected_start").alias("start_us"), "outcome",
         F.col("market.market_id").alias("market_id"), "error",
@@ -664,21 +666,12 @@ def s2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return number_frames(read_frames(spark, path)).select(ARRIVAL, "raw")
 
 
-@query(
-    "s4_s5_snapshot_files",
-    """select count(*) as snapshots, min(rn) as first_sequence, max(rn) as last_sequence from (
-      select row_number() over (order by l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,
-        l_discount, l_tax, l_linestatus) as rn, l_linenumber as n from lineitem) where n = 5""",
-)
+@query("s4_s5_snapshot_files", FILES_SQL)
 def s4_s5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshot files written and read back, with every column."""
     path = shared_dir(spark, "snapshots")
     archive.write_snapshots(flatten_snapshots(build_snapshots(archive_events(spark, sf_dir))), path)
-    back = archive.read_snapshots(spark, path).select("snapshot.snapshot_sequence")
-    return back.agg(
-        F.count("*").alias("snapshots"),
-        F.min("snapshot_sequence").alias("first_sequence"),
-        F.max("snapshot_sequence").alias("last_sequence"),
-    )
+    return file_rows(archive.read_snapshots(spark, path))
 
 
 @query(

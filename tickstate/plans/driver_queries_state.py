@@ -452,8 +452,8 @@ def b5_b6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best prices after every book event, and the cross check."""
     epochs = _epochs(spark, sf_dir)
     best = book.best_at(
-        epochs.where("initialized").select("asset_id", "epoch", SEQ, "row_no"),
-        book.level_intervals(epochs),
+        materialize(epochs.where("initialized").select("asset_id", "epoch", SEQ, "row_no")),
+        materialize(book.level_intervals(epochs)),
     )
     return book.coherence(best).select(
         "asset_id", F.col(SEQ).alias("event_sequence"), num("best_bid").alias("best_bid"),
@@ -629,8 +629,7 @@ def b9(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FILE_LEVELS = [f"{side}_{half}_{tf}" for tf in (5, 15) for side in ("up", "down") for half in ("bids", "asks")]
 
 
-@query(
-    "r4_flatten_snapshots",
+FILES_SQL = (
     WITH_ARCHIVE
     + """ select 1 as schema_version, seq as snapshot_sequence, ns as snapshot_timestamp_ns, oracle_price::varchar as chainlink_price,
       last_price::varchar as binance_last_price, best_bid::varchar as binance_best_bid, (best_bid + 1)::varchar as binance_best_ask,
@@ -639,25 +638,32 @@ _FILE_LEVELS = [f"{side}_{half}_{tf}" for tf in (5, 15) for side in ("up", "down
     + ", ".join(f"{c} as market_{c.rsplit('_', 1)[1]}m_{c.rsplit('_', 1)[0]}" for c in _FILE_LEVELS)
     + """, len(reasons) = 0 as ready_for_strategy, array_to_string(reasons, ',') as not_ready_reasons,
       len(reasons)::bigint as json_reasons, cast(coalesce(buys, 0) as double) as json_buy_volume_1s,
-      cast(up_bid_5 as double) as json_up_best_bid, down_asks_15 as json_down_asks from why""",
+      cast(up_bid_5 as double) as json_up_best_bid, down_asks_15 as json_down_asks from why"""
 )
-def r4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All file columns; the JSON text restores the nested snapshot."""
-    rows = flatten_snapshots(build_snapshots(archive_events(spark, sf_dir)))
-    rows = rows.withColumn("s", snapshot_from_json(F.col("snapshot_json")))
+
+
+def file_rows(rows: DataFrame) -> DataFrame:
+    """All file columns of flat snapshots, and some of the nested ``snapshot`` beside them."""
     levels = [c for c, kind in SNAPSHOT_FILE.items() if kind == TEXT_LEVELS]
     plain = [c for c in SNAPSHOT_FILE if c not in (*levels, "snapshot_json", "not_ready_reasons")]
     text = lambda c: F.array_join(F.transform(c, lambda e: F.concat_ws("x", e["price"], e["quantity"])), ",")
     return rows.select(
         *plain, *[text(c).alias(c) for c in levels],
         F.array_join("not_ready_reasons", ",").alias("not_ready_reasons"),
-        F.size("s.not_ready_reasons").cast("bigint").alias("json_reasons"),
-        num(F.get("s.binance.rolling_windows", 0)["buy_volume"]).alias("json_buy_volume_1s"),
-        num("s.market_5m.up.best_bid").alias("json_up_best_bid"),
-        F.coalesce(_level_text("s.market_15m.down.asks"), F.lit("")).alias("json_down_asks"),
+        F.size("snapshot.not_ready_reasons").cast("bigint").alias("json_reasons"),
+        num(F.get("snapshot.binance.rolling_windows", 0)["buy_volume"]).alias("json_buy_volume_1s"),
+        num("snapshot.market_5m.up.best_bid").alias("json_up_best_bid"),
+        F.coalesce(_level_text("snapshot.market_15m.down.asks"), F.lit("")).alias("json_down_asks"),
     )
 
 
+@query("r4_flatten_snapshots", FILES_SQL)
+def r4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All file columns; the JSON text restores the nested snapshot."""
+    rows = flatten_snapshots(build_snapshots(archive_events(spark, sf_dir)))
+    return file_rows(rows.withColumn("snapshot", snapshot_from_json(F.col("snapshot_json"))))
+
+
 READY = """case when k % 2 = 0 then 'chainlink_disconnected' end, case when k > 50 then 'chainlink_stale' end,
   case when k % 2 = 0 then 'binance_disconnected' end, case when k > 10 then 'binance_depth_stale' end,
   case when k > 25 then 'binance_trade_stale' end, case when k % 5 = 0 then 'binance_book_ticker_missing' end,
