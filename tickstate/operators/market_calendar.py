@@ -198,14 +198,16 @@ def _micros(column: str) -> Column:
 
 
 def transition_results(
-    attempts: DataFrame, before_s: int = 5, after_s: int = 5, slots: int = 21
+    attempts: DataFrame, before_s: int = 5, after_s: int = 5, slots: int = 21, tie: tuple[str, ...] = ()
 ) -> DataFrame:
     """One row per boundary from the attempts made around it.
 
     The time from ``before_s`` before to ``after_s`` after the boundary has
     ``slots`` slots; the first attempt requested in each slot counts, and the first
     of these that is found wins. Further attempts of a slot, as merged logs hold
-    them, are left out, so they neither use up slots nor hide a later find.
+    them, are left out, so they neither use up slots nor hide a later find. Attempts of
+    one slot with the same times are told apart by the columns ``tie``, the smallest first,
+    and else by their content, so the choice is never that of a shuffle.
     """
     second = 1_000_000
     start = _micros("expected_start")
@@ -216,9 +218,10 @@ def transition_results(
     width = (before_s + after_s) * second // (slots - 1)
     slot = F.call_function("div", requested - (start - before_s * second), F.lit(width))
     kept = [c for c in inside.columns if c not in BOUNDARY]
+    content = [c for c in ("outcome", "market", "error") if c in kept]
     first = (
         inside.groupBy(*BOUNDARY, slot.alias("_slot"))
-        .agg(F.min_by(F.struct(*kept), F.struct("requested_at", "resolved_at")).alias("_a"))
+        .agg(F.min_by(F.struct(*kept), F.struct("requested_at", "resolved_at", *tie, *content)).alias("_a"))
         .select(*BOUNDARY, "_a.*")
     )
     # at most ``slots`` rows a boundary

@@ -214,7 +214,7 @@ tr as (
     from tr t left join tr p on p.timeframe = t.timeframe and p.start = t.start - t.d""",
 )
 def d9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = cal.transition_results(A.attempts(A.events(spark, sf_dir)))
+    out = cal.transition_results(A.attempts(A.events(spark, sf_dir)), tie=("seq",))
     return out.select(
         "timeframe",
         F.unix_micros("expected_start").alias("start_us"),
@@ -245,7 +245,7 @@ def d9(spark: SparkSession, sf_dir: str) -> DataFrame:
       coalesce(lead(moment) over (partition by timeframe, t0 order by step), next_search) as to_us, attempts as attempt_count from s""",
 )
 def d10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = cal.state_timeline(cal.transition_results(A.attempts(A.events(spark, sf_dir))))
+    out = cal.state_timeline(cal.transition_results(A.attempts(A.events(spark, sf_dir)), tie=("seq",)))
     return out.select(
         "timeframe",
         F.unix_micros("expected_start").alias("start_us"),
@@ -287,7 +287,7 @@ def d11(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def d12_s7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log rows written to and read back from JSON lines."""
-    rows = cal.transition_rows(cal.transition_results(A.attempts(A.events(spark, sf_dir))))
+    rows = cal.transition_rows(cal.transition_results(A.attempts(A.events(spark, sf_dir)), tie=("seq",)))
     path = shared_dir(spark, "transitions")
     archive.write_transitions(rows, path)
     return archive.read_transitions(spark, path).groupBy("timeframe", "status").agg(
@@ -304,7 +304,7 @@ def d12_s7(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def d13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every result is made contradictory; sound results give no row."""
-    sound = cal.transition_results(A.attempts(A.events(spark, sf_dir)))
+    sound = cal.transition_results(A.attempts(A.events(spark, sf_dir)), tie=("seq",))
     broken = sound.withColumns(
         {
             "last_error": F.coalesce("last_error", F.lit("late")),
