@@ -282,6 +282,24 @@ def test_coder_round_trip(n):
         assert sum(map(len, token_coder.encode(rng.integers(0, 3, n)))) < n / 2
 
 
+def test_token_encoder_sends_a_piece_once_and_equals_the_library():
+    with open(tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        encoder = token_store.Encoder(file.read())
+    sent, encode = [], encoder._encode_lines
+    encoder._encode_lines = lambda lines: sent.extend(lines) or encode(lines)
+    stems = [w for w in dict.fromkeys(words(5, 300))]
+    rows = [" ".join(w + mark for w in stems) for mark in ("", ".", ",%%%", "###", "\nthe")]
+    library = lambda texts: [
+        np.array(e.ids, dtype=np.uint16).tobytes() for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)
+    ]
+    assert encoder(rows) == library(rows)
+    assert sum(len(piece) for piece in sent) < 1.2 * len(rows[0])
+    signs = [*" \n\t'\"._%19aéßſ²½字×\u00a0\u0301", "  ", "'s", "'ll", "it", "<|endoftext|>"]
+    rng = random.Random(6)
+    odd = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    assert encoder(odd) == library(odd)
+
+
 def test_token_files_equal_the_library(spark, monkeypatch):
     from tokenizers import Tokenizer
 

@@ -18,11 +18,13 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +38,18 @@ from tickstate.llm.common import slices, small_batches, texts
 MAGIC = b"TKF1"
 FRAME_IDS = 4_000_000
 PART_BYTES = 24_000_000
-_CACHED_WORDS, _CACHED_LENGTH = 400_000, 48
+_CACHED_WORDS, _CACHED_PIECES, _CACHED_LENGTH = 400_000, 800_000, 48
 
 
 # a space that opens a word, and a space that white space follows
 _WORD, _ODD, _SPACE = re.compile(r" (?=\S)"), re.compile(r" (?=\s|$)"), re.compile(r"\s")
+# over Latin letters, ASCII digits, marks and white space this is the library's own pattern, whatever its Unicode version
+_LATIN, _MARKS = "A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F", r"!-/:-@\[-`{-~"
+_LATIN_TEXT = re.compile(rf"[{_LATIN}0-9{_MARKS}\s]*", re.ASCII).fullmatch
+_PIECES = re.compile(
+    rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LATIN}]+| ?[0-9]+| ?[{_MARKS}]+|\s+(?!\S)|\s+", re.ASCII
+).findall
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 
 
 class Encoder:
@@ -49,8 +58,9 @@ class Encoder:
     Byte-level BPE never merges across a space that a non-space follows, so a
     text is the concatenation of its parts cut there; equal parts are encoded
     once. A text that spells a token added to the vocabulary (``<|endoftext|>``) is
-    encoded whole, as the library cuts it there first. ``words`` holds the ids of a part with its space, without the space in
-    the key; ``first`` those of parts that open a text.
+    encoded whole, as the library cuts it there first. ``words`` holds the ids of a part with its space,
+    without the space in the key. A text of Latin letters, digits and ASCII marks is cut finer, into the
+    ``pieces`` of the library's pattern, across which it never merges: they repeat far more often than words do.
     """
 
     def __init__(self, content: str):
@@ -61,34 +71,65 @@ class Encoder:
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(added) if added else r"(?!)")
         self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.line_break = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        parts = json.loads(content)
+        self.cut_latin = parts.get("normalizer") is None and parts.get("pre_tokenizer") == _BYTE_LEVEL
 
     def _encode(self, parts: list[str]) -> list[bytes]:
-        done = self.tokenizer.encode_batch(parts, add_special_tokens=False)
+        done = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
         return [np.array(e.ids, dtype=np.uint16).tobytes() for e in done]
 
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids of words that hold no white space, each with a space before it.
+    def _encode_lines(self, lines: list[str]) -> list[bytes]:
+        """Ids of texts without white space, but for one space that may open them.
 
-        They are encoded as lines of one text: a line break before a space is a
+        They are encoded as lines of one text: a line break before one space or none is a
         token of its own, so the ids are cut there.
         """
-        text = "\n ".join(["", *words, ""])
-        ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint16)
+        text = "\n".join(["", *lines, ""])
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint16)
         cuts = np.flatnonzero(ids == self.line_break)
-        if len(cuts) != len(words) + 1:
-            return self._encode([" " + w for w in words])
+        if len(cuts) != len(lines) + 1:
+            return self._encode(lines)
         raw = ids.tobytes()
         bounds = (2 * cuts).tolist()
         return [raw[lo + 2 : hi] for lo, hi in zip(bounds, bounds[1:])]
 
+    def _encode_latin(self, rows: list[str]) -> list[bytes]:
+        """Ids of texts that ``_LATIN_TEXT`` matches."""
+        made = []
+        for lo in range(0, len(rows), 100):
+            cut = [_PIECES(t) for t in rows[lo : lo + 100]]
+            if len(self.pieces) > _CACHED_PIECES:
+                self.pieces = {}
+            known = self.pieces
+            flat = list(chain.from_iterable(cut))
+            ids = list(map(known.get, flat))
+            unknown = [i for i, found in enumerate(ids) if found is None]
+            missing = list({flat[i] for i in unknown})
+            lines = [p for p in missing if len(p) <= _CACHED_LENGTH and not p.isspace()]
+            known.update(zip(lines, self._encode_lines(lines)))
+            rest = [p for p in missing if p not in known]
+            extra = dict(zip(rest, self._encode(rest)))
+            for i in unknown:
+                ids[i] = extra[flat[i]] if flat[i] in extra else known[flat[i]]
+            at = 0
+            for pieces in cut:
+                made.append(b"".join(ids[at : at + len(pieces)]))
+                at += len(pieces)
+        return made
+
     def __call__(self, rows: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 16-bit integers."""
         whole = [i for i, t in enumerate(rows) if self.added.search(t)]
-        if whole:
-            done = dict(zip(whole, self._encode([rows[i] for i in whole])))
-            others = iter(self([t for i, t in enumerate(rows) if i not in done]))
-            return [done[i] if i in done else next(others) for i in range(len(rows))]
+        done = dict(zip(whole, self._encode([rows[i] for i in whole])))
+        if self.cut_latin:
+            latin = [i for i, t in enumerate(rows) if i not in done and _LATIN_TEXT(t)]
+            done.update(zip(latin, self._encode_latin([rows[i] for i in latin])))
+        others = iter(self._encode_parts([t for i, t in enumerate(rows) if i not in done]))
+        return [done[i] if i in done else next(others) for i in range(len(rows))]
+
+    def _encode_parts(self, rows: list[str]) -> list[bytes]:
         cut = [_WORD.split(t) if _ODD.search(t) else t.split(" ") for t in rows]
         opening = self._encode([parts[0] for parts in cut])
         if len(self.words) > _CACHED_WORDS:
@@ -101,7 +142,7 @@ class Encoder:
         plain = [w for w in missing if len(w) <= _CACHED_LENGTH and not _SPACE.search(w)]
         for lo in range(0, len(plain), 5_000):
             part = plain[lo : lo + 5_000]
-            known.update(zip(part, self._encode_words(part)))
+            known.update(zip(part, self._encode_lines([" " + w for w in part])))
         rest = [w for w in missing if w not in known]
         extra = dict(zip(rest, self._encode([" " + w for w in rest])))
         find = (lambda w: extra[w] if w in extra else known[w]) if extra else known.__getitem__
