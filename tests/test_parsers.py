@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tickstate.functions.decimals import validate_decimal
 from tickstate.operators.ordering import ARRIVAL
 from tickstate.operators.parse_books import asset_registry, parse_book_frames
+from tickstate.operators import parse_prices
 from tickstate.operators.parse_prices import parse_agg_trades, parse_book_ticker, parse_depth, parse_oracle_price
 
 NOW_MS = 1_741_336_200_000
@@ -174,3 +175,17 @@ def test_frames_are_parsed_once(spark):
     got = sorted(rows.select("arrival_no", "position", F.coalesce("event_type", F.lit("-"))).collect())
     assert [tuple(r) for r in got] == [(0, 0, "a"), (0, 1, "b"), (1, 0, "c"), (3, 0, "-"), (4, 0, "-"), (5, 0, "-")]
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+
+
+def test_depth_lists_are_read_from_the_frame_once(spark):
+    sides = {
+        '[["2","1"],["1","1"]]': None, "[]": "bids_count", '{"a":1}': "bids_count", '[["1","1"],["1","1"]]': "bids_duplicate",
+        '[["1","1"],["2","1"]]': "bids_unsorted", '[["1"]]': "bids_level", '[["1","1","1"]]': "bids_level", "[null]": "bids_level",
+        '[["1","0"]]': "bids_level", '[[null,"1"]]': "bids_level", "[1]": "bids_level", '["x",2,3,4]': "bids_count",
+    }
+    rows = [(f'{{"data":{{"bids":{text}}}}}', reason) for text, reason in sides.items()]
+    df = spark.createDataFrame(rows, "raw string, want string").withColumn("v", F.try_parse_json("raw"))
+    df = parse_prices._depth_side(df, F.col("v"), "bids", 3)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("$.data.bids") <= 4
+    assert [(r.raw, r._bids_reason) for r in df.collect()] == rows

@@ -265,34 +265,45 @@ def parse_book_ticker(
     return split(df, columns)
 
 
-def _depth_side(v: Column, side: str, max_levels: int) -> tuple[Column, Column]:
-    """(levels, reason) of one side given as ``[[price, quantity], ...]``."""
+def _depth_side(df: DataFrame, v: Column, side: str, max_levels: int) -> DataFrame:
+    """Add ``<side>`` and ``_<side>_reason`` of one side given as ``[[price, quantity], ...]``.
+
+    Each step reads columns of the one before, so the list is taken from the frame and its numbers are read once.
+    """
     path = f"$.data.{side}"
-    given = V.list_at(v, path)
-    rows = V.get(v, path, "array<array<string>>")
-    bad_row = F.exists(
-        rows,
-        lambda row: F.coalesce(
-            (F.size(row) != 2)
-            | ~(to_decimal(F.get(row, 0)) > 0)
-            | ~(to_decimal(F.get(row, 1)) > 0),
-            F.lit(True),
-        ),
+    rows, levels, reason = f"_{side}_rows", f"_{side}_levels", f"_{side}_reason"
+    df = df.withColumn(rows, V.get(v, path, "array<array<string>>"))
+    # a list with another kind of row is counted as it is
+    count = F.when(F.col(rows).isNotNull(), F.size(rows)).otherwise(F.size(V.list_at(v, path)))
+    df = df.withColumns(
+        {
+            f"_{side}_count": count,
+            levels: F.transform(
+                rows,
+                lambda row: F.struct(
+                    to_decimal(F.get(row, 0)).alias("price"),
+                    to_decimal(F.get(row, 1)).alias("quantity"),
+                ),
+            ),
+            f"_{side}_pairs": F.forall(rows, lambda row: F.coalesce(F.size(row) == 2, F.lit(False))),
+        }
+    )
+    bad_level = F.exists(
+        levels, lambda level: F.coalesce(~(level["price"] > 0) | ~(level["quantity"] > 0), F.lit(True))
     )
-    levels = F.transform(
-        rows,
-        lambda row: F.struct(
-            to_decimal(F.get(row, 0)).alias("price"), to_decimal(F.get(row, 1)).alias("quantity")
+    prices = F.col(levels)["price"]
+    df = df.withColumn(
+        reason,
+        first_of(
+            when(~F.col(f"_{side}_count").between(1, max_levels), f"{side}_count"),
+            when(F.col(rows).isNull() | ~F.col(f"_{side}_pairs") | bad_level, f"{side}_level"),
+            when(F.size(F.array_distinct(prices)) != F.size(prices), f"{side}_duplicate"),
+            when(prices != F.sort_array(prices, asc=side == "asks"), f"{side}_unsorted"),
         ),
     )
-    prices = F.transform(levels, lambda level: level["price"])
-    reason = first_of(
-        when(~F.size(given).between(1, max_levels), f"{side}_count"),
-        when(rows.isNull() | bad_row, f"{side}_level"),
-        when(F.size(F.array_distinct(prices)) != F.size(prices), f"{side}_duplicate"),
-        when(prices != F.sort_array(prices, asc=side == "asks"), f"{side}_unsorted"),
+    return df.withColumn(side, F.when(F.col(reason).isNull(), F.col(levels))).drop(
+        rows, levels, f"_{side}_count", f"_{side}_pairs"
     )
-    return levels, reason
 
 
 def parse_depth(
@@ -302,25 +313,13 @@ def parse_depth(
     stream = P.SPOT_STREAMS["depth"]
     df, shared = _spot(frames, stream, "lastUpdateId")
     v = F.col("v")
-    bids, bid_reason = _depth_side(v, "bids", max_levels)
-    asks, ask_reason = _depth_side(v, "asks", max_levels)
-    df = df.withColumns(
-        {
-            "update_no": V.positive_int_at(v, "$.data.lastUpdateId"),
-            "_bid_reason": bid_reason,
-            "_ask_reason": ask_reason,
-        }
-    )
-    df = df.withColumns(
-        {
-            "bids": F.when(F.col("_bid_reason").isNull(), bids),
-            "asks": F.when(F.col("_ask_reason").isNull(), asks),
-        }
-    )
+    df = df.withColumn("update_no", V.positive_int_at(v, "$.data.lastUpdateId"))
+    for side in ("bids", "asks"):
+        df = _depth_side(df, v, side, max_levels)
     before = first_of(shared, when(F.col("update_no").isNull(), "invalid_update_id"))
     after = first_of(
-        F.col("_bid_reason"),
-        F.col("_ask_reason"),
+        F.col("_bids_reason"),
+        F.col("_asks_reason"),
         when(F.get("bids", 0)["price"] >= F.get("asks", 0)["price"], "crossed"),
     )
     df = ordered_reasons(
